@@ -37,11 +37,37 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.span_dedup import remove_repeated_spans
+
+    found = remove_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), only_changed=True)
+    return found.select("doc_id", "first_docs", "removed_chars", "text")
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.topk_search import quantised, top_k, usable
+
+    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", quantised(F.col("embedding")).alias("weights"))
+    return top_k(vectors.where("vec_id % 20 = 0"), vectors)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.toxicity import fit, held_out, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    scored = score_documents(docs.select("doc_id", "text", "lang"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("rejected").alias("rejected_by_language"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_span_dedup": op2_span_dedup,
+        "op3_top_k": op3_top_k,
         "op4_token_store": op4_token_store,
         "op5_bpe": op5_bpe,
         "op9_simhash": op9_simhash,
+        "op10_toxicity": op10_toxicity,
     }
 
 
