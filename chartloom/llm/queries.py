@@ -20,7 +20,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.token_store import read_token_store, write_token_store
 
     folder = scratch_path(spark, "token-store")
-    manifest = materialize(write_token_store(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), folder), "token-manifest")
+    manifest = write_token_store(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), folder)
     return read_token_store(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -30,6 +30,35 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all documents; their counts revised to hold an end token each; texts without words deleted.  The first
+    is sent twice."""
+    from chartloom.llm.token_rollup import TokenRollup, count_tokens, deletes, inserts, revisions
+
+    docs = table(spark, sf_dir, "documents")
+    version = "byte_bpe_50k"
+    counts = materialize(count_tokens(docs, _vocabulary("byte_bpe_50k.json"), version), "token-counts")
+    revised = counts.withColumn("tokenizer", F.lit(version + "+end")).withColumn("n_tokens", F.col("n_tokens") + 1)
+    rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    rollup.commit("documents", inserts(counts))
+    rollup.commit("end tokens", revisions(counts, revised))
+    rollup.commit("empty texts", deletes(revised.where("n_chars = 0")))
+    rollup.commit("documents", inserts(counts))
+    return rollup.totals()
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.simhash import near_duplicates
 
@@ -37,6 +66,44 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.chat_format import format_conversations, loss_text, text_parts, turns_read_back
+
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    out = format_conversations(rows.unionByName(extra).select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts")))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    back = out.select("conv_id", "formatted", turns_read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+OP1_SQL = r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), c AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+    sum(length(role) + length(text) + 23
+        + 1 * (length(role) + length(text) - length(replace(replace(replace(role || text, chr(92), ''), '<', ''), '[', '')))) AS formatted_chars
+  FROM m GROUP BY conv_id
+)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM c
+"""
+
+
 def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.span_dedup import remove_repeated_spans
 
@@ -62,14 +129,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_span_dedup": op2_span_dedup,
         "op3_top_k": op3_top_k,
         "op4_token_store": op4_token_store,
         "op5_bpe": op5_bpe,
+        "op6_html": op6_html,
+        "op7_decontaminate": op7_decontaminate,
+        "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": OP1_SQL}
