@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from chartloom.llm.runtime import materialize
 
 
+_ROWS_A_FILE = 500_000  # a round's tables are written in as many files as the edges need, not one for each shuffle partition
+
+
 def _followed(hooks: DataFrame) -> DataFrame:
     """Two pointer jumps: (node, parent) with parent replaced by its own parent where it has one."""
     for _ in range(2):
@@ -36,13 +39,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select("a", "b").where("a <> b")
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    parts = max(1, -(-edges.count() // _ROWS_A_FILE))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    labels = materialize(nodes.select("node", F.col("node").alias("component")), "cc-labels")
+    labels = materialize(nodes.select("node", F.col("node").alias("component")).coalesce(parts), "cc-labels")
     while not edges.isEmpty():
         both = edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
-        hooks = materialize(both.groupBy("node").agg(F.min("other").alias("parent")), "cc-hooks")
-        hooks = materialize(_followed(hooks), "cc-jumped")
-        labels = materialize(_moved(labels, "component", hooks), "cc-labels")
+        hooks = materialize(both.groupBy("node").agg(F.min("other").alias("parent")).coalesce(parts), "cc-hooks")
+        hooks = materialize(_followed(hooks).coalesce(parts), "cc-jumped")
+        labels = materialize(_moved(labels, "component", hooks).coalesce(parts), "cc-labels")
         moved = _moved(_moved(edges, "a", hooks), "b", hooks).where("a <> b")
-        edges = materialize(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+        edges = materialize(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(parts), "cc-edges")
     return labels

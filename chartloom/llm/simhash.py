@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from chartloom.llm.components import connected_components
 from chartloom.llm.runtime import materialize, pick, small_batches
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) ->
     included.  Null text counts as empty.  Rows with a null doc_id get a fingerprint and the component of their equals, or
     null where only such rows have that fingerprint.  An empty table gives an empty result.
     """
-    fps = materialize(fingerprints(docs, params), "simhash-fp")
+    fps = fingerprints(docs, params).persist(StorageLevel.DISK_ONLY)  # read twice; a lost part is computed anew
     words = [f"f{k}" for k in range(params.words64)]
     classes = materialize(fps.groupBy(*words).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-classes")
     small_batches(docs.sparkSession, 20_000)
