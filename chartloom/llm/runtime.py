@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL_BASE: dict[str, str] = {}
+_BATCH_BYTES = 32 << 20
 _SHIPPED: set[str] = set()
 
 
@@ -66,6 +67,7 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Before a Python stage: ship the code, and bound the rows of an Arrow batch, so that very long texts fit a worker."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

@@ -15,7 +15,6 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +29,13 @@ _SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_chars
 
 def count_tokens(docs: DataFrame, vocabulary: str, tokenizer: str) -> DataFrame:
     """docs(doc_id, text, source, lang, ...) -> (doc_id, source, lang, tokenizer, n_chars, n_tokens), whole texts, null as empty."""
-    small_batches(docs.sparkSession, 128)
+    small_batches(docs.sparkSession, 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(vocabulary)
-        size = np.dtype(encoder.kind).itemsize
+        size = encoder.kind.itemsize
         for b in batches:
-            n = [len(x) // size for x in encoder.encode([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])]
+            n = [len(x) // size for x in encoder.encode(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "source", "lang", "n_chars")] + [pa.array(n, pa.int64())], ["doc_id", "source", "lang", "n_chars", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("lang").cast("string"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), F.col("text").cast("string"))

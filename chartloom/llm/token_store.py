@@ -7,8 +7,8 @@ one another in ascending doc_id order, each closed by the end id.  `shard-NNNNNN
 of each, counted within the shard.  Both map into memory: a sequence is a view of the mapped file, found by two divisions.
 
 Encoding.  The GPT-2 pattern of byte-level vocabularies never lets a piece run over a space that stands before a sign that
-is not white space: the space starts a new piece.  Texts are cut there, and the library encodes each distinct piece once
-per worker (within a bound), which gives the ids of the whole text.
+is not white space: the space starts a new piece; and a line end with no white space beside it is a piece.  Texts are cut there, and the
+library encodes each distinct piece once per worker (within a bound), which gives the ids of the whole text.
 
 Writing.  Ids are made where the rows are read, compressed, and shuffled once to the task that owns their range of doc_ids.
 A shard is written under a name of the attempt's own and then renamed, so a repeated task leaves one whole file.
@@ -17,33 +17,40 @@ A shard is written under a name of the attempt's own and then renamed, so a repe
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chartloom.llm.bpe import byte_letters
 from chartloom.llm.runtime import pick, small_batches
 
 SEQUENCES_A_BATCH = 64
-_PIECES_KEPT = 400_000
+_PIECES_KEPT = 350_000
 _MOST_SHARDS = 20_000
 
-#: White space after a space, in UTF-8 (and the end): there the space does not start a piece.
-_NO_CUT = rb"(?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80|\Z)"
-_UNSAFE, _CUT = re.compile(b" " + _NO_CUT), re.compile(b" (?!" + _NO_CUT + b")")
+#: Texts with white space at a place where it may not begin a piece of its own, or with a special token, go whole.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NO_PIECES = rf"(?:\A|{_WHITE})\n|\n(?:{_WHITE}|\z)| (?:{_WHITE}|\z)|<\|"
 
 
 class PieceEncoder:
-    """Whole texts by the tokenizers library, each distinct piece encoded once."""
+    """Whole texts by the tokenizers library, each distinct piece encoded once (within a bound, in one worker).
+
+    A batch of texts is cut into pieces and the pieces numbered in Arrow; only pieces that are new to the worker reach the
+    library, and the ids of the texts are gathered from those of their pieces.  A piece of letters, with or without a full
+    stop or comma behind, goes straight to the library's model; all others go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,23 +59,79 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[bytes, bytes] = {}
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.tokenize = self.library.model.tokenize
+        self.line = self._ids(["\n"])[0]
+        self.ends = {c: self._ids([c])[0] for c in ".,"}
+        self.letters = {b: ord(c) for b, c in enumerate(byte_letters())}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """For UTF-8 texts, their ids as little-endian bytes of self.kind."""
-        cut = [_CUT.split(t) if _UNSAFE.search(t) else t.split(b" ") for t in texts]
-        known = self.known
-        if len(known) > _PIECES_KEPT:
-            known.clear()
-        new = list(set().union(*[p[1:] for p in cut]).difference(known))
-        fresh = zip(new, self._ids([" " + p.decode() for p in new]), strict=True)
-        known.update(fresh)
-        first = self._ids([p[0].decode() for p in cut])
-        return [a + b"".join(map(known.__getitem__, p[1:])) for a, p in zip(first, cut, strict=True)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, piece: str) -> bytes | None:
+        """The ids of a piece of letters; None for any other."""
+        tail = self.ends.get(piece[-1:], b"")
+        word = piece[:-1] if tail else piece
+        head = b""
+        if word[:1] == "\n":
+            head, word = self.line, word[1:]
+        if not word.isalpha():
+            return None
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenize(text if head else "\u0120" + text)]
+        return head + array(self.code, ids).tobytes() + tail
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each as after a space, or as it stands where a line end begins it."""
+        if len(self.known) > _PIECES_KEPT:
+            self.older, self.known = self.known, {}
+        known, older, word, odd = self.known, self.older, self._word, []
+        out = list(map(known.get, pieces))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            p = pieces[i]
+            ids = older.get(p) or word(p)
+            if ids is None:
+                odd.append(i)
+            else:
+                out[i] = known[p] = ids
+        if odd:
+            for i, ids in zip(odd, self._ids([p if p[:1] == "\n" else " " + p for p in map(pieces.__getitem__, odd)]), strict=True):
+                out[i] = known[pieces[i]] = ids
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """For texts (null as empty), their ids as little-endian bytes of self.kind."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.invert(pc.match_substring_regex(texts, _NO_PIECES)) if len(self.line) == self.kind.itemsize else pa.array([False] * len(texts))
+        out: list[bytes] = [b""] * len(texts)
+        where = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        for i, ids in zip(where.tolist(), self._plain(texts.take(pa.array(where))), strict=True):
+            out[i] = ids
+        rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        for i, ids in zip(rest.tolist(), self._ids(texts.take(pa.array(rest)).to_pylist()), strict=True):
+            out[i] = ids
+        return out
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        bounds, numbered = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        first = bounds[:-1]
+        first_pieces = numbered.take(pa.array(first)).to_pylist()  # a text's first piece follows no space
+        index = numbered.indices.to_numpy().astype(np.int64)
+        index[first] = len(numbered.dictionary) + np.arange(len(first))
+        ids = self._pieces(numbered.dictionary.to_pylist()) + self._ids(first_pieces)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        starts, own = np.cumsum(sizes) - sizes, sizes[index]
+        ends = np.cumsum(own)
+        gathered = flat[np.repeat(starts[index] - (ends - own), own) + np.arange(ends[-1])]
+        at = np.concatenate(([0], ends))[bounds]
+        return [gathered[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -178,7 +241,7 @@ def write_token_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     be a path every executor has, folder a URI every executor and the driver can write and read.
     """
     spark = docs.sparkSession
-    small_batches(spark, 128)
+    small_batches(spark, 1024)
     docs = pick(docs, doc_id="bigint", text="string")
     n = docs.select("doc_id").count()
     shards = min(_MOST_SHARDS, max(1, -(-n // docs_a_shard)))
@@ -188,9 +251,9 @@ def write_token_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int
         encoder, press = piece_encoder(vocabulary), zstandard.ZstdCompressor(level=3)
         end = np.array([end_id], encoder.kind).tobytes()
         for b in batches:
-            ids = [x + end for x in encoder.encode([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])]
+            ids = [x + end for x in encoder.encode(b.column("text"))]
             at = np.searchsorted(cuts, b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.float64), side="right")
-            sizes = pa.array([len(x) // np.dtype(encoder.kind).itemsize for x in ids], pa.int64())
+            sizes = pa.array([len(x) // encoder.kind.itemsize for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column("doc_id"), sizes, pa.array([press.compress(x) for x in ids], pa.binary())], ["shard", "doc_id", "n_tokens", "ids"])
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,12 +274,14 @@ def write_token_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int
         columns = list(zip(*done, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["shard", "n_docs", "n_tokens"])
 
+    kind = "shard int, n_docs bigint, n_tokens bigint"
     ranged = docs.mapInArrow(encoded, "shard int, doc_id bigint, n_tokens bigint, ids binary").repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "ids")
-    return ranged.mapInArrow(written, "shard int, n_docs bigint, n_tokens bigint")
+    done = ranged.mapInArrow(written, kind).collect()  # at most _MOST_SHARDS rows
+    return spark.createDataFrame(done, kind)
 
 
 def read_token_store(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, shard), read back from the files: start counts over all shards, in order."""
+    """manifest: what write_token_store gave, held fast.  (doc_id, start, n_tokens, ids_crc32, shard), read back from the files: start counts over all shards, in order."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,5 +298,5 @@ def read_token_store(manifest: DataFrame, folder: str) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard, _MOST_SHARDS at most
     based = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     spark = manifest.sparkSession
-    parts = max(1, min(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = 2 * spark.sparkContext.defaultParallelism
     return based.repartition(parts, "shard").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard int")
