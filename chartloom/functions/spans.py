@@ -7,6 +7,8 @@ Offsets count code points from 0 and are half-open.  Patterns must not match the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,36 +24,49 @@ def any_of(phrases: list[str] | tuple[str, ...]) -> str:
     return "(?i)(?<![A-Za-z0-9])(?:" + "|".join(escaped) + ")(?![A-Za-z0-9])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once: inside a lambda, Spark would evaluate an expression anew at every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def match_spans(text: Column, pattern: str, groups: int = 0) -> Column:
     """array<struct<start, end, text, g1..gn>> of all matches of a pattern, in order; unmatched groups are null."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    columns = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(1, groups + 1)]
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
+    between = F.split(text, pattern, -1).alias("between")
+    columns = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f"c{k}") for k in range(1, groups + 1)]
+
+    def spans(v: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(v["between"], F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
+            start = before + F.aggregate(F.slice(v["found"], F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+            own = [F.nullif(F.try_element_at(v[f"c{k}"], i + 1), F.lit("")).alias(f"g{k}") for k in range(1, groups + 1)]
+            return let(start, lambda s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("text"), *own))
 
-    def span(m: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
-        start = before + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-        own = [F.nullif(F.try_element_at(c, i + 1), F.lit("")).alias(f"g{k}") for k, c in enumerate(columns, 1)]
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text"), *own)
+        return F.transform(v["found"], span)
 
-    return F.transform(found, span)
+    return let(F.struct(found, between, *columns), spans)
 
 
 def _trimmed(start: Column, raw: Column) -> Column:
-    lead = F.length(raw) - F.length(F.regexp_replace(raw, r"^\s+", ""))
-    body = F.regexp_replace(F.regexp_replace(raw, r"^\s+", ""), r"\s+$", "")
-    return F.struct((start + lead).alias("start"), (start + lead + F.length(body)).alias("end"), body.alias("text"))
+    def cut(v: Column) -> Column:
+        first = start + F.length(raw) - F.length(v)
+        return let(F.regexp_replace(v, r"\s+$", ""), lambda body: F.struct(first.alias("start"), (first + F.length(body)).alias("end"), body.alias("text")))
+
+    return let(F.regexp_replace(raw, r"^\s+", ""), cut)
 
 
 def sentence_spans(text: Column, boundary: str = SENTENCE_END) -> Column:
     """array<struct<start, end, text>> of the trimmed, non-blank sentences; the whole text where there is none."""
-    ends = F.regexp_extract_all(text, F.lit(boundary), F.lit(0))
-    pieces = F.split(text, boundary, -1)
-    raw = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(ends, i + 1), F.lit(""))))
-    starts = F.transform(raw, lambda r, i: F.aggregate(F.slice(raw, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
-    spans = F.filter(F.zip_with(starts, raw, _trimmed), lambda s: s["end"] > s["start"])
+    ends = F.regexp_extract_all(text, F.lit(boundary), F.lit(0)).alias("ends")
+    pieces = F.split(text, boundary, -1).alias("pieces")
+
+    def placed(raw: Column) -> Column:
+        at = F.transform(raw, lambda r, i: F.aggregate(F.slice(raw, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
+        return F.filter(F.zip_with(at, raw, _trimmed), lambda s: s["end"] > s["start"])
+
+    raw = let(F.struct(pieces, ends), lambda v: F.transform(v["pieces"], lambda p, i: F.concat(p, F.coalesce(F.try_element_at(v["ends"], i + 1), F.lit("")))))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("text")))
-    return F.when(F.size(spans) > 0, spans).otherwise(whole)
+    return let(let(raw, placed), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
 
 
 def containing(spans: Column, offset: Column) -> Column:
