@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions import lexicon as L
-from chartloom.functions.spans import any_of
+from chartloom.functions.spans import any_of, let
 
 
 @dataclass(frozen=True)
@@ -53,30 +53,44 @@ def resolve(rows: DataFrame, rules: AssertionRules = AssertionRules()) -> DataFr
     pre = _last(scope, negated)
     rows = rows.withColumn("_pre", F.when((F.lower(pre) == "not") & not_only, F.lit(None)).otherwise(pre))
 
-    def unless_negated(phrases: tuple[str, ...]) -> tuple[Column, Column, Column]:
-        """(trigger, negated before it, text up to its end)."""
+    def unless_negated(phrases: tuple[str, ...]) -> Column:
+        """struct<trigger, negated, said>: the last trigger, whether a negation stands before it, the text up to its end."""
         pattern = any_of(phrases)
-        raw = F.try_element_at(F.regexp_extract_all(scope, F.lit(pattern), F.lit(0)), F.lit(-1))
-        upto = F.length(scope) - F.length(F.element_at(F.split(scope, pattern, -1), -1))
-        head = scope.substr(F.lit(1), upto - F.length(raw))
-        said = F.trim(scope.substr(F.lit(1), upto))
-        return F.trim(raw), head.rlike(negated), F.when(F.length(said) > 60, said.substr(F.length(said) - 59, F.lit(60))).otherwise(said)
-
-    family, family_negated, family_said = unless_negated(rules.family_history)
-    past, past_negated, past_said = unless_negated(rules.historical)
-    chronic = F.lower(F.trim(F.coalesce(F.nullif("normalized_text", F.lit("")), F.col("text")))).isin(*rules.chronic) & F.col("after").rlike(L.MANAGEMENT)
-    circumstance = _first(ahead, L.CIRCUMSTANCE)
-    hypothetical, possible = _last(scope, any_of(rules.hypothetical)), _last(scope, any_of(rules.possible))
-    post_past, post_negation = _first(near, any_of(rules.post_historical)), _first(near, any_of(rules.post_negation))
+
+        def told(v: Column) -> Column:
+            raw = F.try_element_at(v["found"], F.lit(-1))
+            upto = F.length(scope) - F.length(F.element_at(v["between"], -1))
+            said = F.trim(scope.substr(F.lit(1), upto))
+            head = scope.substr(F.lit(1), upto - F.length(raw))
+            return F.struct(F.trim(raw).alias("trigger"), head.rlike(negated).alias("negated"), F.when(F.length(said) > 60, F.right(said, F.lit(60))).otherwise(said).alias("said"))
+
+        found = F.regexp_extract_all(scope, F.lit(pattern), F.lit(0))
+        return F.when(scope.rlike(pattern), let(F.struct(found.alias("found"), F.split(scope, pattern, -1).alias("between")), told))
+
     backward = any_of(tuple(dict.fromkeys(rules.post_negation + rules.post_historical)))
-    unbound = F.when(F.length(F.element_at(F.split(ahead, backward, 2), 1)) >= scope_end, _first(ahead, backward))
+    chronic = F.lower(F.trim(F.coalesce(F.nullif("normalized_text", F.lit("")), F.col("text")))).isin(*rules.chronic) & F.col("after").rlike(L.MANAGEMENT)
+    # each trigger is a column of its own, so that it is looked for once a mention
+    for name, value in {
+        "_family": unless_negated(rules.family_history),
+        "_circumstance": _first(ahead, L.CIRCUMSTANCE),
+        "_hypothetical": _last(scope, any_of(rules.hypothetical)),
+        "_past": unless_negated(rules.historical),
+        "_post_past": _first(near, any_of(rules.post_historical)),
+        "_possible": _last(scope, any_of(rules.possible)),
+        "_post_negation": _first(near, any_of(rules.post_negation)),
+        "_unbound": F.when(F.length(F.element_at(F.split(ahead, backward, 2), 1)) >= scope_end, _first(ahead, backward)),
+    }.items():
+        rows = rows.withColumn(name, value)
+    family, past = F.col("_family.trigger"), F.col("_past.trigger")
+    circumstance, hypothetical, possible = F.col("_circumstance"), F.col("_hypothetical"), F.col("_possible")
+    post_past, post_negation, unbound = F.col("_post_past"), F.col("_post_negation"), F.col("_unbound")
 
     steps: list[tuple[Column, Column | str, str, Column]] = [
-        (family.isNotNull() & family_negated, "absent", "pre-negation", family_said),
+        (family.isNotNull() & F.col("_family.negated"), "absent", "pre-negation", F.col("_family.said")),
         (family.isNotNull(), "family-history", "family-history", family),
         (F.col("_pre").isNull() & circumstance.isNotNull(), "conditional", "conditional", circumstance),
         (hypothetical.isNotNull(), "hypothetical", "hypothetical", hypothetical),
-        (past.isNotNull() & past_negated, "absent", "pre-negation", past_said),
+        (past.isNotNull() & F.col("_past.negated"), "absent", "pre-negation", F.col("_past.said")),
         (past.isNotNull() & chronic, "present", "chronic-active-present", past),
         (past.isNotNull(), "historical", "historical", past),
         (post_past.isNotNull(), "historical", "post-historical", post_past),
@@ -95,4 +109,4 @@ def resolve(rows: DataFrame, rules: AssertionRules = AssertionRules()) -> DataFr
     for c in ("assertion", "decision", "trigger"):
         out = out.withColumn(c, F.col(f"_r.{c}"))
     out = out.withColumn("assertion_reason", F.concat_ws(": ", "decision", "trigger"))
-    return out.drop("_in", "_scope", "_open", "_near", "_pre", "_r")
+    return out.drop(*[c for c in out.columns if c.startswith("_")])

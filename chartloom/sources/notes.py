@@ -126,11 +126,20 @@ def notes_sql() -> str:
     return f"SELECT event_id AS note_id, user_id AS patient_id, event_id AS visit_id, ts AS observed_at, {number} AS template_id, CASE {number} {cases} END AS text FROM events"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files give fewer partitions than that: what follows is costly a row, the rows are small.
+
+    A table of many files keeps its partitions and has no shuffle here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def clinical_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(note_id, patient_id, visit_id, observed_at, template_id, text), one note an event; no shuffle."""
+    """(note_id, patient_id, visit_id, observed_at, template_id, text), one note an event."""
     number = f"CAST(event_id % {len(TEMPLATES)} AS INT)"
     cases = " ".join(f"WHEN {k} THEN {filled(t)}" for k, t in enumerate(TEMPLATES))
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts"))
     return events.selectExpr("event_id AS note_id", "user_id AS patient_id", "event_id AS visit_id", "ts AS observed_at", f"{number} AS template_id", f"CASE {number} {cases} END AS text")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.sources.notes import filled, literal
+from chartloom.sources.notes import filled, literal, spread
 
 TEMPLATES = [
     "PHQ-9: {phq}. GAD-7 8. AUDIT-C 3. C-SSRS 2. BMI 31.5.",
@@ -114,7 +114,7 @@ def _cases() -> str:
 
 def wide_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(note_id, template_id, text), one note an event."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"))
     return events.selectExpr("event_id AS note_id", f"{_number()} AS template_id", f"CASE {_number()} {_cases()} END AS text")
 
 
