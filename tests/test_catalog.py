@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from chartloom.plans import catalog, documents, wide  # noqa: F401
+from chartloom.plans import adapters, catalog, documents, wide  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages benchmark labels conversations".split()
