@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chartloom.functions import lexicon as L
-from chartloom.functions.spans import any_of, containing, match_spans, overlap, sentence_spans
+from chartloom.functions.spans import any_of, containing, let, match_spans, overlap, sentence_spans
 from chartloom.operators.assertion import AssertionRules, resolve
 
 MENTION = "struct<start_char int, end_char int, text string, entity_type string, normalized_text string, section_context string, confidence_score double, attributes map<string,string>, concept_ord int>"
@@ -37,11 +37,12 @@ def _concept_mentions(text: Column, concept: L.Concept, order: int) -> Column:
     return F.transform(match_spans(text, concept.pattern, len(concept.groups)), mention)
 
 
-def guarded_si(m: Column, note_text: Column) -> Column:
+def guarded_si(m: Column, cue: Column) -> Column:
     """A bare SI in a note without a psychiatric cue keeps its place with low confidence and a reason for review."""
-    bare = (m["normalized_text"] == "suicidal ideation") & (F.upper(F.trim(m["text"])) == "SI") & ~F.coalesce(note_text.rlike(L.PSYCH_CONTEXT), F.lit(False))
     noted = F.map_concat(m["attributes"], F.create_map(F.lit("review_reason"), F.lit("ambiguous-SI-no-psych-context")))
-    return m.withField("confidence_score", F.when(bare, F.least(m["confidence_score"], F.lit(L.SI_CONFIDENCE))).otherwise(m["confidence_score"])).withField("attributes", F.when(bare, noted).otherwise(m["attributes"]))
+    low = m.withField("confidence_score", F.least(m["confidence_score"], F.lit(L.SI_CONFIDENCE))).withField("attributes", noted)
+    bare = (m["normalized_text"] == "suicidal ideation") & (F.upper(F.trim(m["text"])) == "SI") & ~F.coalesce(cue, F.lit(False))
+    return F.when(bare, low).otherwise(m)
 
 
 def extract_mentions(notes: DataFrame, concepts: Sequence[L.Concept] = L.CONCEPTS, rules: AssertionRules = AssertionRules(), keep: Sequence[str] = ("note_id",)) -> DataFrame:
@@ -53,12 +54,12 @@ def extract_mentions(notes: DataFrame, concepts: Sequence[L.Concept] = L.CONCEPT
     """
     text = F.col("text")
     found = F.concat(*[_concept_mentions(text, c, k) for k, c in enumerate(concepts or L.CONCEPTS)])
-    rows = notes.select(*keep, "text", found.alias("found")).where(F.size("found") > 0)
-    guarded = F.transform("found", lambda m: guarded_si(m, F.col("text")))
     # of equal (type, span), the first in concept order stays
-    ordered = F.array_sort(guarded, lambda a, b: _by_place(a, b))
-    rows = rows.select(*keep, "text", ordered.alias("found"), sentence_spans(text).alias("sentences"))
-    rows = rows.select(*keep, "sentences", F.posexplode(_first_of_equals(F.col("found"))).alias("mention_idx", "m"))
+    kept = let(found, lambda f: let(_in_order(f), _first_of_equals))
+    guarded = let(text.rlike(L.PSYCH_CONTEXT), lambda cue: F.transform(kept, lambda m: guarded_si(m, cue)))
+    rows = notes.select(*keep, guarded.alias("found"), sentence_spans(text).alias("sentences"))
+    # the outer form: for the inner one, Catalyst would find all mentions a second time to drop notes without any
+    rows = rows.select(*keep, "sentences", F.posexplode_outer("found").alias("mention_idx", "m")).where("m IS NOT NULL")
     s = containing(F.col("sentences"), F.col("m.start_char"))
     rows = rows.select(*keep, "mention_idx", "m.*", s.alias("s"))
     before = F.expr("substring(s.text, 1, start_char - s.start)")
@@ -67,11 +68,10 @@ def extract_mentions(notes: DataFrame, concepts: Sequence[L.Concept] = L.CONCEPT
     return resolve(rows, rules).drop("before", "after")
 
 
-def _by_place(a: Column, b: Column) -> Column:
-    def by(x: Column, y: Column, rest: Column) -> Column:
-        return F.when(x < y, F.lit(-1)).when(x > y, F.lit(1)).otherwise(rest)
-
-    return by(a["start_char"], b["start_char"], by(a["end_char"], b["end_char"], by(a["entity_type"], b["entity_type"], by(a["concept_ord"], b["concept_ord"], F.lit(0)))))
+def _in_order(mentions: Column) -> Column:
+    """By start, end and type; of equals, in concept order."""
+    keys = F.transform(mentions, lambda m, i: F.struct(m["start_char"].alias("a"), m["end_char"].alias("b"), m["entity_type"].alias("t"), m["concept_ord"].alias("o"), i.alias("i")))
+    return F.transform(F.sort_array(keys), lambda k: mentions[k["i"]])
 
 
 def _first_of_equals(mentions: Column) -> Column:

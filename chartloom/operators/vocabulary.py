@@ -48,7 +48,7 @@ def family_mentions(notes: DataFrame, active: Sequence[str] = ALL, keep: Sequenc
         anything = F.col("text").rlike("(?i)" + "|".join(f"(?:{f.pattern})" for _, f in group))
         found = F.concat(*[_family_matches(F.col("text"), f, k) for k, f in group])
         columns.append(F.when(anything, found).otherwise(F.array().cast(FOUND)))
-    return rows.select(*keep, F.explode(F.concat(*columns)).alias("m")).select(*keep, "m.*")
+    return rows.select(*keep, F.explode_outer(F.concat(*columns)).alias("m")).where("m IS NOT NULL").select(*keep, "m.*")
 
 
 # -- dictionary --------------------------------------------------------------------------------------------------------
@@ -117,7 +117,7 @@ def dictionary_mentions(notes: DataFrame, concepts: Sequence[tuple] = DICTIONARY
         anything = F.col("text").rlike("(?i)" + "|".join(term_pattern(t) for _, t in group))
         columns.append(F.when(anything, F.concat(*parts)).otherwise(F.array().cast(TERM)))
     rows = notes.select(*keep, "text", segments(F.col("text")).alias("segs"), sections(F.col("text")).alias("secs"))
-    rows = rows.select(*keep, "segs", "secs", F.explode(F.concat(*columns)).alias("m"))
+    rows = rows.select(*keep, "segs", "secs", F.explode_outer(F.concat(*columns)).alias("m")).where("m IS NOT NULL")
     seg = containing(F.col("segs"), F.col("m.start_char"))
     rows = rows.select(*keep, "secs", "m.*", seg.alias("seg"))
     inside = lambda a, b: F.filter("secs", lambda s: (s["start"] <= a) & (a < s["end"]) if b is None else (s["start"] >= a) & (s["start"] < b))
