@@ -32,7 +32,7 @@ from chartloom.llm.runtime import materialize, pick, small_batches
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEED = 42
-_HASH_BLOCK = 1 << 16  # shingles hashed at once
+_HASH_BLOCK = 1 << 16  # shingles whose bits are counted at once
 _SMALL_CELL = 64
 
 
@@ -47,9 +47,9 @@ class SimHashParams:
     distance: int = 4
 
 
-#: Five-word shingles, similarity 0.8.  A Jaccard similarity of 0.8 is a cosine of 8/9 between the shingle counts, and
-#: SimHash bits then differ with probability acos(8/9) / pi = 0.151: 19.4 of 128 on average, with a deviation of 4.  22 bits
-#: take in most such pairs; 17 are found for certain, and pairs up to 22 with a probability of at least 0.87.
+#: Five-word shingles, an estimate of similarity 0.8: a Jaccard similarity of 0.8 is a cosine of 8/9 between the shingle
+#: counts, and SimHash bits then differ with probability acos(8/9) / pi = 0.151, 19.4 of 128 on average with a deviation of 4.
+#: 17 bits are found for certain.  The pipeline's stage does not use it: similar_texts.py is exact.
 SIMILARITY_80 = SimHashParams(shingle=5, words64=2, groups=((0, 24), (24, 20), (44, 20), (64, 24), (88, 20), (108, 20)), distance=22)
 
 
@@ -59,23 +59,32 @@ def _remixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: bytes, shingle: int, words64: int = 1) -> list[int]:
-    """The fingerprint of one UTF-8 text as unsigned 64-bit words; null is given as b''."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of one UTF-8 text, repeats included; empty for a text without words."""
     words = text.translate(_LOWER).split()
     if not words:
-        return [0] * words64
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros((words64, 64), np.int64)
-    for at in range(0, n, _HASH_BLOCK):
-        h = np.fromiter((digest(joined[s:e], _SEED) for s, e in zip(starts[at : at + _HASH_BLOCK], ends[at : at + _HASH_BLOCK], strict=True)), np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], _SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int, words64: int = 1) -> list[int]:
+    """The fingerprint of one UTF-8 text as unsigned 64-bit words; null is given as b''."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return [0] * words64
+    counts = np.zeros((words64, 64), np.int64)
+    for at in range(0, len(hashes), _HASH_BLOCK):
+        h = hashes[at : at + _HASH_BLOCK]
         for k in range(words64):
             h = _remixed(h) if k else h
             counts[k] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * counts > n).astype(np.uint8)
+    bits = (2 * counts > len(hashes)).astype(np.uint8)
     return [int(x) for x in np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]]
 
 
@@ -246,7 +255,8 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) ->
     return fps.join(named, words, "left").select("doc_id", *words, "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, params: SimHashParams = SIMILARITY_80) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id.  Rows with a null doc_id stay."""
-    gone = near_duplicates(docs, params).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs without the rows that have a near duplicate (five-word shingles, similarity 0.8, exact) of smaller doc_id."""
+    from chartloom.llm.similar_texts import drop_similar
+
+    return drop_similar(docs)

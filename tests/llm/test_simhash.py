@@ -97,3 +97,32 @@ def test_components_of_chain_star_and_empty(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(62)}, **{1000 + i: 1000 for i in range(40)}}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_similarity_stage_is_exact_at_its_cut(spark):
+    from chartloom.llm.similar_texts import similar_components
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = ["", None, "one two", "One  two"]
+    for _ in range(60):
+        base = [word() for _ in range(rng.randrange(20, 90))]
+        texts.append(" ".join(base))
+        for _ in range(3):  # similarities on both sides of 0.8, some of them links of a chain
+            own = base + [word() for _ in range(rng.randrange(0, 30))] if rng.random() < 0.5 else [w if rng.random() > 0.03 else word() for w in base]
+            texts.append(" ".join(own))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * both >= 4 * either:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    got = {r["doc_id"]: r["component_id"] for r in similar_components(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+    kept = {r["doc_id"] for r in S.drop_near_duplicates(documents(spark, texts)).collect()}
+    assert kept == set(label)
