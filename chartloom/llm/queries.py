@@ -131,11 +131,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chartloom.llm.toxicity import fit, held_out, score_documents
+    from chartloom.llm.toxicity import fit_and_score, held_out
 
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    scored = score_documents(docs.select("doc_id", "text", "lang"), model)
+    scored = fit_and_score(docs, table(spark, sf_dir, "labels"), ["doc_id", "lang"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("rejected").alias("rejected_by_language"))
 
 

@@ -8,9 +8,11 @@ told, and a logistic unit gives the score.  Training is by Adagrad from embeddin
 component starts at the parts' log odds in the sample; only the positions where a filter had its maximum pass a gradient back.
 
 Fitting uses a bounded sample of labelled rows (`sample` of each label, chosen by a hash of doc_id) outside the held-out
-fifth; class counts over all labelled rows of the rest correct the intercept for the sample's balance, and a calibration part of the sample moves it so
-that 0.5 is the cut of the highest F1.  The score sees the text alone.  Decisions may differ by language: for each language
-with enough labels the cut that is best for it is kept, and 0.5 elsewhere.
+fifth and a part kept for calibration; class counts over all labelled rows correct the intercept for the sample's balance.
+All labelled rows that were neither held out nor trained on are scored on the executors, and histograms of their scores by
+language and label move the intercept so that 0.5 is the cut of the highest F1.  The score sees the text alone.  Decisions
+may differ by language: for each language with 10 or more such rows of label 1 the cut that is best for it is kept, and 0.5
+elsewhere.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import pick, small_batches
+from chartloom.llm.runtime import materialize, pick, small_batches
 
 WIDTHS = (1, 2, 3)
 RUNS = (3, 4, 5, 6)  # bytes of a word's parts
 _WORDS_KEPT = 150_000
 _POSITIONS = 1 << 15  # positions of a text scored at once, a multiple of GROUP
-FEW_LABELS = 1000  # rows of label 1 in the sample, below which all of it is trained on
+_BINS = 64  # histogram bins for one unit of a logit
 GROUP, TOP = 16, 3  # positions of a local maximum, and how many of the highest count
 
 
@@ -160,6 +162,9 @@ class Scorer:
         self.used += len(rows)
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.logits(texts)))
+
+    def logits(self, texts: list[bytes | None]) -> np.ndarray:
         pooled = []
         for text in texts:
             words = words_of(text)
@@ -172,7 +177,7 @@ class Scorer:
                 self._meet(new[at : at + 4096])
             pooled.append(self.model.pooled(self.shares, np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))[0])
         z = self.model.logit(np.array(pooled, np.float32)) if pooled else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -35, 35)))
+        return np.clip(z.astype(np.float64), -35, 35)
 
 
 def train(texts: list[bytes], labels: np.ndarray, positive_rate: float, epochs: int = 4, batch: int = 32, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
@@ -253,105 +258,131 @@ def train(texts: list[bytes], labels: np.ndarray, positive_rate: float, epochs:
     return model
 
 
-def _logits(scores: np.ndarray) -> np.ndarray:
-    p = np.clip(scores, 1e-12, 1 - 1e-12)
-    return np.log(p / (1 - p))
+def _best_cut(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """The logit of the highest F1, midway between the lowest bin above it and the next that has rows."""
+    z, at = np.unique(-bins, return_inverse=True)
+    hit = np.cumsum(np.bincount(at, weights * labels, len(z)))
+    k = int(np.argmax(2 * hit / (np.cumsum(np.bincount(at, weights, len(z))) + max(float(hit[-1]), 1e-9))))
+    return float((1 - z[k] - (z[k + 1] if k + 1 < len(z) else z[k] + _BINS)) / 2 / _BINS)
+
 
+def _labelled(labels: DataFrame) -> DataFrame:
+    return pick(labels, doc_id="bigint", toxic="int").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
 
-def _best_cut(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
-    """The logit of the highest F1, midway to the next lower one; weights bring the labels back to their shares in all rows."""
-    order = np.argsort(-logits, kind="stable")
-    z, y, w = logits[order], labels[order], weights[order]
-    hit, all1 = np.cumsum(y * w), max(float((y * w).sum()), 1e-9)
-    k = int(np.argmax(2 * hit / (np.cumsum(w) + all1)))
-    return float((z[k] + (z[k + 1] if k + 1 < len(z) else z[k] - 1)) / 2)
 
+def calibrate(model: ToxicityModel, scored: DataFrame, labels: DataFrame, trained_on: list[int]) -> None:
+    """Shift the intercept so that 0.5 is the best cut over all labelled rows not trained on; then set each language's threshold.
 
-def calibrate(model: ToxicityModel, texts: list[bytes], labels: np.ndarray, langs: np.ndarray, weights: np.ndarray) -> None:
-    """Shift the intercept so that 0.5 is the best cut over all calibration rows; then set each language's threshold."""
-    if not 10 <= labels.sum() < len(labels):
+    scored(doc_id, lang, logit) holds the model's logits.  The rows count by their label's share of all labelled rows, and
+    by that within the language for the language's threshold.  Only histograms reach the driver, for the languages that get a
+    threshold.
+    """
+    spark = scored.sparkSession
+    seen = F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(trained_on))], "seen_id bigint"))
+    rows = scored.join(_labelled(labels), "doc_id").join(seen, F.col("doc_id") == F.col("seen_id"), "left")
+    rows = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), "toxic", F.col("seen_id").isNull().alias("unseen"), F.floor(F.col("logit") * _BINS).cast("int").alias("bin"))
+    rows = materialize(rows.groupBy("lang", "toxic", "unseen", "bin").agg(F.count("*").alias("n")), "toxicity-histograms")
+
+    def read(table: DataFrame) -> list[np.ndarray]:
+        got = table.toArrow()
+        return [np.array(got.column(c).to_pylist(), object if c == "lang" else float) for c in ("toxic", "unseen", "bin", "n", *(["lang"] if "lang" in got.column_names else []))]
+
+    def cut_of(y: np.ndarray, unseen: np.ndarray, bins: np.ndarray, n: np.ndarray) -> float | None:
+        of = [[float(n[(y == v) & (unseen >= u)].sum()) for u in (0, 1)] for v in (0, 1)]
+        if of[1][1] < 10 or not of[0][1]:
+            return None
+        own = unseen == 1
+        return _best_cut(bins[own], y[own], (n * np.where(y == 1, of[1][0] / of[1][1], of[0][0] / of[0][1]))[own])
+
+    cut = cut_of(*read(rows.groupBy("toxic", "unseen", "bin").agg(F.sum("n").alias("n"))))
+    if cut is None:
         return
-    z = _logits(Scorer(model).scores(texts))
-    shift = min(max(_best_cut(z, labels, weights), -4.0), 4.0)
+    shift = min(max(cut, -4.0), 4.0)
     model.intercept -= shift
+    enough = rows.where("unseen and toxic = 1").groupBy("lang").agg(F.sum("n").alias("ones")).where("ones >= 10").select("lang")
+    y, unseen, bins, n, langs = read(rows.join(enough, "lang"))
     for code in sorted(set(langs)):
         own = langs == code
-        if 10 <= labels[own].sum() < own.sum():
-            cut = min(max(_best_cut(z[own] - shift, labels[own], weights[own]), -3.0), 3.0)
-            model.thresholds[code] = float(1 / (1 + np.exp(-cut)))
+        cut = cut_of(y[own], unseen[own], bins[own], n[own])
+        if cut is not None:
+            model.thresholds[code] = float(1 / (1 + np.exp(-min(max(cut - shift, -3.0), 3.0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, calibration_share: int = 4) -> ToxicityModel:
-    """Train on docs(doc_id, text, lang) joined with labels(doc_id, toxic), held-out rows aside.
-
-    `sample` bounds the rows of each label that are learned from (2 * sample texts reach the driver); the model does not
-    depend on anything else that grows.  A sample row in `calibration_share` sets thresholds by language and is not trained
-    on.  Null labels, ids and texts are left out of the sample; of repeated rows the sample may hold several.  Without any
-    labelled row the model is constant.
-    """
-    known = pick(labels, doc_id="bigint", toxic="int").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+def _trained(docs: DataFrame, labels: DataFrame, sample: int, calibration_share: int) -> tuple[ToxicityModel, list[int]]:
+    """A model before calibration, and the doc_ids it was trained on.  A small sample is gone over more often."""
+    known = _labelled(labels)
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    kept = F.crc32(F.concat(F.lit("calibration "), F.col("doc_id").cast("string"))) % calibration_share == 0
     draw = F.xxhash64("doc_id")
     chosen = None
     for y in (0, 1):
-        part = known.where(F.col("toxic") == y).orderBy(draw, "doc_id").limit(sample)
+        part = known.where(F.col("toxic") == y).where(~kept).orderBy(draw, "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = pick(docs, doc_id="bigint", text="string", lang="string").where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), "toxic").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    ids = rows.column("doc_id").to_numpy()[order]
+    texts = pick(docs, doc_id="bigint", text="string").where("text is not null")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow()
+    ids = rows.column("doc_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
     text = rows.column("text").cast(pa.binary()).take(pa.array(order)).to_pylist()
-    lang = np.array(rows.column("lang").take(pa.array(order)).to_pylist(), object)
     y = rows.column("toxic").to_numpy()[order].astype(np.float32)
-    calibrating = np.array([zlib.crc32(b"calibration %d" % i) % calibration_share == 0 for i in ids.tolist()], bool)
+    del rows
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
-    return fit_sample(text, y, lang, calibrating, n1, n0)
+    model = train(text, y, n1 / max(1, n1 + n0), epochs=min(12, max(4, 12_000 // max(1, len(y)))))
+    return model, ids.tolist()
 
 
-def fit_sample(texts: list[bytes], y: np.ndarray, langs: np.ndarray, calibrating: np.ndarray, n1: int, n0: int) -> ToxicityModel:
-    """Train beside the calibration rows and calibrate on them; where labels are few, train once more on all of the sample.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, calibration_share: int = 4) -> ToxicityModel:
+    """Train on docs(doc_id, text, lang) joined with labels(doc_id, toxic), held-out rows aside, and calibrate.
 
-    n1 and n0: rows of label 1 and 0 that the sample stands for.  A small sample is gone over more often.
+    `sample` bounds the rows of each label that are trained on (2 * sample texts reach the driver).  A labelled row in
+    `calibration_share` is never trained on; these and all others outside the sample set the cut and the thresholds by
+    language, whatever the table's size.  Null labels, ids and texts are left out of the sample; of repeated rows the sample
+    may hold several.  Without any labelled row the model is constant.
     """
-    rate1 = n1 / max(1, n1 + n0)
-
-    def trained(use: np.ndarray) -> ToxicityModel:
-        return train([t for t, u in zip(texts, use, strict=True) if u], y[use], rate1, epochs=min(12, max(4, 12_000 // max(1, int(use.sum())))))
-
-    model = trained(~calibrating)
-    own = y[calibrating]
-    weights = np.where(own == 1, n1 / max(1, own.sum()), n0 / max(1, (1 - own).sum()))
-    plain = model.intercept
-    calibrate(model, [t for t, c in zip(texts, calibrating, strict=True) if c], own, langs[calibrating], weights)
-    if 0 < y.sum() < FEW_LABELS:
-        again = trained(np.ones(len(y), bool))
-        again.intercept += model.intercept - plain
-        again.thresholds = model.thresholds
-        model = again
+    model, ids = _trained(docs, labels, sample, calibration_share)
+    own = pick(docs, doc_id="bigint", text="string", lang="string").join(_labelled(labels).select("doc_id").distinct(), "doc_id", "left_semi")
+    calibrate(model, _with_logits(own, model, ["doc_id", "lang"]), labels, ids)
     return model
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs with columns score (double), and rejected (boolean, by the threshold of the row's language).
+def fit_and_score(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """score_documents(docs, fit(docs, labels)), or the named columns of it with score and rejected; each text is scored once."""
+    model, ids = _trained(docs, labels, 2500, 4)
+    before = model.intercept
+    scored = materialize(_with_logits(docs, model, columns or docs.columns), "toxicity-logits")
+    calibrate(model, scored.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "logit"), labels, ids)
+    return _decided(scored.withColumn("logit", F.col("logit") + F.lit(float(model.intercept - before))), model)
 
-    Whole texts are scored; null or empty text has the score of a text without words.  lang, where the table has it, only
-    picks the threshold.  All other columns and rows stay as they are.
-    """
+
+def _with_logits(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
+    """The named columns of docs, and logit (double)."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = list(docs.columns)
-    held = docs.select(F.struct(*names).alias("row"), F.col("text").cast("string").alias("text"))
+    held = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"))
     row = held.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(scorer.scores(b.column("text").cast(pa.binary()).to_pylist()))], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(scorer.logits(b.column("text").cast(pa.binary()).to_pylist()))], ["row", "logit"])
 
-    out = held.mapInArrow(run, f"row {row}, score double").select("row.*", "score")
+    return held.mapInArrow(run, f"row {row}, logit double").select("row.*", "logit")
+
+
+def _decided(scored: DataFrame, model: ToxicityModel) -> DataFrame:
+    """scored with columns score and rejected for its logit."""
     cut = F.lit(0.5)
-    if "lang" in names:
+    if "lang" in scored.columns:
         for code, value in model.thresholds.items():
             cut = F.when(F.col("lang") == code, F.lit(value)).otherwise(cut)
+    out = scored.withColumn("score", 1 / (1 + F.exp(-F.col("logit")))).drop("logit")
     return out.withColumn("rejected", F.col("score") >= cut)
+
+
+def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """docs with columns score (double), and rejected (boolean, by the threshold of the row's language).
+
+    Whole texts are scored; null or empty text has the score of a text without words.  lang, where the table has it, only
+    picks the threshold.  All other columns and rows stay as they are.
+    """
+    return _decided(_with_logits(docs, model, docs.columns), model)

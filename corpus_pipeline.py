@@ -14,13 +14,12 @@ from chartloom.llm.decontaminate import drop_contaminated
 from chartloom.llm.runtime import materialize, table
 from chartloom.llm.simhash import drop_near_duplicates
 from chartloom.llm.span_dedup import remove_repeated_spans
-from chartloom.llm.toxicity import fit, score_documents
+from chartloom.llm.toxicity import fit_and_score
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects, by the threshold of their language, go."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, model).where(~F.col("rejected")).select(docs.columns)
+    return fit_and_score(docs, table(spark, sf_dir, "labels")).where(~F.col("rejected")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

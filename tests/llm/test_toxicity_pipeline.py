@@ -99,3 +99,19 @@ def test_pipeline_stages_do_what_they_say(spark, tmp_path):
         if name == "benchmark_leaks":
             assert 122 not in kept and kept >= set(range(60))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_a_rare_language_with_many_labels_gets_its_threshold_from_all_of_them(spark):
+    rows = corpus(1500, random.Random(6))
+    docs = spark.createDataFrame([(i, t, "xx" if i % 15 == 0 or i % 15 == 1 else "en", "s", len(t)) for i, t, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
+    model = X.fit(docs, labels, sample=40)  # 40 rows a label hold about three of label 1 in xx, of about 80 to calibrate with
+    assert set(model.thresholds) == {"en", "xx"}
+
+
+def test_scoring_once_is_fitting_and_scoring(spark):
+    rows = corpus(400, random.Random(7))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: (round(r["score"], 6), r["rejected"]) for r in X.fit_and_score(docs, labels).collect()}
+    assert got == {r["doc_id"]: (round(r["score"], 6), r["rejected"]) for r in X.score_documents(docs, X.fit(docs, labels)).collect()}
