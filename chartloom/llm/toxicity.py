@@ -1,6 +1,7 @@
 """Toxicity: a convolutional text classifier in numpy over hashed word embeddings.
 
-Words are runs of anything but ASCII white space, lower-cased.  A word's embedding is the mean of the embeddings of its
+Words are runs of anything but ASCII white space, lower-cased; a run of over PIECE bytes is taken as successive pieces that
+overlap by the longest part but one byte, so that every part of it counts and no piece drowns in the rest.  A word's embedding is the mean of the embeddings of its
 hashed parts: the word itself between brackets, and that string's runs of 3 to 6 bytes, so that words never seen share what
 their parts have taught.  Filters of several widths slide over the words of the whole text; of each filter's local maxima
 (over 16 positions) the three highest pass a rectifier, so that words which mean little once and much when they recur can be
@@ -30,6 +31,7 @@ from chartloom.llm.runtime import materialize, pick, small_batches
 
 WIDTHS = (1, 2, 3)
 RUNS = (3, 4, 5, 6)  # bytes of a word's parts
+PIECE = 64  # bytes of a word at most
 _WORDS_KEPT = 150_000
 _POSITIONS = 1 << 15  # positions of a text scored at once, a multiple of GROUP
 _BINS = 64  # histogram bins for one unit of a logit
@@ -42,14 +44,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+    words = (text or b"").lower().split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    common = max(RUNS) - 1
+    return [w[at : at + PIECE] for w in words for at in range(0, max(1, len(w) - common), PIECE - common)]
 
 
 def _hashed(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of the words' parts, word after word, and where each word's begin: the whole, then its runs by size."""
     flats, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
     for at in range(0, len(words), 4096):
-        own = [b"<" + w[:64] + b">" for w in words[at : at + 4096]]
+        own = [b"<" + w + b">" for w in words[at : at + 4096]]
         length = np.fromiter(map(len, own), np.int64, len(own))
         raw = np.frombuffer(b"".join(own) + bytes(max(RUNS)), np.uint8).astype(np.uint64)
         n, ends = int(length.sum()), np.cumsum(length)

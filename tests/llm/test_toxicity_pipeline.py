@@ -115,3 +115,14 @@ def test_scoring_once_is_fitting_and_scoring(spark):
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
     got = {r["doc_id"]: (round(r["score"], 6), r["rejected"]) for r in X.fit_and_score(docs, labels).collect()}
     assert got == {r["doc_id"]: (round(r["score"], 6), r["rejected"]) for r in X.score_documents(docs, X.fit(docs, labels)).collect()}
+
+
+def test_long_words_are_read_whole():
+    word = b"x" * 100
+    assert X.words_of(word + b"idiotic") != X.words_of(word + b"harmless")
+    pieces = X.words_of(word + b"idiotic" + b"y" * 100)
+    assert max(map(len, pieces)) <= X.PIECE and any(b"idioti" in p for p in pieces)
+    rows = corpus(200, random.Random(9))
+    model = X.train([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], np.float32), 0.2, epochs=1)
+    plain, other = X.Scorer(model).scores([word + b"abcabc" * 5, word + b"idioticscumlikewretched"])
+    assert plain != other
