@@ -107,7 +107,7 @@ FROM c
 def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.span_dedup import remove_repeated_spans
 
-    found = remove_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), only_changed=True)
+    found = remove_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "first_docs", "removed_chars", "text")
 
 

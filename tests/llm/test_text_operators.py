@@ -248,3 +248,10 @@ def test_op1_digests(spark):
 
 def test_documents_schema():
     assert DOCS.startswith("doc_id bigint")
+
+
+def test_op2_returns_every_row(spark):
+    from chartloom.llm.queries import op2_span_dedup
+
+    rows = op2_span_dedup(spark, SF).select("doc_id", "removed_chars").collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count() and any(r["removed_chars"] == 0 for r in rows)
