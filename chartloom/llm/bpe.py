@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from chartloom.llm.runtime import pick, small_batches
+from chartloom.llm.runtime import pick, python_stage
 
 _PIECES_KEPT = 400_000
 _FRAGMENTS_KEPT = 400_000
@@ -183,7 +183,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True) ->
     One row per input row, in any order.  Null text is empty: no tokens, the digests of nothing.  ids are little-endian
     unsigned 32-bit integers; with_ids=False leaves ids and decoded out.  vocabulary must be a path every executor has.
     """
-    small_batches(docs.sparkSession, 128)
+    python_stage(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(vocabulary)

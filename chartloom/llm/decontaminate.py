@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import pick, small_batches
+from chartloom.llm.runtime import pick, python_stage
 
 ITEM_BLOCK_CHARS = 4_000_000
 LEAST_ITEM = 24  # shorter items have no budget: they match exactly
@@ -141,7 +141,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, bloc
     end is where the best match ends in the normalised text.  Items and texts that are null or blank match nothing; items
     with a null id are left out; repeated rows of docs give repeated pairs.  Either table may be empty.
     """
-    small_batches(docs.sparkSession)
+    python_stage(docs.sparkSession)
     docs = pick(docs, doc_id="bigint", text="string").where("text is not null")
     kind = "doc_id bigint, item_id bigint, distance int, end int"
     out = None

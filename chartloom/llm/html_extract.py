@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import materialize, pick, small_batches
+from chartloom.llm.runtime import materialize, pick, python_stage
 
 _NAME = r"[a-zA-Z][^\s/>]*"
 _TOKEN = re.compile(
@@ -230,7 +230,7 @@ _HELD_TEMPLATES = 1_000_000  # template hashes sent to every task at most; with
 
 def templates(pages: DataFrame, least_pages: int = 5, least_share: float = 0.3) -> DataFrame:
     """(host, hash): block subtrees on at least `least_pages` pages and `least_share` of the pages of their host."""
-    small_batches(pages.sparkSession, 128)
+    python_stage(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,7 +255,7 @@ def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.3, he
     found = materialize(templates(pages, least_pages, least_share), "html-templates")
     rows = pick(pages, page_id="bigint", url="string", html="string").withColumn("host", host_of(F.col("url")))
     kind = "page_id bigint, url string, text string"
-    small_batches(spark, 128)
+    python_stage(spark)
     if found.count() <= held:
         known: dict[str, set[int]] = {}
         for r in found.toLocalIterator():

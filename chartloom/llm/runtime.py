@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,16 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL_BASE: dict[str, str] = {}
-_BATCH_BYTES = 32 << 20
+_BATCH_ROWS, _BATCH_BYTES = 4096, 8 << 20
 _SHIPPED: set[str] = set()
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder every executor sees: spark.checkpoint.dir, or the context's checkpoint folder; where neither is set, a
+    temporary one on a local master, and an error on any other, whose executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if (given := context._jsc.sc().getCheckpointDir()).isDefined():
+        return str(given.get()).rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _LOCAL_BASE:
         _LOCAL_BASE[app] = "file://" + tempfile.mkdtemp(prefix="chartloom-")
     return _LOCAL_BASE[app]
@@ -63,10 +70,13 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(archive))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Before a Python stage: ship the code, and bound the rows of an Arrow batch, so that very long texts fit a worker."""
+def python_stage(spark: SparkSession) -> None:
+    """Before a Python stage: ship the code, and bound an Arrow batch by rows and bytes, so that very long texts fit a worker.
+
+    The bounds are the same for all stages, since a lazy plan runs under those that were set last.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
 
 

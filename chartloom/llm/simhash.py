@@ -4,15 +4,21 @@ Fingerprints.  Words are runs of anything but ASCII white space, A-Z lower-cased
 is hashed with XXH64, seed 42, over its UTF-8 bytes; bit i is set when it is set in more than half of the hashes.  A text
 of fewer than k words is one shingle; a text without words has fingerprint zero.
 
-Index.  A fingerprint is cut into blocks of four bits, and each block is mapped to the popcounts of its four overlapping
-two-bit segments (bits 0-1, 1-2, 2-3, 3-0).  Flipping a bit moves two counts by one, so the Manhattan distance between two
-such count vectors is at most twice the Hamming distance: a lower bound to search by.  The blocks are split into groups;
-when two fingerprints differ in at most d bits, some group differs in at most d // groups bits.  The grid cells are the count
-vectors of one group.  Each fingerprint enters its own cell and the cells one bit flip away, so that any two within two
-flips in a group meet in a cell, which is exact for d < 3 * groups.  Within a cell, the exact Hamming distance decides.
-
-Identical fingerprints are collapsed before the join, a cell gives only the edges of a spanning forest of its links (never
-all pairs), and components are found by hooking (components.py).  Rows that share a doc_id count as one document.
+Embedding.  A fingerprint is cut into segments of two bits and mapped to the vector of their popcounts, 32 numbers from 0
+to 2.  A flipped bit moves one count by one, so the Manhattan distance of two vectors is at most the Hamming distance of
+the fingerprints.  The vector is held as a thermometer word: each segment's bits pushed to its low end.  Two thermometer
+words differ in as many bits as the vectors' Manhattan distance, which so costs one XOR and one popcount.  (Wider segments
+make coarser grids: of 8 bits, a cell would hold some thousandth of the corpus; of two, a group's grid has 3^16 cells.)
+
+Range join.  When two vectors lie within distance d, one half of the segments lies within d // 2 <= 2, and then there is a
+grid point at most one step from each.  So every fingerprint enters, for each half, its own cell of the grid and those one
+step away in one count; any two within Manhattan distance 5 meet in a cell.  In a cell, first the Manhattan distance of the
+whole vectors rules pairs out, then the Hamming distance decides.
+
+Scale.  Identical fingerprints are collapsed before the join, and a cell gives only the edges of a spanning forest of its
+links, never all pairs.  Cells are counted before (a sum over the distinct cells); one of more than HOT_CELL rows is dealt
+into blocks, and every two of its blocks meet in a task of their own, so that no cell is held by one task.  Components are
+found by hooking (components.py).  Rows that share a doc_id count as one document.
 """
 
 from __future__ import annotations
@@ -25,38 +31,30 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from chartloom.llm.components import connected_components
-from chartloom.llm.runtime import materialize, pick, small_batches
+from chartloom.llm.runtime import materialize, pick, python_stage
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEED = 42
 _HASH_BLOCK = 1 << 16  # shingles whose bits are counted at once
 _SMALL_CELL = 64
+HOT_CELL = 30_000  # rows of a cell from which on it is dealt into blocks
+_HALF = 32  # bits of a half of the fingerprint, 16 segments
+_LOW = np.uint64(0x5555555555555555)  # the low bit of every segment
 
 
 @dataclass(frozen=True)
 class SimHashParams:
-    """shingle: words of a shingle.  words64: 64-bit words of a fingerprint (1 or 2).  groups: (first bit, bits) of each
-    group of blocks, multiples of four bits, at most 32 bits each.  distance: bits two linked fingerprints may differ by."""
+    """shingle: words of a shingle.  distance: bits two linked fingerprints may differ by, at most 5, which the grid finds
+    for certain."""
 
     shingle: int = 4
-    words64: int = 1
-    groups: tuple[tuple[int, int], ...] = ((0, 32), (32, 32))
     distance: int = 4
 
-
-#: Five-word shingles, an estimate of similarity 0.8: a Jaccard similarity of 0.8 is a cosine of 8/9 between the shingle
-#: counts, and SimHash bits then differ with probability acos(8/9) / pi = 0.151, 19.4 of 128 on average with a deviation of 4.
-#: 17 bits are found for certain.  The pipeline's stage does not use it: similar_texts.py is exact.
-SIMILARITY_80 = SimHashParams(shingle=5, words64=2, groups=((0, 24), (24, 20), (44, 20), (64, 24), (88, 20), (108, 20)), distance=22)
-
-
-def _remixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    def __post_init__(self):
+        if not 0 <= self.distance <= 5:
+            raise ValueError("the grid is exact up to 5 bits")
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -73,81 +71,87 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], _SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, n)
 
 
-def fingerprint(text: bytes, shingle: int, words64: int = 1) -> list[int]:
-    """The fingerprint of one UTF-8 text as unsigned 64-bit words; null is given as b''."""
-    hashes = shingle_hashes(text, shingle)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes, as an unsigned 64-bit number."""
     if not len(hashes):
-        return [0] * words64
-    counts = np.zeros((words64, 64), np.int64)
+        return 0
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _HASH_BLOCK):
-        h = hashes[at : at + _HASH_BLOCK]
-        for k in range(words64):
-            h = _remixed(h) if k else h
-            counts[k] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * counts > len(hashes)).astype(np.uint8)
-    return [int(x) for x in np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]]
+        h = hashes[at : at + _HASH_BLOCK].astype("<u8")
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(params: SimHashParams):
-    names = [f"f{k}" for k in range(params.words64)]
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The fingerprint of one UTF-8 text; null is given as b''."""
+    return fingerprint_of(shingle_hashes(text, shingle))
 
+
+def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            rows = np.array([fingerprint(t or b"", params.shingle, params.words64) for t in texts], np.uint64).reshape(len(texts), params.words64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(rows[:, k].view(np.int64)) for k in range(params.words64)]], ["doc_id", *names])
-
-    return run, ", ".join(["doc_id bigint", *[f"{n} bigint" for n in names]])
-
-
-def _count_codes() -> np.ndarray:
-    """For every 16-bit value, the popcounts of its overlapping two-bit segments: base 3, four blocks of four counts."""
-    v = np.arange(1 << 16, dtype=np.uint64)
-    code = np.zeros(len(v), np.uint64)
-    for block in range(4):
-        bit = [(v >> np.uint64(4 * block + i)) & np.uint64(1) for i in range(4)]
-        counts = np.zeros(len(v), np.uint64)
-        for i in range(4):
-            counts = counts * np.uint64(3) + bit[i] + bit[(i + 1) % 4]
-        code |= counts << np.uint64(7 * block)
-    return code
-
-
-def grid_cells(fp: np.ndarray, params: SimHashParams) -> np.ndarray:
-    """fp: (n, words64) unsigned.  The cells of each fingerprint, (n, cells): its own and those one flip away, by group."""
-    codes, out = _count_codes(), []
-    for g, (first, width) in enumerate(params.groups):
-        word, shift = divmod(first, 64)
-        v = fp[:, word] >> np.uint64(shift)
-        if shift + width > 64:
-            v = v | (fp[:, word + 1] << np.uint64(64 - shift))
-        v = v & np.uint64((1 << width) - 1)
-        flips = np.concatenate(([0], 1 << np.arange(width, dtype=np.int64))).astype(np.uint64)
-        v = v[:, None] ^ flips[None, :]
-        out.append(codes[v & np.uint64(0xFFFF)] | (codes[v >> np.uint64(16)] << np.uint64(28)) | np.uint64(g << 57))
-    return np.concatenate(out, axis=1)
-
-
-def _cells(params: SimHashParams):
-    names = [f"f{k}" for k in range(params.words64)]
+            fp = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "f0"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.stack([b.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
-            rep = b.column("rep").to_numpy(zero_copy_only=False)
-            for at in range(0, len(rep), 512):
-                cells = grid_cells(fp[at : at + 512], params)
-                m = cells.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.ravel().view(np.int64)), pa.array(np.repeat(rep[at : at + 512], m)), *[pa.array(np.repeat(fp[at : at + 512, k], m).view(np.int64)) for k in range(len(names))]],
-                    ["cell", "rep", *names],
-                )
+    return run
+
+
+def thermometer(fp: np.ndarray) -> np.ndarray:
+    """The segment popcounts of unsigned 64-bit fingerprints: each two-bit segment's count k as its k low bits."""
+    high, low = (fp >> np.uint64(1)) & _LOW, fp & _LOW
+    return (high | low) | ((high & low) << np.uint64(1))
 
-    return run, ", ".join(["cell bigint", "rep bigint", *[f"{n} bigint" for n in names]])
 
+def manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Manhattan distance of the count vectors of two arrays of thermometer words."""
+    return np.bitwise_count(x ^ y).astype(np.int64)
 
-def _near(fp: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
-    return np.bitwise_count(fp[i] ^ fp[j]).sum(axis=-1, dtype=np.int64) <= distance
+
+def grid_cells(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of n thermometer words: the cells each enters, and the row of each.  By half: its own, and those one count away.
+
+    A cell is a half's counts, with the number of the half in bit 32.
+    """
+    cells, rows, every = [], [], np.arange(len(counts))
+    for half in (0, 1):
+        own = (counts >> np.uint64(_HALF * half)) & np.uint64(0xFFFFFFFF)
+        name = np.uint64(half << 32)
+        cells.append(own | name)
+        rows.append(every)
+        for segment in range(_HALF // 2):
+            one, two = np.uint64(1 << 2 * segment), np.uint64(2 << 2 * segment)
+            empty, full = (own & one) == 0, (own & two) != 0
+            cells.append((own ^ np.where(full, two, one)) | name)  # 2 -> 1, 1 -> 0, 0 -> 1
+            rows.append(every)
+            middle = np.flatnonzero(~empty & ~full)
+            cells.append((own[middle] | two) | name)  # 1 -> 2
+            rows.append(middle)
+    return np.concatenate(cells), np.concatenate(rows)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fp, rep = (b.column(n).to_numpy(zero_copy_only=False) for n in ("f0", "rep"))
+        for at in range(0, len(rep), 1024):
+            cell, row = grid_cells(thermometer(fp[at : at + 1024].view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(rep[at + row]), pa.array(fp[at + row])], ["cell", "rep", "f0"])
+
+
+def _weighted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        counts, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("counts", "n"))
+        for at in range(0, len(n), 1024):
+            cell, row = grid_cells(counts[at : at + 1024].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(n[at + row])], ["cell", "n"])
+
+
+def _near(fp: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
+    """Which pairs link: the Manhattan distance of the counts as a lower bound, then the fingerprints themselves."""
+    near = manhattan(counts[i], counts[j]) <= distance
+    at = np.flatnonzero(near)
+    near[at] = np.bitwise_count(fp[i[at]] ^ fp[j[at]]) <= distance
+    return near
 
 
 def _root(parent: np.ndarray, x: int) -> int:
@@ -171,7 +175,7 @@ def _joined(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int,
 def _linked(cell: np.ndarray, fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between rows of one cell; rows are sorted by cell."""
     n = len(cell)
-    parent = np.arange(n)
+    parent, counts = np.arange(n), thermometer(fp)
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     sizes = np.diff(np.append(starts, n))
     edges: list[tuple[int, int]] = []
@@ -180,83 +184,104 @@ def _linked(cell: np.ndarray, fp: np.ndarray, distance: int) -> list[tuple[int,
         i = np.flatnonzero((cell[step:] == cell[:-step]) & small[step:])
         if not len(i):
             break
-        i = i[_near(fp, i, i + step, distance)]
+        i = i[_near(fp, counts, i, i + step, distance)]
         edges += _joined(parent, i, i + step)
     for s, size in zip(starts[sizes > _SMALL_CELL].tolist(), sizes[sizes > _SMALL_CELL].tolist(), strict=True):
-        order = s + np.lexsort(fp[s : s + size].T)
+        order = s + np.argsort(fp[s : s + size])
         i = np.arange(size - 1)
-        i = i[_near(fp, order[i], order[i + 1], distance)]
+        i = i[_near(fp, counts, order[i], order[i + 1], distance)]
         edges += _joined(parent, order[i], order[i + 1])
         roots = np.array([_root(parent, x) for x in range(s, s + size)])
-        values, counts = np.unique(roots, return_counts=True)
-        main = values[np.argmax(counts)]  # rows of the largest tree need no tests among themselves
+        values, of_root = np.unique(roots, return_counts=True)
+        main = values[np.argmax(of_root)]  # rows of the largest tree need no tests among themselves
         every = np.arange(s, s + size)
         for x in every[roots != main].tolist():
-            hit = every[_near(fp, np.full(size, x), every, distance)]
+            hit = every[_near(fp, counts, np.full(size, x), every, distance)]
             hit = hit[hit != x]
             edges += _joined(parent, np.full(len(hit), x), hit)
     return edges
 
 
-def _cell_links(params: SimHashParams):
-    names = [f"f{k}" for k in range(params.words64)]
+def _cell_links(distance: int):
+    """Of rows sorted by cell: the edges of each cell's forest.  At most two blocks of HOT_CELL / 2 rows, or one cell, are held."""
 
-    def forest(parts: list[pa.RecordBatch], upto: int | None) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
+    def forest(parts: list[pa.RecordBatch], whole: bool) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
         t = pa.Table.from_batches(parts).combine_chunks()
         cell = t.column("cell").to_numpy()
-        if upto is None:
-            upto = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on in the next batch
-        fp = np.stack([t.column(n).to_numpy()[:upto].view(np.uint64) for n in names], axis=1)
-        rep = t.column("rep").to_numpy()
-        edges = np.array(_linked(cell[:upto], fp, params.distance), np.int64).reshape(-1, 2)
+        upto = len(cell) if whole or not len(cell) else int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+        fp, rep = t.column("f0").to_numpy()[:upto].view(np.uint64), t.column("rep").to_numpy()
+        edges = np.array(_linked(cell[:upto], fp, distance), np.int64).reshape(-1, 2)
         ends = np.unique(np.sort(rep[edges], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"]), t.slice(upto).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, most = 0, 1 << 17
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows >= 1 << 17:
-                out, held = forest(held, None)
+            if rows >= most:
+                out, held = forest(held, False)
                 rows = sum(x.num_rows for x in held)
+                most = max(1 << 17, 2 * rows)
                 yield out
         if rows:
-            yield forest(held, rows)[0]
+            yield forest(held, True)[0]
 
     return run
 
 
+def _dealt(met: DataFrame, classes: DataFrame, hot_cell: int) -> DataFrame:
+    """met(cell, rep, f0) keyed for the tasks: a cell as it is, or one key for every two blocks of a hot cell."""
+    f0 = F.col("f0")
+    low = F.lit(0x5555555555555555).cast("bigint")
+    high, own = F.shiftrightunsigned(f0, 1).bitwiseAND(low), f0.bitwiseAND(low)
+    counts = high.bitwiseOR(own).bitwiseOR(F.shiftleft(high.bitwiseAND(own), 1))
+    sizes = classes.groupBy(counts.alias("counts")).agg(F.count("*").alias("n"))
+    hot = sizes.mapInArrow(_weighted_cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > hot_cell)
+    hot = materialize(hot.select(F.col("cell").alias("hot_cell"), F.ceil(F.col("n") * 2 / hot_cell).cast("int").alias("blocks")), "simhash-hot")
+    rows = met.join(hot, met["cell"] == hot["hot_cell"], "left")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    other = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("cell", "rep", "f0", F.coalesce(block, F.lit(0)).alias("block"), F.explode(other).alias("other"))
+    return rows.select("cell", F.least("block", "other").alias("block"), F.greatest("block", "other").alias("other"), "rep", "f0")
+
+
 def fingerprints(docs: DataFrame, params: SimHashParams) -> DataFrame:
-    """(doc_id, f0[, f1]): signed views of the unsigned 64-bit words."""
-    small_batches(docs.sparkSession)
-    run, kind = _fingerprints(params)
-    return pick(docs, doc_id="bigint", text="string").mapInArrow(run, kind)
+    """(doc_id, f0): signed views of the unsigned 64-bit fingerprints."""
+    python_stage(docs.sparkSession)
+    return pick(docs, doc_id="bigint", text="string").mapInArrow(_fingerprints(params.shingle), "doc_id bigint, f0 bigint")
 
 
-def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, f0[, f1], component_id): one row per input row.
+def range_join(classes: DataFrame, distance: int, hot_cell: int = HOT_CELL) -> DataFrame:
+    """classes(rep, f0), distinct fingerprints -> (a, b): edges that connect all fingerprints within `distance` bits."""
+    python_stage(classes.sparkSession)
+    met = _dealt(classes.select("f0", "rep").mapInArrow(_cells, "cell bigint, rep bigint, f0 bigint"), classes, hot_cell)
+    keyed = met.select(F.xxhash64("cell", "block", "other").alias("cell"), "rep", "f0")
+    return keyed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(distance), "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams(), hot_cell: int = HOT_CELL) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, f0, component_id): one row per input row.
 
     component_id is the smallest doc_id reachable over links of at most params.distance differing bits, the row itself
     included.  Null text counts as empty.  Rows with a null doc_id get a fingerprint and the component of their equals, or
-    null where only such rows have that fingerprint.  An empty table gives an empty result.
+    null where only such rows have that fingerprint.  Repeated rows are one document.  An empty table gives an empty result.
     """
-    fps = fingerprints(docs, params).persist(StorageLevel.DISK_ONLY)  # read twice; a lost part is computed anew
-    words = [f"f{k}" for k in range(params.words64)]
-    classes = materialize(fps.groupBy(*words).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-classes")
-    small_batches(docs.sparkSession, 20_000)
-    cells, kind = _cells(params)
-    met = classes.mapInArrow(cells, kind).repartition("cell").sortWithinPartitions("cell")
-    edges = met.mapInArrow(_cell_links(params), "a bigint, b bigint")
-    labels = connected_components(edges)
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select(*words, F.coalesce("component", "rep").alias("component_id"))
+    fps = materialize(fingerprints(docs, params), "simhash-fingerprints")
+    classes = materialize(fps.groupBy("f0").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-classes")
+    labels = connected_components(range_join(classes, params.distance, hot_cell))
+    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("f0", F.coalesce("component", "rep").alias("component_id"))
     named = materialize(named, "simhash-named")
-    return fps.join(named, words, "left").select("doc_id", *words, "component_id")
+    return fps.join(named, "f0", "left").select("doc_id", "f0", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that have a near duplicate (five-word shingles, similarity 0.8, exact) of smaller doc_id."""
-    from chartloom.llm.similar_texts import drop_similar
+    """docs without the rows whose group of near duplicates (five-word shingles, similarity 0.8) has a smaller doc_id.
+
+    Rows with a null doc_id stay; all columns stay as they are.  See similar_texts.py for what links.
+    """
+    from chartloom.llm.similar_texts import similar_components
 
-    return drop_similar(docs)
+    gone = similar_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -1,13 +1,15 @@
-"""Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found exactly.
-
-Words are those of simhash.py; a shingle is its 64-bit XXH64 value, and a text's set is the sorted distinct values.  Texts
-of equal sets are one class from the start.  Two sets of similarity 0.8 share a value among the first n - ceil(0.8 n) + 1 of
-each in any order that both keep (prefix filter), so documents meet at the values of their prefixes and no pair is lost.  The
-order takes values that many documents of a sample hold last; that decides how many pairs meet, never which are linked.
-
-Every pair is held against its whole sets before it links.  First each document is tested with the smallest of each value's
-documents, and components are found; then all pairs that meet at a value and are still in different components.  So a large
-group of near copies costs few tests for each document, not one for each pair.
+"""Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Words and hashes are those of simhash.py; a text's set is its distinct shingle hashes, and texts of equal sets are one class
+from the start.  What links two classes is always the similarity of their whole sets; the steps below only find the pairs:
+
+1. SimHash fingerprints of the classes meet in the segment-popcount grid (simhash.range_join).  That gathers large groups of
+   near copies at the cost of a few tests for each document.
+2. Fingerprints of two texts of similarity 0.8 differ in 10 of 64 bits on average, which no grid finds for certain.  The
+   exact way for the rest is a prefix filter: two sets of similarity 0.8 share a value among the first n - ceil(0.8 n) + 1
+   of each, in any order that both keep, so documents that are not yet in one component meet at the values of their
+   prefixes.  Values that many documents of a sample hold come last; that decides how many pairs meet, never which link.
+   First each document is tested with the smallest one at a value, then all pairs that are still in different components.
 """
 
 from __future__ import annotations
@@ -17,105 +19,129 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm.components import connected_components
-from chartloom.llm.runtime import materialize, pick, small_batches
-from chartloom.llm.simhash import shingle_hashes
+from chartloom.llm.runtime import materialize, pick, python_stage
+from chartloom.llm.simhash import HOT_CELL, fingerprint_of, range_join, shingle_hashes
 
 _SHINGLE = 5
 _OVER, _UNDER = 4, 5  # a similarity of 4 / 5
+_BITS = 4  # that fingerprints of the first step differ by
 _SAMPLE, _OFTEN, _HOT = 8, 4, 200_000  # a document in 8; documents of it that hold a value taken last; such values at most
+_SALTS = 16  # tasks over which the tests with one document are dealt
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        own = [np.unique(shingle_hashes(t or b"", _SHINGLE)) for t in b.column("text").cast(pa.binary()).to_pylist()]
-        raw = [x.astype("<u8").tobytes() for x in own]
-        names = np.array([divmod(xxhash.xxh3_128_intdigest(r), 1 << 64) for r in raw], np.uint64).reshape(len(raw), 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(list(map(len, own)), pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "s0", "s1", "n", "shingles"]
-        )
+        for t in b.column("text").cast(pa.binary()).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t or b"", _SHINGLE)).view(np.int64))], ["value"])
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for raw in b.column("shingles").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64))], ["value"])
+def _prefix(own: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The values of a sorted set that a similar set must share one of; those of `late` (sorted) come last in the order."""
+    if len(late) and len(own):
+        is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
+        own = np.concatenate((own[~is_late], own[is_late]))
+    return own[: len(own) + 1 + (-_OVER * len(own)) // _UNDER] if len(own) else own
 
 
-def _prefixes(hot: np.ndarray):
+def _described(late: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            firsts = []
-            for raw in b.column("shingles").to_pylist():
-                x = np.frombuffer(raw, np.int64)
-                if len(hot):
-                    late = hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x
-                    x = np.concatenate((x[~late], x[late]))
-                firsts.append(x[: len(x) + 1 + (-_OVER * len(x)) // _UNDER] if len(x) else x)
-            sizes = list(map(len, firsts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64)), *[pa.array(np.repeat(b.column(c).to_numpy(), sizes)) for c in ("rep", "n")]], ["value", "rep", "n"]
-            )
+            names, sizes, prints, firsts = [], [], [], []
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(t or b"", _SHINGLE)
+                own = np.unique(hashes)
+                names.append(divmod(xxhash.xxh3_128_intdigest(own.astype("<u8").tobytes()), 1 << 64))
+                sizes.append(len(own))
+                prints.append(fingerprint_of(hashes))
+                firsts.append(_prefix(own, late).view(np.int64))
+            names = np.array(names, np.uint64).reshape(-1, 2).view(np.int64)
+            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["doc_id", "s0", "s1", "n", "f0", "firsts"])
 
     return run
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (a, salt, b): a null b brings a text of a, the others are tested with a's texts."""
+    now, hub = None, []
     for b in batches:
-        keep = []
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append((_OVER + _UNDER) * both >= _OVER * (len(x) + len(y)))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        found = []
+        texts = b.column("text").cast(pa.binary()).to_pylist()
+        for x, salt, y, t in zip(b.column("a").to_pylist(), b.column("salt").to_pylist(), b.column("b").to_pylist(), texts, strict=True):
+            if (x, salt) != now:
+                now, hub = (x, salt), []
+            own = np.unique(shingle_hashes(t or b"", _SHINGLE))
+            if y is None:
+                hub.append(own)
+            elif any((_OVER + _UNDER) * len(np.intersect1d(h, own, assume_unique=True)) >= _OVER * (len(h) + len(own)) for h in hub):
+                found.append((x, y))
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar.  A text of a is sent once for all the b of a salt."""
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
+    hubs = pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "salt", F.lit(None).cast("bigint").alias("b"), "text")
+    members = pairs.join(texts, F.col("b") == F.col("doc_id")).select("a", "salt", "b", "text")
+    rows = hubs.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
+    return materialize(rows.mapInArrow(_similar, "a bigint, b bigint").distinct(), "similar-links")
+
+
+def _sizes_fit(m: str, n: str) -> Column:
+    return F.least(m, n) * _UNDER >= F.greatest(m, n) * _OVER
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_similar, "a bigint, b bigint"), "similar-links")
+def _placed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    return met.join(labels, met["rep"] == labels["node"], "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("c"))
 
 
-def _sizes_fit(m: str, n: str):
-    return F.least(m, n) * _UNDER >= F.greatest(m, n) * _OVER
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(value, first): the values where different components meet, with the smallest document there."""
+    found = placed.groupBy("value").agg(F.min("rep").alias("first"), F.min("c").alias("low"), F.max("c").alias("high"))
+    return found.where("low < high").select("value", "first")
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
+def similar_components(docs: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, component_id), one row per input row: the smallest doc_id reachable over links.
 
-    Texts without words are alike.  Rows with a null doc_id get the component of their equals, or null.
+    Null text is empty, and texts without words are alike.  Rows that share a doc_id are one document.  Rows with a null
+    doc_id get the component of their equals, or null.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = materialize(pick(docs, doc_id="bigint", text="string").mapInArrow(_sets, "doc_id bigint, s0 bigint, s1 bigint, n bigint, shingles binary"), "shingle-sets")
-    classes = materialize(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "shingle-classes")
-    firsts = classes.withColumnRenamed("s0", "t0").withColumnRenamed("s1", "t1")
-    sets = rows.join(firsts, (F.col("doc_id") == F.col("rep")) & (F.col("s0") == F.col("t0")) & (F.col("s1") == F.col("t1"))).select("rep", "n", "shingles")
-    sampled = rows.where(F.pmod(F.xxhash64("s0", "s1"), F.lit(_SAMPLE)) == 0).select("shingles").mapInArrow(_values, "value bigint")
+    python_stage(docs.sparkSession)
+    texts = pick(docs, doc_id="bigint", text="string")
+    sampled = texts.where(F.pmod(F.xxhash64("text"), F.lit(_SAMPLE)) == 0).mapInArrow(_values, "value bigint")
     often = sampled.groupBy("value").count().where(F.col("count") >= _OFTEN).orderBy(F.desc("count"), "value").limit(_HOT)
-    hot = np.sort(often.select("value").toArrow().column("value").to_numpy())
-    met = sets.mapInArrow(_prefixes(hot), "value bigint, rep bigint, n bigint")
-    least = met.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("least"), F.max("rep").alias("most")).where("least.rep < most")
-    met = materialize(met.join(least.select("value", F.col("least.rep").alias("a"), F.col("least.n").alias("m")), "value"), "shingle-prefixes")
-    stars = materialize(met.where(F.col("a") < F.col("rep")).where(_sizes_fit("m", "n")).select("a", F.col("rep").alias("b")).distinct(), "similar-stars")
-    links = _verified(stars, sets)
-    found = connected_components(links)
-    placed = met.join(found, met["rep"] == found["node"], "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("value")
-    placed = materialize(placed.join(mixed, "value"), "similar-placed")
+    late = np.sort(often.select("value").toArrow().column("value").to_numpy().view(np.uint64))  # at most _HOT values
+    late.sort()
+    rows = materialize(texts.mapInArrow(_described(late), "doc_id bigint, s0 bigint, s1 bigint, n bigint, f0 bigint, firsts array<bigint>"), "shingle-sets")
+    classes = materialize(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("f0").alias("f0")).where("rep is not null"), "shingle-classes")
+
+    prints = classes.groupBy("f0").agg(F.min("rep").alias("rep"))
+    alike = classes.select("f0", F.col("rep").alias("b")).join(prints, "f0").where("rep < b").select(F.col("rep").alias("a"), "b")
+    near = materialize(range_join(prints, _BITS, hot_cell).unionByName(alike).distinct(), "similar-prints")
+    links = _verified(near, texts)
+    labels = connected_components(links)
+
+    named = classes.select(F.col("s0").alias("t0"), F.col("s1").alias("t1"), "rep")
+    first_rows = rows.join(named, (F.col("doc_id") == F.col("rep")) & (F.col("s0") == F.col("t0")) & (F.col("s1") == F.col("t1")))
+    met = _placed(first_rows.select("rep", "n", F.explode("firsts").alias("value")), labels)
+    met = materialize(met.join(_mixed(met), "value"), "shingle-prefixes")
+    sizes = classes.select(F.col("rep").alias("first"), F.col("n").alias("m"))
+    stars = met.where("first < rep").select("first", F.col("rep").alias("b"), "n").distinct().join(sizes, "first").where(_sizes_fit("m", "n"))
+    stars = materialize(stars.select(F.col("first").alias("a"), "b").distinct(), "similar-stars")
+    links = links.unionByName(_verified(stars.join(links, ["a", "b"], "left_anti"), texts))
+    placed = _placed(met.select("value", "rep", "n"), connected_components(links))
+    placed = materialize(placed.join(_mixed(placed).select("value"), "value"), "similar-placed")
     other = placed.select("value", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
     rest = placed.withColumnRenamed("rep", "a").join(other, "value").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _sizes_fit("n", "m"))
     rest = materialize(rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "similar-pairs")
-    labels = connected_components(links.unionByName(_verified(rest, sets)))
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
-    return rows.select("doc_id", "s0", "s1").join(named, ["s0", "s1"], "left").select("doc_id", "component_id")
-
 
-def drop_similar(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id.  Rows with a null doc_id stay."""
-    gone = similar_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    labels = connected_components(links.unionByName(_verified(rest, texts)))
+    found = classes.join(labels, classes["rep"] == labels["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
+    return rows.select("doc_id", "s0", "s1").join(found, ["s0", "s1"], "left").select("doc_id", "component_id")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import materialize, pick, small_batches
+from chartloom.llm.runtime import materialize, pick, python_stage
 
 LONG_SENTENCE = 40
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|\Z)")
@@ -109,7 +109,7 @@ def _span_rows(min_words: int):
 
 def repeated_spans(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, s, e, first): the spans that are not first occurrences, with the first's doc_id."""
-    small_batches(docs.sparkSession)
+    python_stage(docs.sparkSession)
     rows = pick(docs, doc_id="bigint", text="string").mapInArrow(_span_rows(min_words), "doc_id bigint, h bigint, g int, s int, e int, again boolean")
     rows = materialize(rows, "spans")
     inside = rows.where("again").select("doc_id", "s", "e", F.col("doc_id").alias("first"))
@@ -162,6 +162,6 @@ def remove_repeated_spans(docs: DataFrame, min_words: int = 20, only_changed: bo
                 removed.append(n)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), b.column("first_docs")], ["row", "text", "removed_chars", "first_docs"])
 
-    small_batches(docs.sparkSession)
+    python_stage(docs.sparkSession)
     out = joined.select("row", "text", "cut_s", "cut_e", F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs")).mapInArrow(run, f"row {row}, text string, removed_chars bigint, first_docs array<bigint>")
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], "removed_chars", "first_docs")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import drop_path, schema, small_batches
+from chartloom.llm.runtime import drop_path, schema, python_stage
 from chartloom.llm.token_store import piece_encoder
 
 KEYS = ("source", "lang", "tokenizer")
@@ -29,7 +29,7 @@ _SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_chars
 
 def count_tokens(docs: DataFrame, vocabulary: str, tokenizer: str) -> DataFrame:
     """docs(doc_id, text, source, lang, ...) -> (doc_id, source, lang, tokenizer, n_chars, n_tokens), whole texts, null as empty."""
-    small_batches(docs.sparkSession, 1024)
+    python_stage(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(vocabulary)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chartloom.llm.bpe import byte_letters
-from chartloom.llm.runtime import pick, small_batches
+from chartloom.llm.runtime import pick, python_stage
 
 SEQUENCES_A_BATCH = 64
 _PIECES_KEPT = 350_000
@@ -241,7 +241,7 @@ def write_token_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     be a path every executor has, folder a URI every executor and the driver can write and read.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1024)
+    python_stage(spark)
     docs = pick(docs, doc_id="bigint", text="string")
     n = docs.select("doc_id").count()
     shards = min(_MOST_SHARDS, max(1, -(-n // docs_a_shard)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import materialize, pick, small_batches
+from chartloom.llm.runtime import materialize, pick, python_stage
 
 WIDTHS = (1, 2, 3)
 RUNS = (3, 4, 5, 6)  # bytes of a word's parts
@@ -362,7 +362,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, columns: list[str] | None
 def _with_logits(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
     """The named columns of docs, and logit (double)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    python_stage(spark)
     shared = spark.sparkContext.broadcast(model)
     held = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"))
     row = held.schema["row"].dataType.simpleString()

@@ -37,34 +37,61 @@ def test_empty_table_null_and_repeated_ids(spark):
     assert S.drop_near_duplicates(odd).count() == 3
 
 
-@pytest.mark.parametrize("params", [S.SimHashParams(), S.SIMILARITY_80])
-def test_cells_meet_within_the_guaranteed_distance(params):
-    rng = random.Random(3)
-    bits, most = 64 * params.words64, 3 * len(params.groups) - 1
-    for _ in range(300):
-        x = rng.getrandbits(bits)
-        y = x
-        for b in rng.sample(range(bits), rng.randint(0, most)):
-            y ^= 1 << b
-        split = lambda v: [v >> 64 * k & (1 << 64) - 1 for k in range(params.words64)]
-        a, b = S.grid_cells(np.array([split(x), split(y)], np.uint64), params)
-        assert set(a.tolist()) & set(b.tolist())
-
-
-def test_segment_counts_are_a_lower_bound():
-    codes = S._count_codes()
-    counts = lambda v: [int(codes[v]) >> 7 * k & 127 for k in range(4)]
-    unpacked = lambda v: [c // 3**i % 3 for c in counts(v) for i in range(4)]
+def counts_of(x):
+    return [(x >> 2 * i & 1) + (x >> 2 * i + 1 & 1) for i in range(32)]
+
+
+def flipped(rng, x, n):
+    for b in rng.sample(range(64), n):
+        x ^= 1 << b
+    return x
+
+
+def test_thermometer_words_hold_the_segment_counts():
     rng = random.Random(5)
     for _ in range(500):
-        x, y = rng.getrandbits(16), rng.getrandbits(16)
-        assert sum(abs(p - q) for p, q in zip(unpacked(x), unpacked(y))) <= 2 * (x ^ y).bit_count()
+        x = rng.getrandbits(64)
+        y = flipped(rng, x, rng.randint(0, 20)) if rng.random() < 0.5 else rng.getrandbits(64)
+        l1 = sum(abs(p - q) for p, q in zip(counts_of(x), counts_of(y)))
+        words = S.thermometer(np.array([x, y], np.uint64))
+        assert S.manhattan(words[:1], words[1:])[0] == l1 <= (x ^ y).bit_count()
+
+
+def test_cells_meet_within_the_guaranteed_distance():
+    rng = random.Random(3)
+    for _ in range(500):
+        x = rng.getrandbits(64)
+        y = flipped(rng, x, rng.randint(0, 5))
+        cells, rows = S.grid_cells(S.thermometer(np.array([x, y], np.uint64)))
+        assert set(cells[rows == 0].tolist()) & set(cells[rows == 1].tolist())
+    with pytest.raises(ValueError):
+        S.SimHashParams(distance=6)
+
+
+def test_pairs_beyond_the_manhattan_distance_are_not_compared(monkeypatch):
+    fp = np.array([0, 0b1111, 0b0101], np.uint64)
+    words = S.thermometer(fp)
+    assert S._near(fp, words, np.array([0, 0, 1]), np.array([1, 2, 2]), 2).tolist() == [False, True, True]
+    monkeypatch.setattr(S, "manhattan", lambda x, y: np.full(len(x), 99))
+    assert not S._near(fp, words, np.array([0]), np.array([2]), 2).any()
+
+
+def test_cells_are_the_same_in_spark_and_numpy_and_hot_ones_lose_no_link(spark):
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    fps = sorted({flipped(rng, b, rng.randint(0, 6)) for b in base for _ in range(150)})
+    rows = [(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)]
+    classes = spark.createDataFrame(rows, "rep bigint, f0 bigint")
+    want = components(list(range(len(fps))), fps, 4)
+    for hot in (S.HOT_CELL, 20):
+        got = {r["node"]: r["component"] for r in connected_components(S.range_join(classes, 4, hot)).collect()}
+        assert {i: got.get(i, i) for i in want} == want
 
 
 def test_large_cells_lose_no_link():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 62, 3, dtype=np.uint64)
-    fp = np.array([[b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, 3, replace=False)))] for b in base for _ in range(120)], np.uint64)
+    fp = np.array([b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, 3, replace=False))) for b in base for _ in range(120)], np.uint64)
     cell = np.zeros(len(fp), np.int64)
     parent = list(range(len(fp)))
 
@@ -75,7 +102,7 @@ def test_large_cells_lose_no_link():
 
     for i, j in S._linked(cell, fp, 4):
         parent[root(i)] = root(j)
-    want = components(list(range(len(fp))), [int(x) for x in fp[:, 0]], 4)
+    want = components(list(range(len(fp))), [int(x) for x in fp], 4)
     assert len({root(i) for i in range(len(fp))}) == len(set(want.values()))
 
 
