@@ -95,23 +95,36 @@ def _best(k: int):
     return run
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: int = 2048, candidate_block: int = 8192) -> DataFrame:
+def _repeated(rows: DataFrame, k: int) -> DataFrame:
+    """(vec_id, weights, copy): the rows, numbered where they repeat wholly; copies beyond the k-th can be in no result."""
+    counted = rows.groupBy("vec_id", "weights").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    return counted.select("vec_id", "weights", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: int = 2048, candidate_block: int | None = None) -> DataFrame:
     """(vec_id bigint, weights array<bigint>) twice -> (query_id, rank, vec_id, score): the k highest inner products of each.
 
-    A candidate with the query's own vec_id is no result of it.  Ties go to the smaller vec_id.  Rows that repeat wholly
-    count once; rows that share a vec_id and differ each take part.  Null ids or weights must be filtered out before.
-    Vectors of unequal length lack the missing terms.  Fewer than k candidates give all; an empty side gives no rows.
+    A candidate with the query's own vec_id is no result of it.  Ties go to the smaller vec_id.  Every row takes part, also
+    one that repeats another or shares its vec_id; the queries of one vec_id share one ranking.  Null ids or weights must be
+    filtered out before.  Vectors of unequal length lack the missing terms.  Fewer than k candidates give all; an empty side
+    gives no rows.
+
+    A block of candidates has 65,536 rows, or fewer (8,192 at least) where that keeps all cores busy; the queries are sent
+    once to each block of candidates, and the candidates once to each block of queries.
     """
-    ship(queries.sparkSession)
-    queries, candidates = queries.select("vec_id", "weights").distinct(), candidates.select("vec_id", "weights").distinct()
+    spark = queries.sparkSession
+    ship(spark)
+    queries, candidates = _repeated(queries, k), _repeated(candidates, k)
+    n = candidates.count()
+    candidate_block = candidate_block or min(65_536, max(8_192, n // (2 * spark.sparkContext.defaultParallelism)))
     q_blocks = max(1, -(-queries.count() // query_block))
-    c_blocks = max(1, -(-candidates.count() // candidate_block))
+    c_blocks = max(1, -(-n // candidate_block))
 
     def blocks(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id", "weights"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        return df.withColumn(own, F.pmod(F.xxhash64("vec_id", "weights", "copy"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
     asked = blocks(queries, "qb", q_blocks, "cb", c_blocks).groupBy("qb", "cb")
     known = blocks(candidates, "cb", c_blocks, "qb", q_blocks).groupBy("qb", "cb")
     found = asked.cogroup(known).applyInArrow(_best(k), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
