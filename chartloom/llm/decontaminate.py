@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from chartloom.llm.runtime import pick, python_stage
 
 ITEM_BLOCK_CHARS = 4_000_000
-LEAST_ITEM = 24  # shorter items have no budget: they match exactly
 
 
 def normalised(text: str | None) -> str:
@@ -30,7 +29,7 @@ def normalised(text: str | None) -> str:
 
 
 def budget(length: int, rate: float) -> int:
-    return int(length * rate) if length >= LEAST_ITEM else 0
+    return int(length * rate)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
