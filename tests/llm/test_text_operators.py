@@ -1,6 +1,8 @@
 import hashlib
 import itertools
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -20,63 +22,105 @@ def passage(rng, sentences=6):
     return " ".join(" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(rng.randint(8, 12))).capitalize() + "." for _ in range(sentences))
 
 
-def brute_spans(texts, min_words):
-    """Per document, the sentence numbers that a non-first repeated run covers."""
-    seen, cut = {}, {i: set() for i in range(len(texts))}
-    for i, t in enumerate(texts):
-        at, sizes, hashes = P.sentences(t or "")
-        for a in range(len(at)):
-            for b in range(a + 1, len(at)):
-                n = sum(sizes[a : b + 1])
-                shortest = n >= min_words and (b == a + 1 or sum(sizes[a:b]) < min_words or sum(sizes[a + 1 : b + 1]) < min_words)
-                if shortest:
-                    key = tuple(hashes[a : b + 1])
-                    if key in seen:
-                        cut[i] |= set(range(a, b + 1))
-                    else:
-                        seen[key] = (i, a)
-    return cut
+def plain_sentences(text):
+    """(first, last + 1) word numbers and words of the sentences, word by word."""
+    words = [m for m in re.finditer(r"[^\s.!?]+[.!?]*|[.!?]+", text)]
+    ends = [m[0][-1] in ".!?" or i + 1 == len(words) or "\n" in text[m.end() : words[i + 1].start()] for i, m in enumerate(words)]
+    crc, near = [zlib.crc32(m[0].lower().encode()) for m in words], range(1, P.REACH + 1)
+    cuts = []
+    for i in range(len(words)):
+        inside = P.REACH <= i < len(words) - P.REACH
+        if ends[i] or inside and all(crc[i] < crc[i - d] and crc[i] <= crc[i + d] for d in near) and not any(ends[i - P.REACH : i + P.REACH]):
+            cuts.append(i + 1)
+    spans = list(zip([0, *cuts[:-1]], cuts))
+    return [(words[a - 1].end() if a else 0, words[b - 1].end()) for a, b in spans], [" ".join(m[0].lower() for m in words[a:b]) for a, b in spans]
+
+
+def brute_spans(rows, run=3):
+    """rows (doc_id, text): by row, the character ranges of sentences that a non-first repeated run covers."""
+    first = {}
+    for doc, text in rows:
+        said = plain_sentences(text or "")[1] if doc is not None else []
+        for a in range(len(said) - run + 1):
+            key = tuple(said[a : a + run])
+            first[key] = min(first.get(key, doc), doc)
+    out = []
+    for doc, text in rows:
+        at, said = plain_sentences(text or "") if doc is not None else ([], [])
+        cut, here = set(), set()
+        for a in range(len(said) - run + 1):
+            key = tuple(said[a : a + run])
+            if first[key] < doc or key in here:
+                cut |= set(at[a : a + run])
+            here.add(key)
+        out.append(cut)
+    return out
+
+
+def check_spans(rows, got):
+    """got: (doc_id, text, removed_chars) of the result, in any order."""
+    want = []
+    for (doc, text), cut in zip(rows, brute_spans(rows)):
+        left = text
+        for s, e in sorted(cut, reverse=True):
+            left = left[:s] + " " + left[e:]
+        want.append((doc or -1, " ".join((left or "").split()), sum(e - s for s, e in cut)))
+    assert sorted((r["doc_id"] or -1, " ".join((r["text"] or "").split()), r["removed_chars"]) for r in got) == sorted(want)
 
 
 def test_repeated_passages_go_but_the_first(spark):
     rng = random.Random(1)
     shared, own = [passage(rng) for _ in range(3)], [passage(rng, 3) for _ in range(9)]
     texts = [f"{own[0]} {shared[0]} {own[1]}", f"{own[2]}\n{shared[0]}\n{own[3]}", f"{shared[1]} {own[4]} {shared[1]}", own[5], f"{shared[0]} {shared[2]}", f"{own[6]} {shared[2]}", shared[0], *EDGES]
-    got = {r["doc_id"]: r for r in P.remove_repeated_spans(documents(spark, texts, extra=True)).collect()}
-    assert len(got) == len(texts)
-    for i, cut in brute_spans(texts, 20).items():
-        at = P.sentences(texts[i] or "")[0]
-        assert got[i]["removed_chars"] == sum(at[k][1] - at[k][0] for k in cut)
+    clashing = documents(spark, texts, extra=True).withColumn("removed_chars", F.lit("own")).withColumn("first_docs", F.lit("own")).withColumn("k", F.lit("own"))
+    rows = P.remove_repeated_spans(clashing).collect()
+    got = {r["doc_id"]: r for r in rows}
+    check_spans(list(enumerate(texts)), rows)
+    for i, cut in enumerate(brute_spans(list(enumerate(texts)))):
         if not cut:
             assert got[i]["text"] == texts[i] and got[i]["first_docs"] == []
     assert shared[0] in got[0]["text"] and shared[0] not in got[1]["text"] and own[3] in got[1]["text"] and got[1]["first_docs"] == [0]
-    assert got[2]["text"].count(shared[1]) == 1 and got[6]["text"] == ""
-    assert {r["doc_id"] for r in P.remove_repeated_spans(documents(spark, texts), only_changed=True).collect()} == {i for i, c in brute_spans(texts, 20).items() if c}
+    assert got[2]["text"].count(shared[1]) == 1 and got[6]["text"] == "" and got[6]["k"] == "own"
+    dropped = P.drop_repeated_spans(clashing)
+    assert dropped.columns == clashing.columns
+    left = {r["doc_id"]: r for r in dropped.collect()}
+    assert set(left) == set(got) - {6} and all(r["removed_chars"] == "own" for r in left.values())
+    assert all(r["n_chars"] == len(r["text"] or "") for r in left.values())
+
+
+def test_three_short_sentences_are_a_span(spark):
+    texts = ["Go on now. It is late. Come. One more thing is here.", "Another beginning. Go on now. It is late. Come. Another end."]
+    got = {r["doc_id"]: r["text"] for r in P.remove_repeated_spans(documents(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "Another beginning. Another end."}
+
+
+def test_a_passage_inside_longer_sentences_is_cut_alike(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    shared = words(80)
+    texts = [f"{words(3)} {shared} {words(2)}.", f"{words(60)} {shared} {words(90)}", f"{words(1)}. {shared}."]
+    rows = P.remove_repeated_spans(documents(spark, texts)).collect()
+    check_spans(list(enumerate(texts)), rows)
+    middle = " ".join(shared.split()[25:55])
+    assert [middle in r["text"] for r in sorted(rows)] == [True, False, False]
 
 
 def test_spans_on_a_real_table(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
-    texts = [r["text"] for r in docs]
-    want = {docs[i]["doc_id"] for i, c in brute_spans(texts, 20).items() if c}
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     from chartloom.llm.queries import op2_span_dedup
 
-    assert {r["doc_id"] for r in op2_span_dedup(spark, SF).collect()} == want
+    check_spans(rows, op2_span_dedup(spark, SF).collect())
 
 
-def test_span_dedup_of_odd_tables(spark):
+def test_span_dedup_of_rows_that_share_ids(spark):
     rng = random.Random(2)
-    p = passage(rng)
-    docs = spark.createDataFrame([(None, p), (4, p), (4, p), (9, p)], "doc_id bigint, text string")
-    got = sorted((r["doc_id"] or -1, r["text"] == p) for r in P.remove_repeated_spans(docs).collect())
-    assert got == [(-1, True), (4, True), (4, True), (9, False)]
-    assert P.remove_repeated_spans(docs.limit(0)).count() == 0
-
-
-def test_long_sentences_are_cut_by_their_words():
-    rng = random.Random(3)
-    run = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(200))
-    a, b = P.sentences("Lead in here " + run)[2], P.sentences("Other words " + run)[2]
-    assert len(set(a) & set(b)) >= len(a) - 3 > 5
+    p, o = passage(rng), passage(rng)
+    rows = [(None, p), (4, p), (4, p), (9, p), (9, o), (9, o + " " + p), (11, o)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    check_spans(rows, P.remove_repeated_spans(docs).collect())
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in P.remove_repeated_spans(docs).collect())
+    assert kept == sorted([(-1, p), (4, p), (4, p), (9, ""), (9, o), (9, o), (11, "")])
+    assert P.remove_repeated_spans(docs.limit(0)).count() == 0 and P.drop_repeated_spans(docs.limit(0)).count() == 0
 
 
 # -- exact top-k -------------------------------------------------------------------------------------------------------
@@ -101,11 +145,21 @@ def test_top_k_is_exact(spark, n, dims, sparse):
 def test_top_k_of_large_weights_ties_repeats_and_nothing(spark):
     rows = [(0, [3 * 10**9, 1]), (1, [10**9, 7]), (2, [10**9, 7]), (2, [10**9, 7]), (3, [-(10**9), 0])]
     df = spark.createDataFrame(rows, "vec_id bigint, weights array<bigint>")
-    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in K.top_k(df.where("vec_id = 0"), df, 3).collect())
-    assert got == [(1, 1, 3 * 10**18 + 7), (2, 2, 3 * 10**18 + 7), (3, 3, -3 * 10**18)]
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in K.top_k(df.where("vec_id = 0"), df, 4).collect())
+    best = 3 * 10**18 + 7
+    assert got == [(1, 1, best), (2, 2, best), (3, 2, best), (4, 3, -3 * 10**18)]
     assert K.top_k(df.limit(0), df).count() == 0 and K.top_k(df, df.limit(0)).count() == 0
 
 
+def test_top_k_keeps_rows_of_one_id_that_tie(spark):
+    rows = [(0, [1, 0])] + [(1, [5, i]) for i in range(30)] + [(2, [4, 0])] * 40 + [(3, [4, 1])]
+    df = spark.createDataFrame(rows, "vec_id bigint, weights array<bigint>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in K.top_k(df.where("vec_id = 0"), df, 20, candidate_block=7).orderBy("rank").collect()]
+    assert got == [(i, 1, 5) for i in range(1, 21)]
+    got = [(r["rank"], r["vec_id"]) for r in K.top_k(df.where("vec_id = 0"), df.where("vec_id <> 1"), 20, candidate_block=7).orderBy("rank").collect()]
+    assert got == [(i, 2) for i in range(1, 21)]
+
+
 def test_vectors_with_gaps_take_no_part(spark):
     df = spark.createDataFrame([(0, [0.5, -0.01]), (20, None), (1, [float("nan"), 1.0]), (2, [None, 1.0]), (3, [float("inf"), 0.0]), (40, [])], "vec_id bigint, embedding array<float>")
     rows = df.where(K.usable(F.col("embedding"))).select("vec_id", K.quantised(F.col("embedding")).alias("weights")).collect()
@@ -140,6 +194,12 @@ def test_matcher_finds_all_within_the_budget():
         assert {n: d for n, d, _ in matcher.matches(text)} == want
 
 
+def test_short_items_have_a_budget_too(spark):
+    bench = spark.createDataFrame([(1, "eighteen signs set")], "item_id bigint, text string")
+    got = [(r["doc_id"], r["distance"]) for r in D.contaminated(documents(spark, ["an eighteen sings set", "an eighteen signs xet", "nothing"]), bench).collect()]
+    assert got == [(1, 1)]
+
+
 def test_contamination_of_odd_tables_and_blocks(spark):
     item = "The quick brown fox jumps over the lazy dog near the river bank"
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "  "), (None, item), (4, "tiny item")], "item_id bigint, text string")
