@@ -10,7 +10,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _LOCAL_BASE: dict[str, str] = {}
 _BATCH_ROWS, _BATCH_BYTES = 4096, 8 << 20
@@ -43,11 +42,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet on shared storage and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -85,9 +79,5 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
-def schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

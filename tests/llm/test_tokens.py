@@ -135,6 +135,53 @@ def test_rollup_counts_signed_batches_once(spark):
     assert [(r["n_chars"], r["n_tokens"]) for r in roll.totals().where("source is null").collect()] == [(0, 3)]
 
 
+def rollup_of(spark, label, **batches):
+    roll = R.TokenRollup(spark, scratch_path(spark, label))
+    for name, n in batches.items():
+        rows = spark.createDataFrame([("s", "en", "v1", 1, n, n)] if n else [], "source string, lang string, tokenizer string, n_docs bigint, n_chars bigint, n_tokens bigint")
+        assert roll.commit(name, rows.selectExpr("*", "1 AS batches", "2 AS data"))
+    return roll
+
+
+def test_rollup_remembers_every_id_and_survives_crashes(spark, monkeypatch):
+    roll = rollup_of(spark, "test-crash", one=5, none=0, two=7)
+    total = lambda: [(r["n_docs"], r["n_tokens"]) for r in R.TokenRollup(spark, roll.folder).totals().collect()]
+
+    def crash(*a):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(roll, "_publish", crash)
+        with pytest.raises(OSError):
+            roll.compact()
+        with pytest.raises(OSError):
+            roll.commit("three", spark.createDataFrame([("s", "en", "v1", 1, 1, 1)], R._SCHEMA))
+    assert total() == [(2, 12)] and not roll.committed("three")
+    assert roll.compact() and total() == [(2, 12)] and all(roll.committed(x) for x in ("one", "none", "two"))
+    assert roll.compact() and total() == [(2, 12)]
+    assert roll.commit("three", spark.createDataFrame([("s", "en", "v1", 1, 1, 1)], R._SCHEMA)) and total() == [(3, 13)]
+
+
+def test_rollup_of_two_writers(spark, monkeypatch):
+    roll = rollup_of(spark, "test-writers", one=5)
+    other = R.TokenRollup(spark, roll.folder)
+    row = spark.createDataFrame([("s", "en", "v1", 1, 1, 1)], R._SCHEMA)
+    monkeypatch.setattr(other, "committed", lambda batch_id: False)  # both looked before either wrote
+    assert not other.commit("one", row)
+    write = other._write
+
+    def meanwhile(rows):
+        roll.commit("late", row)
+        return write(rows)
+
+    monkeypatch.setattr(other, "_write", meanwhile)
+    assert other.compact()
+    assert [(r["n_docs"], r["n_tokens"]) for r in roll.totals().collect()] == [(2, 6)]
+    fold = roll._fold()
+    monkeypatch.setattr(roll, "_fold", lambda: {**fold, "number": 0})
+    assert not roll._publish("folds/000000001", {"number": 1})
+
+
 def test_op8_against_brute_force(spark):
     from chartloom.llm.queries import op8_token_counts
 
