@@ -1,13 +1,15 @@
 """Main-text extraction with site template removal.
 
-A page is parsed into elements once.  Every block element's subtree is hashed (tag, class, id, role, texts, children in
-order); Spark counts, for each host, on how many pages a subtree occurs, and a subtree that recurs on many pages of its host
-is deleted from them: menus, banners and notices that carry no telling markup go this way.  An article or main element and
-what is in it is content, whose repeats are not template, and so is a subtree around one.  What markup tells is removed by
-markup: elements such as nav, footer, aside, form, script, and elements whose class, id or role names one of ROLES.
-
-The text is that of the page's article or main elements where it has any, else of what is left of its body.  Character
-references are decoded, white space inside a block becomes one space, and blocks are joined by an empty line.
+A page is parsed once, into its text blocks and the hashes of the block elements around each (a subtree's hash takes its
+tag, class, id, role, texts and children in order).  Spark counts for each host on how many page versions a subtree occurs,
+pages of equal content being one version, and every block inside a subtree that recurs on many versions of its host goes:
+menus, banners and notices, and within the article adverts, share lines and author boxes, with or without telling markup.
+Where that would leave nothing of a page's article, all of the article stays: it is one that the site repeats.
+
+What markup tells goes by markup as well: elements such as nav, footer, aside, form, script, and elements whose class, id or
+role names one of ROLES.  The text is that of the page's article or main elements where it has any, else of what is left of
+its body.  Character references are decoded, white space inside a block becomes one space, and blocks are joined by an
+empty line.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -155,60 +156,57 @@ def parse(page: str) -> _Element:
     return root
 
 
-def subtree_hashes(root: _Element) -> set[int]:
-    """Hashes of the block subtrees that may be template: neither content, nor in content, nor around it."""
-    out: set[int] = set()
-    todo = [root]
-    while todo:
-        e = todo.pop()
-        if e.tag in CONTENT:
-            continue
-        if e.block and not e.content and e.tag not in ("html", "body"):
-            out.add(e.hash)
-        todo += [p for p in e.parts if not isinstance(p, str)]
-    return out
-
-
-def main_text(root: _Element, templates: set[int] | frozenset[int] = frozenset()) -> str:
-    """Text of the content elements, or else of all that is not removed, block by block."""
-    kept = [e for e in _outermost(root, templates)] or [root]
-    blocks: list[str] = []
+def blocks_of(root: _Element) -> list[tuple[str, tuple[int, ...]]]:
+    """The text blocks of the content elements, or else of all that markup does not remove, each with the hashes of the
+    block elements around it (content elements, and what is around one, left out)."""
+    kept = list(_outermost(root)) or [root]
+    blocks: list[tuple[str, tuple[int, ...]]] = []
     held: list[str] = []
 
-    def flush() -> None:
+    def flush(chain: tuple[int, ...]) -> None:
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            blocks.append(text)
+            blocks.append((text, chain))
         held.clear()
 
     for top in kept:
-        todo: list[tuple[_Element, int]] = [(top, 0)]
-        inside = top.tag in CONTENT
+        todo: list[tuple[_Element, int, tuple[int, ...]]] = [(top, 0, ())]
         while todo:
-            e, i = todo.pop()
+            e, i, chain = todo.pop()
             if i == 0 and e.block:
-                flush()
+                flush(chain)
+                if not e.content and e is not root:
+                    chain = (*chain, e.hash)
             while i < len(e.parts):
                 p = e.parts[i]
                 i += 1
                 if isinstance(p, str):
                     held.append(p)
-                elif p.gone or (not inside and p.block and not p.content and p.hash in templates):
+                elif p.gone:
                     if p.block:
-                        flush()
+                        flush(chain)
                 else:
                     if p.tag in ("td", "th"):
                         held.append(" ")
-                    todo += [(e, i), (p, 0)]
+                    if p.block:
+                        flush(chain)
+                    todo += [(e, i, chain), (p, 0, chain)]
                     break
             else:
                 if e.block:
-                    flush()
-        flush()
-    return "\n\n".join(blocks)
+                    flush(chain)
+        flush(())
+    return blocks
 
 
-def _outermost(root: _Element, templates) -> Iterator[_Element]:
+def main_text(blocks: list[tuple[str, tuple[int, ...]]], templates: set[int] | frozenset[int] = frozenset()) -> str:
+    """The blocks outside all templates; all blocks, where none would be left."""
+    left = [text for text, chain in blocks if templates.isdisjoint(chain)]
+    return "\n\n".join(left or [text for text, _ in blocks])
+
+
+def _outermost(root: _Element) -> Iterator[_Element]:
+    """The content elements that lie in no other and in nothing that markup removes."""
     todo = [root]
     while todo:
         e = todo.pop()
@@ -226,57 +224,66 @@ def host_of(url: Column) -> Column:
 
 
 _HELD_TEMPLATES = 1_000_000  # template hashes sent to every task at most; with more, they come by a join
+_PARSED = "row_id bigint, page_id bigint, url string, host string, version bigint, texts array<string>, chains array<array<bigint>>"
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for b in batches:
+        pages = [blocks_of(parse(t or "")) for t in b.column("html").to_pylist()]
+        texts = [[t for t, _ in blocks] for blocks in pages]
+        version = [signed(xxhash.xxh64_intdigest("\x1f".join(t))) for t in texts]
+        chains = [[list(map(signed, c)) for _, c in blocks] for blocks in pages]
+        names = ("row_id", "page_id", "url", "host")
+        yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(version, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(chains, pa.list_(pa.list_(pa.int64())))], [*names, "version", "texts", "chains"])
 
 
-def templates(pages: DataFrame, least_pages: int = 5, least_share: float = 0.3) -> DataFrame:
-    """(host, hash): block subtrees on at least `least_pages` pages and `least_share` of the pages of their host."""
-    python_stage(pages.sparkSession)
+def _templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+    """(host, hash): subtrees on at least `least_pages` page versions and `least_share` of those of their host."""
+    rows = pages.select("host", "version", F.explode(F.array_distinct(F.flatten("chains"))).alias("hash")).distinct()
+    counts = rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    of_host = pages.select("host", "version").distinct().groupBy("host").agg(F.count("*").alias("versions"))
+    return counts.join(of_host, "host").where(F.col("n") >= F.lit(least_share) * F.col("versions")).select("host", "hash")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.array(sorted(subtree_hashes(parse(t or ""))), np.uint64).view(np.int64) for t in b.column("html").to_pylist()]
-            rows = np.repeat(np.arange(len(found)), [len(x) + 1 for x in found])
-            flat = pa.array([y for x in found for y in (None, *x.tolist())], pa.int64())  # null counts the page
-            yield pa.RecordBatch.from_arrays([b.column("host").take(pa.array(rows)), flat], ["host", "hash"])
 
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, hash bigint")
-    counts = materialize(rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= least_pages)), "html-counts")
-    of_host = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    return counts.where("hash is not null").join(of_host, "host").where(F.col("n") >= F.lit(least_share) * F.col("pages")).select("host", "hash")
+def _texts(pages: Iterator[pa.RecordBatch], own_of) -> Iterator[pa.RecordBatch]:
+    for b in pages:
+        every = zip(b.column("texts").to_pylist(), b.column("chains").to_pylist(), own_of(b), strict=True)
+        texts = [main_text(list(zip(t, c, strict=True)), own) for t, c, own in every]
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.3, held: int = _HELD_TEMPLATES) -> DataFrame:
     """pages(page_id, url, html, ...) -> (page_id, url, text, n_chars): one row per input row.
 
-    Null html has empty text; null urls share the host ''.  Repeated rows count as pages of their own.  Very long pages
-    are parsed whole.  An empty table gives no rows.
+    Null html has empty text; null urls share the host ''.  Repeated rows come back each, and are one version in the counts.
+    Very long pages are parsed whole.  An empty table gives no rows.
+
+    Up to `held` templates are broadcast; more of them are joined to the pages by host and hash.
     """
     spark = pages.sparkSession
-    found = materialize(templates(pages, least_pages, least_share), "html-templates")
-    rows = pick(pages, page_id="bigint", url="string", html="string").withColumn("host", host_of(F.col("url")))
-    kind = "page_id bigint, url string, text string"
     python_stage(spark)
+    rows = pick(pages, page_id="bigint", url="string", html="string")
+    rows = rows.select(F.monotonically_increasing_id().alias("row_id"), "page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    parsed = materialize(rows.mapInArrow(_parsed, _PARSED), "html-parsed")
+    found = materialize(_templates(parsed, least_pages, least_share), "html-templates")
+    kind = "page_id bigint, url string, text string"
     if found.count() <= held:
         known: dict[str, set[int]] = {}
         for r in found.toLocalIterator():
-            known.setdefault(r["host"], set()).add(r["hash"] & (1 << 64) - 1)
+            known.setdefault(r["host"], set()).add(r["hash"])
         shared = spark.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                own = [shared.value.get(h, frozenset()) for h in b.column("host").to_pylist()]
-                texts = [main_text(parse(t or ""), x) for t, x in zip(b.column("html").to_pylist(), own, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            yield from _texts(batches, lambda b: [shared.value.get(h, frozenset()) for h in b.column("host").to_pylist()])
 
-        out = rows.mapInArrow(run, kind)
+        out = parsed.mapInArrow(run, kind)
     else:
-        lists = found.groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+        hits = parsed.select("row_id", "host", F.explode(F.array_distinct(F.flatten("chains"))).alias("hash")).join(found, ["host", "hash"])
+        own = hits.groupBy(F.col("row_id").alias("hit_id")).agg(F.collect_list("hash").alias("hashes"))  # of one page's subtrees
 
         def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                own = [frozenset(x & (1 << 64) - 1 for x in h or ()) for h in b.column("hashes").to_pylist()]
-                texts = [main_text(parse(t or ""), x) for t, x in zip(b.column("html").to_pylist(), own, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            yield from _texts(batches, lambda b: [frozenset(h or ()) for h in b.column("hashes").to_pylist()])
 
-        out = rows.join(lists, "host", "left").select("page_id", "url", "html", "hashes").mapInArrow(run_joined, kind)
+        out = parsed.join(own, parsed["row_id"] == own["hit_id"], "left").select("page_id", "url", "texts", "chains", "hashes").mapInArrow(run_joined, kind)
     return out.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -241,7 +241,7 @@ PAGES = [
 
 @pytest.mark.parametrize(("page", "want"), PAGES)
 def test_main_text(page, want):
-    assert H.main_text(H.parse(page or "")) == want
+    assert H.main_text(H.blocks_of(H.parse(page or ""))) == want
 
 
 def test_templates_of_a_host_go_without_telling_markup(spark):
@@ -255,10 +255,52 @@ def test_templates_of_a_host_go_without_telling_markup(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
-def test_repeated_article_text_is_no_template(spark):
-    rows = [(i, "https://c.example.org/", f"<article><p>Same lead</p><p>{i}</p></article>") for i in range(9)]
-    got = H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
-    assert {r["text"] for r in got} == {f"Same lead\n\n{i}" for i in range(9)}
+def test_recurring_parts_of_articles_go_by_the_counts_alone(spark, monkeypatch):
+    rng = random.Random(4)
+    stories = [[passage(rng, 2) for _ in range(3)] for _ in range(12)]
+    extra = "<div><p>Read more of our best stories</p><p>Follow us</p></div>"
+    rows = [(i, "https://c.example.org/", f"<article><h1>Story {i}</h1><p>{a}</p>{extra}<p>{b}</p><section><p>{c}</p><p>By our desk</p></section></article>") for i, (a, b, c) in enumerate(stories)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {(i, "\n\n".join((f"Story {i}", a, b, c))) for i, (a, b, c) in enumerate(stories)}
+    for held in (10**6, 0):
+        assert {(r["page_id"], r["text"]) for r in H.extract(pages, held=held).collect()} == want
+    none = spark.createDataFrame([], "host string, hash bigint")
+    monkeypatch.setattr(H, "_templates", lambda *a: none)
+    assert all("Follow us" in r["text"] and "By our desk" in r["text"] for r in H.extract(pages).collect())
+
+
+def test_an_article_that_a_site_repeats_stays(spark):
+    body = "<article><h1>Terms</h1><p>One</p><p>Two</p></article>"
+    rows = [(i, "https://d.example.org/", body) for i in range(9)] + [(9, "https://d.example.org/", "<article><p>Other</p></article>")]
+    rows += [(20 + i, "https://e.example.org/", f"<nav>{i}</nav>{body}<footer>{i}</footer>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got.pop(9) == "Other" and set(got.values()) == {"Terms\n\nOne\n\nTwo"}
+
+
+def brute_extract(rows, least_pages, least_share):
+    """Template removal of a small table by plain counting, with the parser of the operator."""
+    parsed = {i: H.blocks_of(H.parse(page or "")) for i, (_, _, page) in enumerate(rows)}
+    host = [re.sub(r"^\w+://([^/:?#]*).*", r"\1", url or "", flags=re.DOTALL).lower() if "://" in (url or "") else "" for _, url, _ in rows]
+    out = []
+    for i, (page_id, _, _) in enumerate(rows):
+        same = {tuple(t for t, _ in parsed[j]): {h for _, c in parsed[j] for h in c} for j in parsed if host[j] == host[i]}
+        on = lambda h: sum(h in hashes for hashes in same.values())  # noqa: E731, B023
+        many = {h for _, c in parsed[i] for h in c if on(h) >= least_pages and on(h) >= least_share * len(same)}
+        left = [t for t, c in parsed[i] if not many & set(c)] or [t for t, _ in parsed[i]]
+        out.append((page_id, "\n\n".join(left)))
+    return sorted(out)
+
+
+def test_op6_against_brute_force(spark):
+    from chartloom.llm.queries import op6_html
+
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    assert sorted((r["page_id"], r["text"]) for r in op6_html(spark, SF).collect()) == brute_extract(rows, 5, 0.3)
+    rng = random.Random(6)
+    bits = [f"<p>{passage(rng, 1)}</p>" for _ in range(12)]
+    rows = [(i, f"https://h{i % 3}.example.org/{i}", "<body>" + "".join(f"<div>{''.join(rng.sample(bits, 2))}</div>" if rng.random() < 0.5 else rng.choice(bits) for _ in range(6)) + "</body>") for i in range(60)]
+    got = H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), 3, 0.25)
+    assert sorted((r["page_id"], r["text"]) for r in got.collect()) == brute_extract(rows, 3, 0.25)
 
 
 # -- chat --------------------------------------------------------------------------------------------------------------
