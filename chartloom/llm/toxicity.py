@@ -186,6 +186,30 @@ class Scorer:
         return np.clip(z.astype(np.float64), -35, 35)
 
 
+def gradients(model: ToxicityModel, x: np.ndarray, ids: list[np.ndarray], labels: np.ndarray):
+    """Of the mean cross entropy of texts, given as rows of the word vectors x (row 0: padding): by x, kernels, shifts, top, intercept.
+
+    Only the positions where a filter had one of its maxima pass a gradient back.
+    """
+    f, dx, dk = model.filters, np.zeros_like(x), [np.zeros_like(k) for k in model.kernels]
+    shares = model.projected(x)
+    got = [model.pooled(shares, i) for i in ids]
+    h, where = model.hidden(np.array([g[0] for g in got])), [g[1] for g in got]
+    p = 1 / (1 + np.exp(-np.clip(h @ model.top + model.intercept, -30, 30)))
+    error = ((p - labels) / len(ids)).astype(np.float32)
+    dh = error[:, None] * model.top[None, :] * (h > 0)
+    for r, own in enumerate(ids):
+        i = own if len(own) >= max(WIDTHS) else np.concatenate((own, np.zeros(max(WIDTHS), own.dtype)))
+        for w, k in enumerate(model.kernels):
+            for g, at_word in zip(dh[r].reshape(len(WIDTHS), TOP, f)[w], where[r][w], strict=True):
+                for j in range(len(k) if g.any() else 0):
+                    u = i[at_word + j]
+                    dk[w][j] += (x[u] * g[:, None]).T
+                    np.add.at(dx, u, (k[j] * g[None, :]).T)
+    ds = [dh.reshape(-1, len(WIDTHS), TOP, f)[:, w].sum((0, 1)) for w in range(len(WIDTHS))]
+    return dx, dk, ds, h.T @ error, float(error.sum())
+
+
 def train(texts: list[bytes], labels: np.ndarray, positive_rate: float, epochs: int = 4, batch: int = 32, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
     """Fit on a sample; positive_rate is the share of label 1 among all rows that the sample stands for."""
     model, rng = ToxicityModel(), np.random.default_rng(seed)
@@ -223,25 +247,9 @@ def train(texts: list[bytes], labels: np.ndarray, positive_rate: float, epochs:
             begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             x = np.add.reduceat(model.embedding[buckets], begin, axis=0) / sizes[:, None].astype(np.float32)
             x[0] = 0  # padding
-            shares = model.projected(x)
-            got = [model.pooled(shares, i) for i in local]
-            h, where = model.hidden(np.array([g[0] for g in got])), [g[1] for g in got]
-            p = 1 / (1 + np.exp(-np.clip(h @ model.top + model.intercept, -30, 30)))
-            error = ((p - labels[rows]) / len(rows)).astype(np.float32)
-            dh = error[:, None] * model.top[None, :] * (h > 0)
-            dx = np.zeros_like(x)
-            dk = [np.zeros_like(k) for k in model.kernels]
-            for r in range(len(rows)):
-                i = local[r] if len(local[r]) >= max(WIDTHS) else np.concatenate((local[r], np.zeros(max(WIDTHS), local[r].dtype)))
-                for w, k in enumerate(model.kernels):
-                    for g, at_word in zip(dh[r].reshape(len(WIDTHS), TOP, f)[w], where[r][w], strict=True):
-                        for j in range(len(k) if g.any() else 0):
-                            u = i[at_word + j]
-                            dk[w][j] += (x[u] * g[:, None]).T
-                            np.add.at(dx, u, (k[j] * g[None, :]).T)
-            dt, di = h.T @ error, float(error.sum())
+            dx, dk, ds, dt, di = gradients(model, x, local, labels[rows])
             for w in range(len(WIDTHS)):
-                for value, grad, total in ((model.kernels[w], dk[w], sums["k"][w]), (model.shifts[w], dh.reshape(-1, len(WIDTHS), TOP, f)[:, w].sum((0, 1)), sums["s"][w])):
+                for value, grad, total in ((model.kernels[w], dk[w], sums["k"][w]), (model.shifts[w], ds[w], sums["s"][w])):
                     total += grad**2
                     value -= rate * grad / np.sqrt(total)
             sums["t"] += dt**2
@@ -273,7 +281,8 @@ def _best_cut(bins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> floa
 
 
 def _labelled(labels: DataFrame) -> DataFrame:
-    return pick(labels, doc_id="bigint", toxic="int").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    """The distinct labelled rows that may be learned from."""
+    return pick(labels, doc_id="bigint", toxic="int").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
 
 
 def calibrate(model: ToxicityModel, scored: DataFrame, labels: DataFrame, trained_on: list[int]) -> None:
@@ -325,7 +334,7 @@ def _trained(docs: DataFrame, labels: DataFrame, sample: int, calibration_share:
         part = known.where(F.col("toxic") == y).where(~kept).orderBy(draw, "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = pick(docs, doc_id="bigint", text="string").where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow()  # a text an id
     ids = rows.column("doc_id").to_numpy()
     order = np.argsort(ids, kind="stable")
     text = rows.column("text").cast(pa.binary()).take(pa.array(order)).to_pylist()
@@ -341,54 +350,72 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, calibration_shar
 
     `sample` bounds the rows of each label that are trained on (2 * sample texts reach the driver).  A labelled row in
     `calibration_share` is never trained on; these and all others outside the sample set the cut and the thresholds by
-    language, whatever the table's size.  Null labels, ids and texts are left out of the sample; of repeated rows the sample
-    may hold several.  Without any labelled row the model is constant.
+    language, whatever the table's size.  Null labels, ids and texts are left out of the sample; repeated label rows count
+    once, and of the texts of one doc_id the sample holds the least.  Without any labelled row the model is constant.
     """
     model, ids = _trained(docs, labels, sample, calibration_share)
     own = pick(docs, doc_id="bigint", text="string", lang="string").join(_labelled(labels).select("doc_id").distinct(), "doc_id", "left_semi")
-    calibrate(model, _with_logits(own, model, ["doc_id", "lang"]), labels, ids)
+    calibrate(model, _with_logits(own, model, ["doc_id"]).select("doc_id", "lang", "logit"), labels, ids)
     return model
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """score_documents(docs, fit(docs, labels)), or the named columns of it with score and rejected; each text is scored once."""
+    return _flat(_fitted_rows(docs, labels, columns or docs.columns))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, its own columns only, without the rows that a model fitted on labels rejects by the threshold of their language.
+
+    Null and empty texts are scored as texts without words; repeated rows are scored alike; empty tables give no rows.
+    """
+    return _fitted_rows(docs, labels, docs.columns).where(~F.col("rejected")).select("row.*")
+
+
+def _fitted_rows(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
     model, ids = _trained(docs, labels, 2500, 4)
     before = model.intercept
-    scored = materialize(_with_logits(docs, model, columns or docs.columns), "toxicity-logits")
-    calibrate(model, scored.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "logit"), labels, ids)
+    scored = materialize(_with_logits(docs, model, columns), "toxicity-logits")
+    calibrate(model, scored.select("doc_id", "lang", "logit"), labels, ids)
     return _decided(scored.withColumn("logit", F.col("logit") + F.lit(float(model.intercept - before))), model)
 
 
 def _with_logits(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
-    """The named columns of docs, and logit (double)."""
+    """(row struct of the named columns, doc_id, lang, logit double); lang is null where the table has none."""
     spark = docs.sparkSession
     python_stage(spark)
     shared = spark.sparkContext.broadcast(model)
-    held = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"))
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
     row = held.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(scorer.logits(b.column("text").cast(pa.binary()).to_pylist()))], ["row", "logit"])
+            logits = pa.array(scorer.logits(b.column("text").cast(pa.binary()).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("lang"), logits], ["row", "doc_id", "lang", "logit"])
 
-    return held.mapInArrow(run, f"row {row}, logit double").select("row.*", "logit")
+    return held.mapInArrow(run, f"row {row}, doc_id bigint, lang string, logit double")
 
 
 def _decided(scored: DataFrame, model: ToxicityModel) -> DataFrame:
-    """scored with columns score and rejected for its logit."""
+    """(row, score, rejected) of rows with logits."""
     cut = F.lit(0.5)
-    if "lang" in scored.columns:
-        for code, value in model.thresholds.items():
-            cut = F.when(F.col("lang") == code, F.lit(value)).otherwise(cut)
-    out = scored.withColumn("score", 1 / (1 + F.exp(-F.col("logit")))).drop("logit")
-    return out.withColumn("rejected", F.col("score") >= cut)
+    for code, value in model.thresholds.items():
+        cut = F.when(F.col("lang") == code, F.lit(value)).otherwise(cut)
+    return scored.select("row", (1 / (1 + F.exp(-F.col("logit")))).alias("score"), cut.alias("cut")).select("row", "score", (F.col("score") >= F.col("cut")).alias("rejected"))
+
+
+def _flat(decided: DataFrame) -> DataFrame:
+    own = [c for c in decided.schema["row"].dataType.names if c not in ("score", "rejected")]
+    return decided.select(*[F.col(f"row.`{c}`") for c in own], "score", "rejected")
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs with columns score (double), and rejected (boolean, by the threshold of the row's language).
 
     Whole texts are scored; null or empty text has the score of a text without words.  lang, where the table has it, only
-    picks the threshold.  All other columns and rows stay as they are.
+    picks the threshold.  All other columns and rows stay as they are, repeated rows included, but an input column named
+    score or rejected is replaced.  An empty table gives no rows.
     """
-    return _decided(_with_logits(docs, model, docs.columns), model)
+    return _flat(_decided(_with_logits(docs, model, docs.columns), model))

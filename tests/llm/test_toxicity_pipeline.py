@@ -61,10 +61,90 @@ def test_chunks_do_not_change_the_pooling(monkeypatch):
     assert np.allclose(whole, X.Scorer(model).scores(texts))
 
 
-def test_gradients_lower_the_loss_and_no_labels_give_a_constant(spark):
+def plain_score(model, text):
+    """The forward pass word by word and position by position."""
+    words = X.words_of(text)
+    vectors = []
+    for w in words:
+        flat, _ = X._hashed([w], model.buckets)
+        vectors.append(model.embedding[flat].mean(axis=0))
+    vectors += [np.zeros(model.size)] * (max(X.WIDTHS) - len(words))
+    h = []
+    for k, shift in zip(model.kernels, model.shifts):
+        values = [[sum(float(vectors[at + j] @ k[j][:, f]) for j in range(len(k))) for at in range(len(vectors) - len(k) + 1)] for f in range(model.filters)]
+        best = [sorted((max(v[g : g + X.GROUP]) for g in range(0, len(v), X.GROUP)), reverse=True)[: X.TOP] for v in values]
+        best = [b + [-np.inf] * (X.TOP - len(b)) for b in best]
+        h += [max(best[f][t] + shift[f], 0) for t in range(X.TOP) for f in range(model.filters)]
+    return 1 / (1 + np.exp(-(np.dot(h, model.top) + model.intercept)))
+
+
+def test_scores_are_those_of_a_plain_forward_pass():
+    rows = corpus(120, random.Random(12))
+    model = X.train([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], np.float32), 0.2, epochs=2)
+    texts = [t.encode() for _, t, _ in rows[:30]] + [b"", b"a", b"a b", b"idiotic", None, b"x" * 300 + b" wretched"]
+    assert np.allclose(X.Scorer(model).scores(texts), [plain_score(model, t) for t in texts], atol=1e-4)
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    rows = corpus(60, random.Random(13))
+    model = X.train([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], np.float32), 0.2, epochs=1)
+    x = rng.normal(0, 1, (25, model.size)).astype(np.float32)
+    x[0] = 0
+    ids = [rng.integers(1, 25, n) for n in (1, 2, 9, 40, 80)]
+    labels = np.array([0, 1, 0, 1, 1], np.float32)
+
+    def loss():
+        z = np.array([float(model.logit(model.pooled(model.projected(x), i)[0][None])[0]) for i in ids])
+        return float(np.mean(np.logaddexp(0, z) - labels * z))
+
+    dx, dk, ds, dt, di = X.gradients(model, x, ids, labels)
+    checked = 0
+    for value, grad in [(x, dx), *zip(model.kernels, dk), *zip(model.shifts, ds), (model.top, dt)]:
+        strongest = np.argsort(-np.abs(grad).ravel())[:12]
+        for at in strongest:
+            place, step = np.unravel_index(at, value.shape), 2e-3
+            if value is x and place[0] == 0:
+                continue
+            kept = value[place]
+            value[place] = kept + step
+            up = loss()
+            value[place] = kept - step
+            down = loss()
+            value[place] = kept
+            checked += abs((up - down) / 2 / step - grad[place]) < 2e-3 + 0.08 * abs(grad[place])
+            assert abs((up - down) / 2 / step - grad[place]) < 5e-3 + 0.3 * abs(grad[place])
+    assert checked > 60
+    model.intercept += 1e-3
+    up = loss()
+    model.intercept -= 2e-3
+    assert abs((up - loss()) / 2e-3 - di) < 1e-3
+
+
+def test_training_lowers_the_loss_and_no_labels_give_a_constant(spark):
+    rows = corpus(150, random.Random(14))
+    texts, y = [t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], np.float32)
+    losses = []
+    for epochs in (0, 4):
+        p = np.clip(X.Scorer(X.train(texts, y, 0.2, epochs=epochs)).scores(texts), 1e-9, 1 - 1e-9)
+        losses.append(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    assert losses[1] < 0.5 * losses[0]
     docs = documents(spark, EDGES)
     model = X.fit(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
-    assert len({round(r["score"], 9) for r in X.score_documents(docs, model).collect()}) >= 1
+    assert not any(r["rejected"] for r in X.score_documents(docs, model).collect())
+
+
+def test_clashing_names_and_repeats(spark):
+    rows = corpus(200, random.Random(15))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows] + [(1, rows[1][1], "en", "s", 1)], DOCS)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] * 2, "doc_id bigint, quality int, toxic int")
+    odd = docs
+    for c in ("score", "rejected", "row", "logit", "cut", "bin", "seen_id", "toxic"):
+        odd = odd.withColumn(c, F.lit("own"))
+    plain = {(r["doc_id"], r["score"]) for r in X.fit_and_score(docs, labels).collect()}
+    assert {(r["doc_id"], r["score"]) for r in X.fit_and_score(odd, labels).collect()} == plain
+    kept = X.drop_toxic(odd, labels)
+    assert kept.columns == odd.columns and all(r["score"] == "own" for r in kept.collect()) and 0 < kept.count() < 201
 
 
 def test_pipeline_stages_do_what_they_say(spark, tmp_path):
