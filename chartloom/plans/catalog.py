@@ -22,7 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-BASE = f"WITH notes AS ({notes_sql()}), gold0 AS ({gold_sql()}), gold AS (SELECT *, lower(normalized_text) AS canonical_text FROM gold0)"
+#: Materialized, since an engine would else plan the union of all templates anew wherever a query names it.
+BASE = f"WITH notes AS MATERIALIZED ({notes_sql()}), gold0 AS ({gold_sql()}), gold AS MATERIALIZED (SELECT *, lower(normalized_text) AS canonical_text FROM gold0)"
 #: Sentences in an engine without look-ahead: a mark after each end sign that white space or the end follows, then a split.
 SENTENCES = r""", sent0 AS (
   SELECT note_id, template_id, unnest(string_split_regex(regexp_replace(text, '([.!?])(\s|$)', '\1' || chr(30) || '\2', 'g'), chr(30) || '|\n+')) AS s,
