@@ -9,7 +9,10 @@ from the start.  What links two classes is always the similarity of their whole
    exact way for the rest is a prefix filter: two sets of similarity 0.8 share a value among the first n - ceil(0.8 n) + 1
    of each, in any order that both keep, so documents that are not yet in one component meet at the values of their
    prefixes.  Values that many documents of a sample hold come last; that decides how many pairs meet, never which link.
-   First each document is tested with the smallest one at a value, then all pairs that are still in different components.
+   At the first value that two similar sets share, at places i and j of their orders, what follows must be able to make up
+   the overlap: min(n - i, m - j) >= 4 / 9 (n + m).  Pairs for which no shared value satisfies that are not formed, which
+   spares those of large groups of copies that each have many changes of their own.  First each document is tested with
+   the smallest one at a value, then all pairs that are still in different components.
 """
 
 from __future__ import annotations
@@ -93,12 +96,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(_similar, "a bigint, b bigint").distinct(), "similar-links")
 
 
-def _sizes_fit(m: str, n: str) -> Column:
-    return F.least(m, n) * _UNDER >= F.greatest(m, n) * _OVER
+def _may_overlap(n: str, i: str, m: str, j: str) -> Column:
+    """Sets of n and m values that share their i-th and j-th value first, from 0, can be similar."""
+    n, i, m, j = map(F.col, (n, i, m, j))
+    return (F.least(n, m) * _UNDER >= F.greatest(n, m) * _OVER) & (F.least(n - i, m - j) * (_OVER + _UNDER) >= (n + m) * _OVER)
 
 
 def _placed(met: DataFrame, labels: DataFrame) -> DataFrame:
-    return met.join(labels, met["rep"] == labels["node"], "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    return met.join(labels, met["rep"] == labels["node"], "left").select("value", "rep", "n", "i", F.coalesce("component", "rep").alias("c"))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -130,16 +135,16 @@ def similar_components(docs: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
 
     named = classes.select(F.col("s0").alias("t0"), F.col("s1").alias("t1"), "rep")
     first_rows = rows.join(named, (F.col("doc_id") == F.col("rep")) & (F.col("s0") == F.col("t0")) & (F.col("s1") == F.col("t1")))
-    met = _placed(first_rows.select("rep", "n", F.explode("firsts").alias("value")), labels)
+    met = _placed(first_rows.select("rep", "n", F.posexplode("firsts").alias("i", "value")), labels)
     met = materialize(met.join(_mixed(met), "value"), "shingle-prefixes")
-    sizes = classes.select(F.col("rep").alias("first"), F.col("n").alias("m"))
-    stars = met.where("first < rep").select("first", F.col("rep").alias("b"), "n").distinct().join(sizes, "first").where(_sizes_fit("m", "n"))
-    stars = materialize(stars.select(F.col("first").alias("a"), "b").distinct(), "similar-stars")
-    links = links.unionByName(_verified(stars.join(links, ["a", "b"], "left_anti"), texts))
-    placed = _placed(met.select("value", "rep", "n"), connected_components(links))
+    hubs = met.where("rep = first").select("value", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
+    stars = met.where("rep > first").join(hubs, "value").where(_may_overlap("n", "i", "m", "j") & (F.col("c") != F.col("d")))
+    stars = materialize(stars.select("a", F.col("rep").alias("b")).distinct(), "similar-stars")
+    links = links.unionByName(_verified(stars, texts))
+    placed = _placed(met.select("value", "rep", "n", "i"), connected_components(links))
     placed = materialize(placed.join(_mixed(placed).select("value"), "value"), "similar-placed")
-    other = placed.select("value", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = placed.withColumnRenamed("rep", "a").join(other, "value").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _sizes_fit("n", "m"))
+    other = placed.select("value", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
+    rest = placed.withColumnRenamed("rep", "a").join(other, "value").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _may_overlap("n", "i", "m", "j"))
     rest = materialize(rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "similar-pairs")
 
     labels = connected_components(links.unionByName(_verified(rest, texts)))
