@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chartloom.functions.spans import char_jaccard, token_jaccard
+from chartloom.functions.spans import char_jaccard, overlap_tokens, token_jaccard
+from chartloom.operators.lineage import cut_lineage
 
 
 def candidate_pairs(predicted: DataFrame, gold: DataFrame, threshold: float = 0.5, exact_only: bool = False, strategy: str = "char-jaccard") -> DataFrame:
     """Pairs of one source and type with a score of at least the threshold.
 
     Both sides: (source_id, idx, entity_type, text, start_char, end_char); idx is the row's place in its list.  Exact spans
-    score 1.  Source ids must not be null here: a null id fits any source, which `any_source` pairs add.
+    score 1.  Source ids must not be null here: for those see any_source_pairs.
     """
     p = predicted.select("source_id", "entity_type", *[F.col(c).alias(f"p_{c}") for c in ("idx", "text", "start_char", "end_char")])
     g = gold.select("source_id", "entity_type", *[F.col(c).alias(f"g_{c}") for c in ("idx", "text", "start_char", "end_char")])
@@ -29,12 +30,62 @@ def candidate_pairs(predicted: DataFrame, gold: DataFrame, threshold: float = 0.
     return pairs.where(F.col("score") >= threshold).select("source_id", "entity_type", "p_idx", "g_idx", "score", "exact")
 
 
-def greedy_matches(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
+def any_source_pairs(predicted: DataFrame, gold: DataFrame, threshold: float = 0.5, exact_only: bool = False, strategy: str = "char-jaccard") -> DataFrame:
+    """As candidate_pairs, where a row without a source fits any source: (p_source, p_idx, g_source, g_idx, entity_type, score, exact).
+
+    Rows without a source meet the others where their spans overlap (or, by the token strategy, where texts share a token):
+    they are joined by type and block of 64 characters, or by type and token, never all with all.  threshold must be over 0.
+    """
+    if threshold <= 0:
+        raise ValueError("threshold must be over 0")
+    names = ("idx", "text", "start_char", "end_char", "source")
+    p = predicted.withColumnRenamed("source_id", "source").select("entity_type", *[F.col(c).alias(f"p_{c}") for c in names])
+    g = gold.withColumnRenamed("source_id", "source").select("entity_type", *[F.col(c).alias(f"g_{c}") for c in names])
+    exact = (F.col("p_start_char") == F.col("g_start_char")) & (F.col("p_end_char") == F.col("g_end_char"))
+    by_span = strategy == "char-jaccard" or exact_only
+    overlap_score = char_jaccard(F.col("p_start_char"), F.col("p_end_char"), F.col("g_start_char"), F.col("g_end_char"))
+    score = F.when(exact, F.lit(1.0)).otherwise(overlap_score if strategy == "char-jaccard" else token_jaccard(F.col("p_text"), F.col("g_text")))
+
+    def meeting(df: DataFrame, side: str) -> DataFrame:
+        blocks = F.sequence(F.floor(F.col(f"{side}_start_char") / 64), F.floor((F.greatest(F.col(f"{side}_end_char"), F.col(f"{side}_start_char") + 1) - 1) / 64))
+        spans = F.transform(blocks, lambda b: b.cast("string"))
+        tokens = F.transform(F.concat(overlap_tokens(F.col(f"{side}_text")), F.array(F.lit(""))), lambda t: F.concat(F.lit("t"), t))
+        return df.withColumn("meet", F.explode(spans if by_span else F.array_union(spans, tokens)))
+
+    same = p.where("p_source IS NOT NULL").join(g.where("g_source IS NOT NULL"), (p["entity_type"] == g["entity_type"]) & (F.col("p_source") == F.col("g_source"))).drop(g["entity_type"])
+    loose = meeting(p, "p").join(meeting(g, "g"), ["entity_type", "meet"]).where("p_source IS NULL OR g_source IS NULL").drop("meet").distinct()
+    pairs = same.unionByName(loose).withColumn("exact", exact).withColumn("score", score)
+    pairs = pairs.where("exact") if exact_only else pairs
+    return pairs.where(F.col("score") >= threshold).select("p_source", "p_idx", "g_source", "g_idx", "entity_type", "score", "exact")
+
+
+def any_source_matches(pairs: DataFrame) -> DataFrame:
+    """One-to-one assignment of any_source_pairs: the best pair first, by score, then predicted and gold row.
+
+    Rows without a source tie all sources together, so there is no group to fold.  Each pass takes every pair that is the best
+    of both its ends and drops what it touches, which gives what one scan in order gives; passes end when no pair is left.
+    """
+    order = [F.desc("score"), F.asc_nulls_first("p_source"), "p_idx", F.asc_nulls_first("g_source"), "g_idx"]
+    ends = {side: (f"{side}_source", f"{side}_idx") for side in ("p", "g")}
+    left, taken = cut_lineage(pairs), None
+    while not left.isEmpty():
+        ranked = left
+        for side, keys in ends.items():
+            ranked = ranked.withColumn(f"_{side}", F.row_number().over(Window.partitionBy("entity_type", *keys).orderBy(*order)))
+        best = cut_lineage(ranked.where("_p = 1 AND _g = 1").drop("_p", "_g"))
+        taken = best if taken is None else taken.unionByName(best)
+        for side, (source, idx) in ends.items():
+            used = best.select(F.col("entity_type").alias("_t"), F.col(source).alias("_s"), F.col(idx).alias("_i"))
+            left = left.join(used, (F.col("entity_type") == F.col("_t")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col(idx) == F.col("_i")), "left_anti")
+        left = cut_lineage(left)
+    return pairs if taken is None else taken
+
+
+def greedy_matches(pairs: DataFrame) -> DataFrame:
     """One-to-one assignment: the best pair first, by score, then predicted and gold index.
 
-    A pair is taken exactly when no better pair of either end is.  Each pass takes all pairs that are best for both ends
-    and drops what they touch, which gives what one scan in order would.  Pairs of different (source, type) never touch, so
-    a group's pairs are folded in order within the group; a group is one note's candidates of one type.
+    Pairs of different (source, type) never touch, so a group's pairs are folded in order within the group; a group is one
+    note's candidates of one type.
     """
     one = F.struct((-F.col("score")).alias("rank"), "p_idx", "g_idx", "exact")
     grouped = pairs.groupBy("source_id", "entity_type").agg(F.array_sort(F.collect_list(one)).alias("all"))
@@ -82,6 +133,114 @@ def attribute_accuracy(predicted: DataFrame, gold: DataFrame, matches: DataFrame
     return out.select(F.lit(attribute).alias("attribute"), "correct", "total", ratio(F.col("correct"), F.col("total")).alias("accuracy"))
 
 
+def attribute_mismatches(predicted: DataFrame, gold: DataFrame, matches: DataFrame, attribute: str = "assertion") -> DataFrame:
+    """(source_id, p_idx, g_idx, predicted, gold): matches whose gold value is not null and differs from the prediction."""
+    p = predicted.select("source_id", F.col("idx").alias("p_idx"), F.col(attribute).alias("predicted"))
+    g = gold.select("source_id", F.col("idx").alias("g_idx"), F.col(attribute).alias("gold"))
+    rows = matches.select("source_id", "p_idx", "g_idx").join(p, ["source_id", "p_idx"]).join(g, ["source_id", "g_idx"])
+    return rows.where("gold IS NOT NULL AND NOT predicted <=> gold").select("source_id", "p_idx", "g_idx", "predicted", "gold")
+
+
+def class_accuracy(predicted: DataFrame, gold: DataFrame, matches: DataFrame, classes: Sequence[str], attribute: str = "assertion") -> DataFrame:
+    """(ord, value, correct, total, accuracy) for every gold class of the vocabulary; accuracy is null where a class has no match."""
+    p = predicted.select("source_id", F.col("idx").alias("p_idx"), F.col(attribute).alias("p_value"))
+    g = gold.select("source_id", F.col("idx").alias("g_idx"), F.col(attribute).alias("value"))
+    rows = matches.join(p, ["source_id", "p_idx"]).join(g, ["source_id", "g_idx"])
+    counts = rows.groupBy("value").agg(F.count_if(F.col("p_value") == F.col("value")).alias("correct"), F.count("*").alias("total"))
+    every = predicted.sparkSession.createDataFrame(list(enumerate(classes)), "ord int, value string")
+    out = every.join(counts, "value", "left").select("ord", "value", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("correct", "total")])
+    return out.withColumn("accuracy", ratio(F.col("correct"), F.col("total")))
+
+
+def f1_gate(found: DataFrame, least: float = 0.39) -> DataFrame:
+    """metrics gain passed and exit_code: 1 where f1, or 0 in its place, is under the gate."""
+    passed = F.coalesce("f1", F.lit(0.0)) >= least
+    return found.withColumn("passed", passed).withColumn("exit_code", F.when(passed, 0).otherwise(1))
+
+
+def case_results(expected: DataFrame, found: DataFrame, cases: DataFrame) -> DataFrame:
+    """Names expected and found by case: cases(case_id, specialty), both sides (case_id, name), repeats once.
+
+    -> (case_id, specialty, expected_count, found_count, matched_count, precision, recall, f1, missed, extra), the names of
+    the last two in order.  Precision of nothing found, and recall of nothing expected, is 1.
+    """
+    e = expected.select("case_id", "name").distinct().withColumn("e", F.lit(True))
+    f = found.select("case_id", "name").distinct().withColumn("f", F.lit(True))
+    both = e.join(f, ["case_id", "name"], "full").select("case_id", "name", F.coalesce("e", F.lit(False)).alias("e"), F.coalesce("f", F.lit(False)).alias("f"))
+    names = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.col("name"))))
+    counts = both.groupBy("case_id").agg(
+        F.count_if("e").alias("expected_count"), F.count_if("f").alias("found_count"), F.count_if(F.col("e") & F.col("f")).alias("matched_count"),
+        names(F.col("e") & ~F.col("f")).alias("missed"), names(F.col("f") & ~F.col("e")).alias("extra"),
+    )
+    none = F.array().cast("array<string>")
+    rows = cases.join(counts, "case_id", "left").select("case_id", "specialty", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("expected_count", "found_count", "matched_count")], *[F.coalesce(c, none).alias(c) for c in ("missed", "extra")])
+    return _with_rates(rows)
+
+
+def _with_rates(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("precision", F.coalesce(ratio(F.col("matched_count"), F.col("found_count")), F.lit(1.0))).withColumn("recall", F.coalesce(ratio(F.col("matched_count"), F.col("expected_count")), F.lit(1.0)))
+    total = F.col("precision") + F.col("recall")
+    return rows.withColumn("f1", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0))
+
+
+def backlog(results: DataFrame) -> DataFrame:
+    """(case_id, specialty, name): every name that a case missed."""
+    return results.select("case_id", "specialty", F.explode("missed").alias("name"))
+
+
+def hotspots(results: DataFrame) -> DataFrame:
+    """The cases with a gap, the widest first, then by id: (place, case_id, gap)."""
+    gap = F.size("missed") + F.size("extra")
+    rows = results.where(gap > 0).select("case_id", gap.alias("gap"))
+    return ranked(rows, [F.col("gap")], [F.col("case_id")])
+
+
+def ranked(rows: DataFrame, falling: Sequence[Column], rising: Sequence[Column]) -> DataFrame:
+    """rows gain place, from 1, by falling then rising keys, without gathering all rows in one task.
+
+    Rows are range-partitioned by the keys, ordered and numbered within each partition, and shifted by the sizes of the
+    partitions before.
+    """
+    keys = [*[c.desc() for c in falling], *[c.asc() for c in rising]]
+    placed = cut_lineage(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn("place", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def by_specialty(results: DataFrame, specialties: Sequence[str]) -> DataFrame:
+    """Sums and rates of the case results for every specialty, those without a case included."""
+    sums = results.groupBy("specialty").agg(
+        *[F.sum(c).alias(c) for c in ("expected_count", "found_count", "matched_count")], F.sum(F.size("missed")).alias("missed_count"), F.sum(F.size("extra")).alias("extra_count")
+    )
+    every = results.sparkSession.createDataFrame([(s,) for s in specialties], "specialty string")
+    counts = ("expected_count", "found_count", "matched_count", "missed_count", "extra_count")
+    return _with_rates(every.join(sums, "specialty", "left").select("specialty", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts]))
+
+
+def coverage(entities: DataFrame) -> DataFrame:
+    """entities(entity_type, assertion, n_codings) -> (dimension, key, found_count, coded_count): by type and by assertion, one pass."""
+    rows = entities.select("entity_type", F.coalesce("assertion", F.lit("present")).alias("assertion"), (F.col("n_codings") > 0).cast("int").alias("coded"))
+    sums = rows.groupingSets([[F.col("entity_type")], [F.col("assertion")]], "entity_type", "assertion").agg(F.grouping("entity_type").alias("_other"), F.count("*").alias("found_count"), F.sum("coded").alias("coded_count"))
+    dimension, key = F.when(F.col("_other") == 0, "type").otherwise("assertion"), F.when(F.col("_other") == 0, F.col("entity_type")).otherwise(F.col("assertion"))
+    return sums.select(dimension.alias("dimension"), key.alias("key"), "found_count", "coded_count")
+
+
+def ambiguity_results(expected: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Both (case_id, abbreviation, meaning): (case_id, expected_count, matched_count, missed), missed as abbreviation=meaning."""
+    hit = resolved.select("case_id", "abbreviation", "meaning").distinct().withColumn("hit", F.lit(True))
+    rows = expected.distinct().join(hit, ["case_id", "abbreviation", "meaning"], "left")
+    missed = F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.concat_ws("=", "abbreviation", "meaning"))))
+    return rows.groupBy("case_id").agg(F.count("*").alias("expected_count"), F.count("hit").alias("matched_count"), missed.alias("missed"))
+
+
+def pair_auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The share of (positive, negative) pairs in order, ties half; 0, not null, where one class is missing."""
+    return roc_auc(scores, by).withColumn("roc_auc", F.coalesce("roc_auc", F.lit(0.0)))
+
+
 def roc_auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve from average ranks; scores(y_true, y_score).  Null where one class is missing.
 

@@ -12,6 +12,7 @@ from chartloom.functions import lexicon as L
 from chartloom.functions.spans import any_of, containing, let, match_spans, overlap, sentence_spans
 from chartloom.operators.assertion import AssertionRules, resolve
 
+MENTION_COLUMNS = ("entity_type", "text", "normalized_text", "start_char", "end_char", "assertion", "confidence_score", "section_context", "attributes")
 MENTION = "struct<start_char int, end_char int, text string, entity_type string, normalized_text string, section_context string, confidence_score double, attributes map<string,string>, concept_ord int>"
 
 

@@ -47,10 +47,10 @@ def code(rows: DataFrame, name: Column, spark: SparkSession, codes: DataFrame |
     one = F.struct("system", "code", "display", F.lit(None).cast("string").alias("release_version"), "confidence")
     own = own.groupBy(F.col("name").alias("_n"), F.col("entity_type").alias("_t")).agg(F.collect_list(one).cast(kind).alias("_own"))
     rows = rows.withColumn("_name", name)
-    out = rows.join(F.broadcast(own), (F.col("_name") == F.col("_n")) & (F.col("entity_type") == F.col("_t")), "left")
+    out = rows.join(own, (F.col("_name") == F.col("_n")) & (F.col("entity_type") == F.col("_t")), "left")
     if seed is not None:
         each = seed.groupBy(F.lower("canonical_name").alias("_s")).agg(F.collect_list(F.struct("system", "code", "display", "release_version", "confidence")).cast(kind).alias("_seed"))
-        out = out.join(F.broadcast(each), F.lower(F.trim("_name")) == F.col("_s"), "left")
+        out = out.join(each, F.lower(F.trim("_name")) == F.col("_s"), "left")
     else:
         out = out.withColumn("_seed", F.lit(None).cast(kind)).withColumn("_s", F.lit(None))
     out = out.withColumn("codings", F.coalesce("_own", "_seed", F.array().cast(kind)))
