@@ -1,9 +1,9 @@
 """Token ids in Arrow stream files of fixed-size lists.
 
-A store is a folder of shards, each a range of doc_ids: `shard-NNNNNN.arrow` is an Arrow IPC stream whose record batches all
+A store is a folder of shards, each a range of doc_ids: `shard-NNNNNN-ATTEMPT.arrow` is an Arrow IPC stream whose record batches all
 hold SEQUENCES_A_BATCH rows (the last may hold fewer) of two fixed-size lists of `length` values: `ids` (uint16 where the
 vocabulary fits, else uint32) and `mask` (bool, false on the padding that ends a shard).  The documents of a shard follow
-one another in ascending doc_id order, each closed by the end id.  `shard-NNNNNN.docs.arrow` has doc_id, start and length
+one another in ascending doc_id order, each closed by the end id.  `shard-NNNNNN-ATTEMPT.docs.arrow` has doc_id, start and length
 of each, counted within the shard.  Both map into memory: a sequence is a view of the mapped file, found by two divisions.
 
 Encoding.  The GPT-2 pattern of byte-level vocabularies never lets a piece run over a space that stands before a sign that
@@ -11,7 +11,8 @@ is not white space: the space starts a new piece; and a line end with no white s
 library encodes each distinct piece once per worker (within a bound), which gives the ids of the whole text.
 
 Writing.  Ids are made where the rows are read, compressed, and shuffled once to the task that owns their range of doc_ids.
-A shard is written under a name of the attempt's own and then renamed, so a repeated task leaves one whole file.
+A shard is written under a name of the attempt's own, and the manifest names the files of the attempts that ended: a task may
+be repeated, or run twice, and nothing is renamed or deleted.
 """
 
 from __future__ import annotations
@@ -143,20 +144,14 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def _publish(fs: pafs.FileSystem, made: str, name: str) -> None:
-    if fs.get_file_info(name).type != pafs.FileType.NotFound and not isinstance(fs, pafs.LocalFileSystem):
-        fs.delete_file(name)
-    fs.move(made, name)
-
-
 class ShardWriter:
-    """Writes one shard; add() takes documents in order, close() publishes the files."""
+    """Writes one shard; add() takes documents in order, close() ends the files and gives their name."""
 
     def __init__(self, folder: str, shard: int, kind: str, length: int):
         self.fs, root = _open(folder)
         self.fs.create_dir(root)
-        self.name, self.docs_name = f"{root}/shard-{shard:06d}.arrow", f"{root}/shard-{shard:06d}.docs.arrow"
-        self.made = f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
+        self.name = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}"
+        self.made = f"{root}/{self.name}.arrow"
         self.kind, self.length = np.dtype(kind), length
         self.schema = pa.schema([("ids", pa.list_(pa.uint16() if self.kind.itemsize == 2 else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = self.fs.open_output_stream(self.made)
@@ -191,24 +186,22 @@ class ShardWriter:
         self.sink.close()
         columns = list(zip(*self.docs, strict=True)) or [[], [], []]
         index = pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "start", "length"), columns, strict=True)})
-        with self.fs.open_output_stream(self.made + ".docs") as sink, pa.ipc.new_stream(sink, index.schema) as out:
+        with self.fs.open_output_stream(self.made.removesuffix(".arrow") + ".docs.arrow") as sink, pa.ipc.new_stream(sink, index.schema) as out:
             out.write_table(index)
-        _publish(self.fs, self.made + ".docs", self.docs_name)
-        _publish(self.fs, self.made, self.name)
         return self.name
 
 
 class Shard:
     """Random access to a shard.  On a local or mounted file system nothing is copied: arrays are views of the mapped file."""
 
-    def __init__(self, folder: str, shard: int):
+    def __init__(self, folder: str, name: str):
         fs, root = _open(folder)
         local = isinstance(fs, pafs.LocalFileSystem)
         source = lambda name: pa.memory_map(name) if local else fs.open_input_file(name)
-        with pa.ipc.open_stream(source(f"{root}/shard-{shard:06d}.docs.arrow")) as r:
+        with pa.ipc.open_stream(source(f"{root}/{name}.docs.arrow")) as r:
             index = r.read_all()
         self.doc_ids, self.starts, self.lengths = index.column("doc_id").to_pylist(), index.column("start").to_numpy(), index.column("length").to_numpy()
-        self.batches = list(pa.ipc.open_stream(source(f"{root}/shard-{shard:06d}.arrow")))
+        self.batches = list(pa.ipc.open_stream(source(f"{root}/{name}.arrow")))
         self.length = self.batches[0].schema.field("ids").type.list_size if self.batches else 1
         self.ids = [b.column("ids").flatten().to_numpy() for b in self.batches]
 
@@ -234,7 +227,7 @@ class Shard:
 
 
 def write_token_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, length: int = 2048, docs_a_shard: int = 4096) -> DataFrame:
-    """Encode docs(doc_id, text, ...) and write the store; gives its manifest (shard, n_docs, n_tokens), one row per shard.
+    """Encode docs(doc_id, text, ...) and write the store; gives its manifest (shard, name, n_docs, n_tokens), one row per shard.
 
     Documents are in ascending doc_id order over the shards, those with a null doc_id first; rows that share a doc_id are
     ordered by token count and ids.  Null text is empty: the end id alone.  An empty table makes no shard.  vocabulary must
@@ -259,23 +252,22 @@ def write_token_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, open_press = piece_encoder(vocabulary).kind, zstandard.ZstdDecompressor()
         writer, now = None, None
-        done: list[tuple[int, int, int]] = []
+        done: list[tuple[int, str, int, int]] = []
         for b in batches:
             for shard, doc_id, ids in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 if shard != now:
                     if writer:
-                        writer.close()
-                        done.append((now, len(writer.docs), writer.total))
+                        done.append((now, writer.close(), len(writer.docs), writer.total))
                     writer, now = ShardWriter(folder, shard, kind, length), shard
                 writer.add(doc_id, np.frombuffer(open_press.decompress(ids), kind))
         if writer:
-            writer.close()
-            done.append((now, len(writer.docs), writer.total))
-        columns = list(zip(*done, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["shard", "n_docs", "n_tokens"])
+            done.append((now, writer.close(), len(writer.docs), writer.total))
+        columns = list(zip(*done, strict=True)) or [[], [], [], []]
+        kinds = {"shard": pa.int32(), "name": pa.string(), "n_docs": pa.int64(), "n_tokens": pa.int64()}
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    kind = "shard int, n_docs bigint, n_tokens bigint"
-    ranged = docs.mapInArrow(encoded, "shard int, doc_id bigint, n_tokens bigint, ids binary").repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "ids")
+    kind = "shard int, name string, n_docs bigint, n_tokens bigint"
+    ranged = docs.mapInArrow(encoded, "shard int, doc_id bigint, n_tokens bigint, ids binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens", "ids")
     done = ranged.mapInArrow(written, kind).collect()  # at most _MOST_SHARDS rows
     return spark.createDataFrame(done, kind)
 
@@ -285,8 +277,8 @@ def read_token_store(manifest: DataFrame, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, base in zip(b.column("shard").to_pylist(), b.column("base").to_pylist(), strict=True):
-                shard = Shard(folder, number)
+            for number, name, base in zip(*(b.column(c).to_pylist() for c in ("shard", "name", "base")), strict=True):
+                shard = Shard(folder, name)
                 for at in range(0, len(shard.doc_ids), 1024):
                     starts, lengths = shard.starts[at : at + 1024], shard.lengths[at : at + 1024]
                     crc = [zlib.crc32(shard.span(s, n).astype("<u4").tobytes()) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
@@ -296,7 +288,7 @@ def read_token_store(manifest: DataFrame, folder: str) -> DataFrame:
                     )
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard, _MOST_SHARDS at most
-    based = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    based = manifest.select("shard", "name", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     spark = manifest.sparkSession
     parts = 2 * spark.sparkContext.defaultParallelism
     return based.repartition(parts, "shard").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard int")

@@ -92,8 +92,7 @@ def test_sequences_are_views_of_equal_length(spark):
     docs = [np.arange(5, dtype="<u2"), np.arange(1200, dtype="<u2"), np.array([7], "<u2")]
     for i, d in enumerate(docs):
         w.add(i, d)
-    w.close()
-    shard, flat = S.Shard(folder, 3), np.concatenate(docs)
+    shard, flat = S.Shard(folder, w.close()), np.concatenate(docs)
     assert len(shard) == -(-len(flat) // 8)
     back = [shard.sequence(i) for i in range(len(shard))]
     assert all(len(ids) == len(mask) == 8 for ids, mask in back)
