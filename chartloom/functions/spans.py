@@ -30,21 +30,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def match_spans(text: Column, pattern: str, groups: int = 0) -> Column:
-    """array<struct<start, end, text, g1..gn>> of all matches of a pattern, in order; unmatched groups are null."""
+    """array<struct<start, end, text, g1..gn>> of all matches of a pattern, in order; unmatched groups are null.
+
+    One pass over pieces and matches carries the place.  A text without a match costs one search.
+    """
+    names = [f"c{k}" for k in range(1, groups + 1)]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
     between = F.split(text, pattern, -1).alias("between")
-    columns = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f"c{k}") for k in range(1, groups + 1)]
-
-    def spans(v: Column) -> Column:
-        def span(m: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(v["between"], F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
-            start = before + F.aggregate(F.slice(v["found"], F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-            own = [F.nullif(F.try_element_at(v[f"c{k}"], i + 1), F.lit("")).alias(f"g{k}") for k in range(1, groups + 1)]
-            return let(start, lambda s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("text"), *own))
+    columns = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(n) for k, n in enumerate(names, 1)]
+    span = "start int, end int, text string" + "".join(f", g{k} string" for k in range(1, groups + 1))
+    kind = f"struct<at: int, spans: array<struct<{span.replace(' int', ': int').replace(' string', ': string')}>>>"
+    none = F.array().cast(f"array<struct<{span.replace(' int', ': int').replace(' string', ': string')}>>")
 
-        return F.transform(v["found"], span)
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(x["between"])
+        own = [F.nullif(x[n], F.lit("")).alias(f"g{k}") for k, n in enumerate(names, 1)]
+        one = F.struct(start.alias("start"), (start + F.length(x["found"])).alias("end"), x["found"].alias("text"), *own)
+        return F.when(x["found"].isNull(), a).otherwise(F.struct((start + F.length(x["found"])).alias("at"), F.array_append(a["spans"], one).alias("spans")).cast(kind))
 
-    return let(F.struct(found, between, *columns), spans)
+    first = F.struct(F.lit(0).alias("at"), none.alias("spans")).cast(kind)
+    spans = F.aggregate(F.arrays_zip(between, found, *columns), first, step)["spans"]
+    return F.when(text.isNull(), F.lit(None)).when(text.rlike(pattern), spans).otherwise(none)
 
 
 def _trimmed(start: Column, raw: Column) -> Column:
@@ -60,9 +66,14 @@ def sentence_spans(text: Column, boundary: str = SENTENCE_END) -> Column:
     ends = F.regexp_extract_all(text, F.lit(boundary), F.lit(0)).alias("ends")
     pieces = F.split(text, boundary, -1).alias("pieces")
 
+    kind = "struct<at: int, spans: array<struct<start: int, end: int, text: string>>>"
+
+    def step(a: Column, r: Column) -> Column:
+        kept = let(_trimmed(a["at"], r), lambda s: F.when(s["end"] > s["start"], F.array_append(a["spans"], s)).otherwise(a["spans"]))
+        return F.struct((a["at"] + F.length(r)).alias("at"), kept.alias("spans")).cast(kind)
+
     def placed(raw: Column) -> Column:
-        at = F.transform(raw, lambda r, i: F.aggregate(F.slice(raw, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
-        return F.filter(F.zip_with(at, raw, _trimmed), lambda s: s["end"] > s["start"])
+        return F.aggregate(raw, F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(kind), step)["spans"]
 
     raw = let(F.struct(pieces, ends), lambda v: F.transform(v["pieces"], lambda p, i: F.concat(p, F.coalesce(F.try_element_at(v["ends"], i + 1), F.lit("")))))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("text")))
