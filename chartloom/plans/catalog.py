@@ -152,8 +152,8 @@ def type_assertion(spark, sf):
 
 @query("agg_grouping_sets", "SELECT entity_type, assertion, CAST(grouping_id(entity_type, assertion) AS INT) AS level, count(*) AS n FROM gold GROUP BY GROUPING SETS ((entity_type), (assertion), (entity_type, assertion), ())")
 def _(spark, sf):
-    _mentions(spark, sf).select("entity_type", "assertion").createOrReplaceTempView("chartloom_gs")
-    return spark.sql("SELECT entity_type, assertion, CAST(grouping_id(entity_type, assertion) AS INT) AS level, count(*) AS n FROM chartloom_gs GROUP BY GROUPING SETS ((entity_type), (assertion), (entity_type, assertion), ())")
+    rows = _mentions(spark, sf).select("entity_type", "assertion")
+    return spark.sql("SELECT entity_type, assertion, CAST(grouping_id(entity_type, assertion) AS INT) AS level, count(*) AS n FROM {rows} GROUP BY GROUPING SETS ((entity_type), (assertion), (entity_type, assertion), ())", rows=rows)
 
 
 @query("agg_entity_summary", "SELECT note_id, count(*) AS n_entities, string_agg(entity_type || '=' || n, ',' ORDER BY entity_type) AS by_type FROM (SELECT note_id, entity_type, CAST(count(*) AS STRING) AS n FROM ent GROUP BY ALL) GROUP BY note_id".replace("count(*) AS n_entities", "CAST(sum(CAST(n AS INT)) AS BIGINT) AS n_entities"), BASE + _ENTITIES)
@@ -386,9 +386,6 @@ def _(spark, sf):
     return X.risk_score(X.risk_features(_mentions(spark, sf))).select("note_id", "probability", "band", "decision")
 
 
-QUERIES["rsk_drivers"] = lambda spark, sf: X.risk_score(X.risk_features(_mentions(spark, sf))).select("note_id", "drivers")
-
-
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     scored = X.risk_score(X.risk_features(_mentions(spark, sf)))
     return scored.select(F.col("note_id").alias("ord"), F.when((F.col("note_id") * 7) % 11 < 4, 1).otherwise(0).alias("y_true"), F.col("probability").alias("y_score"), F.when(F.col("note_id") % 3 == 0, "nlp").when(F.col("note_id") % 3 == 1, "llm").otherwise("hybrid").alias("mode"))
@@ -461,3 +458,47 @@ def _(spark, sf):
 def _(spark, sf):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return _events(spark, sf).withColumn("k", F.row_number().over(w)).where("k = 1").select("user_id", "event_id", "event_type")
+
+
+# -- rules that the note templates do not reach -------------------------------------------------------------------------
+CHRONIC_CONCEPTS = (L.Concept("problem", r"(?i)\b(?:hypertension|asthma)\b", "hypertension"), L.Concept("finding", r"(?i)\bgait\b", "gait"))
+_CHRONIC_TEXTS = ("History of hypertension, on lisinopril.", "History of hypertension.", "History of hypertension, seen on admission.", "Gait steady today.", "No history of hypertension, on lisinopril.")
+
+
+@query(
+    "ast_chronic_active",
+    """WITH x AS (SELECT event_id, event_id % 5 AS k FROM events) SELECT event_id AS note_id, CASE k WHEN 0 THEN 'present' WHEN 3 THEN 'present' WHEN 4 THEN 'absent' ELSE 'historical' END AS assertion,
+    CASE k WHEN 0 THEN 'chronic-active-present: History of' WHEN 3 THEN 'default-present' WHEN 4 THEN 'pre-negation: No history of' ELSE 'historical: History of' END AS assertion_reason FROM x""",
+    "",
+)
+def _(spark, sf):
+    text = F.element_at(F.array(*[F.lit(t) for t in _CHRONIC_TEXTS]), (F.col("event_id") % 5 + 1).cast("int"))
+    notes = _events(spark, sf).select(F.col("event_id").alias("note_id"), text.alias("text"))
+    return extract_mentions(notes, CHRONIC_CONCEPTS).select("note_id", "assertion", "assertion_reason")
+
+
+@query(
+    "ast_incoming",
+    "WITH x AS (SELECT event_id, event_id % 3 AS i, event_id % 2 AS n FROM events) SELECT event_id, CASE WHEN n = 1 THEN 'absent' WHEN i = 0 THEN 'unknown' WHEN i = 1 THEN 'planned' ELSE 'present' END AS assertion, CASE WHEN n = 1 THEN 'pre-negation' WHEN i = 0 THEN 'unresolved' ELSE 'default-present' END AS decision FROM x",
+    "",
+)
+def _(spark, sf):
+    """Mentions that bring an assertion along: it stays where nothing in the sentence speaks against it."""
+    from chartloom.operators.assertion import resolve
+
+    given = F.when(F.col("event_id") % 3 == 0, "unknown").when(F.col("event_id") % 3 == 1, "planned").otherwise("present")
+    rows = _events(spark, sf).select("event_id", F.lit("gait").alias("text"), F.lit("gait").alias("normalized_text"), given.alias("assertion"), F.when(F.col("event_id") % 2 == 1, "No ").otherwise("The ").alias("before"), F.lit(" steady today.").alias("after"))
+    return resolve(rows).select("event_id", "assertion", "decision")
+
+
+def _term_number(name: str, weight: float, center: float, scale: float) -> str:
+    return f"(CASE WHEN {_term(name, weight, center, scale)} IS NULL THEN 0.0 ELSE {_term(name, weight, center, scale)} END)"
+
+
+_DRIVERS = _RISK + ", dr0 AS (" + " UNION ALL ".join(f"SELECT note_id, {k} AS ord, {literal(n)} AS feature, {_term_number(n, w, c, s)} AS v FROM rf" for k, (n, w, c, s) in enumerate(L.RISK_FEATURES)) + """),
+  dr AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY -abs(v), ord) AS k FROM dr0 WHERE abs(v) >= 0.08)"""
+
+
+@query("rsk_drivers", "SELECT n.note_id, coalesce(string_agg(feature || ' ' || printf('%+.2f', v), '; ' ORDER BY k) FILTER (k <= 5), 'No elevated model drivers from extracted features') AS drivers FROM rf n LEFT JOIN dr USING (note_id) GROUP BY n.note_id", BASE + _DRIVERS)
+def _(spark, sf):
+    return X.risk_score(X.risk_features(_mentions(spark, sf))).select("note_id", "drivers")

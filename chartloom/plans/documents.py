@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chartloom.functions.lexicon import PSYCH_CONTEXT
+from chartloom.functions.lexicon import PSYCH_CONTEXT, STARTER_CODES
 from chartloom.operators import documents as D
 from chartloom.operators import rollup as R
 from chartloom.operators.context import LEXICAL, note_context
-from chartloom.plans.catalog import _ENTITIES, BASE, QUERIES, _mentions, query
+from chartloom.plans.catalog import _ENTITIES, BASE, _mentions, query
 from chartloom.sources.notes import clinical_notes, literal
 from chartloom.streaming.mentions import refused, session_table
 
@@ -30,7 +30,16 @@ def _(spark, sf):
     return note_context(clinical_notes(spark, sf)).select("note_id", "note_type", "pc", "mh", "pt", "primary_specialty")
 
 
-QUERIES["abr_resolutions"] = lambda spark, sf: note_context(clinical_notes(spark, sf)).select("note_id", F.explode("abbreviations").alias("a")).select("note_id", "a.*")
+@query(
+    "abr_resolutions",
+    r""", si AS (SELECT note_id, len(regexp_extract_all(text, '(?i)\bSI\b')) AS n, primary_specialty AS p, (SELECT count(*) FROM (VALUES ('hi'), ('phq-9'), ('risk'), ('denies')) AS h(w) WHERE contains(lower(text), w)) AS hints FROM ctx)
+    SELECT note_id, 'SI' AS abbreviation, CAST(n AS INT) AS n, CASE WHEN ok THEN 'suicidal ideation' ELSE 'stroke index' END AS meaning, CASE WHEN ok THEN 'suicidal ideation' END AS canonical_name
+    FROM (SELECT *, hints + CASE WHEN p IN ('mental-health', 'mixed') THEN 1 ELSE 0 END >= CASE WHEN p IN ('primary-care', 'mixed') THEN 1 ELSE 0 END AS ok FROM si WHERE n > 0)
+    UNION ALL SELECT note_id, 'PT', 1, 'patient', NULL FROM notes WHERE template_id = 21""",
+    BASE + _CONTEXT,
+)
+def _(spark, sf):
+    return note_context(clinical_notes(spark, sf)).select("note_id", F.explode("abbreviations").alias("a")).select("note_id", "a.*")
 
 
 @query("ctx_active", "SELECT note_id, concat_ws(',', 'mixed', CASE WHEN pc > 0 THEN 'primary-care' END, CASE WHEN mh > 0 THEN 'mental-health' END, CASE WHEN pt > 0 THEN 'physical-therapy' END) AS active FROM ctx", BASE + _CONTEXT)
@@ -45,7 +54,20 @@ def _(spark, sf):
     return body.select("note_id", F.from_json("body", kind).alias("b")).select("note_id", F.size("b.mentions").alias("n_mentions"), F.size("b.entities").alias("n_entities"))
 
 
-QUERIES["svc_envelope_json"] = lambda spark, sf: D.envelope(_mentions(spark, sf), spark)
+_BODY = rf""", conf AS (SELECT g.*, row_number() OVER (PARTITION BY g.note_id ORDER BY g.start_char, g.end_char, g.entity_type) - 1 AS idx, g.text = 'SI' AND NOT regexp_matches(n.text, {literal(PSYCH_CONTEXT)}) AS bare FROM gold g JOIN notes n USING (note_id)),
+said AS (SELECT note_id, '[' || string_agg('{{"text":"' || text || '","entity_type":"' || entity_type || '","start_char":' || CAST(start_char AS STRING) || ',"end_char":' || CAST(end_char AS STRING) || ',"assertion":"' || assertion || '","confidence_score":'
+  || CASE WHEN bare THEN '0.4' WHEN entity_type = 'risk' THEN '0.86' ELSE '0.92' END || ',"normalized_text":"' || normalized_text || '","section_context":' || CASE entity_type WHEN 'vital' THEN '"vitals"' ELSE 'null' END || ',"attributes":{{'
+  || CASE canonical_text WHEN 'heart rate' THEN '"measurement":"heart-rate","unit":"beats/min","value":"' || regexp_extract(text, '(\d+)$', 1) || '"' WHEN 'blood pressure' THEN '"measurement":"blood-pressure","unit":"mmHg","systolic":"' || regexp_extract(text, '(\d+)/', 1) || '","diastolic":"' || regexp_extract(text, '/(\d+)', 1) || '"'
+     WHEN 'phq-9' THEN '"scale":"PHQ-9","value":"' || regexp_extract(text, '(\d+)$', 1) || '"' WHEN 'pain rating' THEN '"scale":"0-10","value":"' || regexp_extract(text, '(\d+)/10', 1) || '"' ELSE CASE WHEN bare THEN '"review_reason":"ambiguous-SI-no-psych-context"' ELSE '' END END || '}}}}', ',' ORDER BY idx) || ']' AS mentions FROM conf GROUP BY note_id),
+places AS (SELECT note_id, entity_type, canonical_text, string_agg(CAST(idx AS STRING), ',' ORDER BY idx) AS spots FROM conf GROUP BY ALL),
+told AS (SELECT e.note_id, '[' || string_agg('{{"entity_type":"' || entity_type || '","canonical_text":"' || canonical_text || '","assertion":"' || assertion || '","review_priority":"' || CASE WHEN assertion IN ('conflicting', 'unknown') THEN 'high' ELSE 'routine' END || '","mention_indexes":[' || spots || '],"codings":['
+  || coalesce('{{"system":"' || c.system || '","code":"' || c.code || '","display":"' || c.display || '","release_version":null,"confidence":' || c.confidence || '}}', '') || '],"is_coded":false}}', ',' ORDER BY first_start, entity_type, canonical_text) || ']' AS entities
+  FROM ent e JOIN places USING (note_id, entity_type, canonical_text) LEFT JOIN ({" UNION ALL ".join(f"SELECT {literal(n)} AS name, {literal(t)} AS t, {literal(s)} AS system, {literal(c)} AS code, {literal(d)} AS display, {literal(str(k))} AS confidence" for n, t, s, c, d, k in STARTER_CODES)}) c ON c.name = canonical_text AND c.t = entity_type GROUP BY e.note_id)"""
+
+
+@query("svc_envelope_json", """SELECT note_id, '{"mentions":' || mentions || ',"entities":' || entities || '}' AS body FROM said JOIN told USING (note_id)""", BASE + _ENTITIES + _BODY)
+def _(spark, sf):
+    return D.envelope(_mentions(spark, sf), spark)
 
 
 @query(
