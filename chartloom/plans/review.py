@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chartloom.functions.terminology import SYSTEM_URIS, SYSTEMS, seed_rows
 from chartloom.operators import evaluation as E
 from chartloom.operators import export as G
+from chartloom.operators import fhir as X
 from chartloom.operators import hybrid as H
 from chartloom.operators import lab as B
 from chartloom.operators import relations as N
@@ -568,3 +569,113 @@ def _(spark, sf):
     rows = _labelled(spark, sf)
     one = rows.withColumn("y_true", F.lit(1)).withColumn("mode", F.lit("one class"))
     return E.pair_auc(rows.unionByName(one), by=["mode"]).withColumn("roc_auc", F.round("roc_auc", 6))
+
+
+# -- exchange resources in full ----------------------------------------------------------------------------------------
+_KINDS = (
+    ("problem", "hypertension", {}), ("vital", "blood pressure", {"systolic": "120", "diastolic": "80"}), ("vital", "heart rate", {"value": "72", "unit": "beats/min"}), ("medication", "lisinopril", {"dose": "10 mg"}),
+    ("allergy", "penicillin", {"severity": "high", "reaction": "rash"}), ("referral", "physical therapy", {}), ("procedure", "colonoscopy", {}), ("finding", "gait", {"value": "steady"}),
+)
+
+
+def _exchange(spark, sf):
+    e = _events(spark, sf)
+    k = (F.col("event_id") % len(_KINDS)).cast("int")
+    pick = lambda values_: F.element_at(F.array(*values_), k + 1)
+    attributes = pick([F.create_map(*[F.lit(x) for kv in a.items() for x in kv]) if a else F.create_map().cast("map<string,string>") for _, _, a in _KINDS])
+    status = F.when(F.col("event_id") % 3 == 0, "rejected").when(F.col("event_id") % 3 == 1, "selected").otherwise("candidate")
+    coding = lambda code, s: F.struct(F.lit("LOINC").alias("system"), F.lit(code).alias("code"), F.lit("d").alias("display"), s.alias("status"))
+    return e.select(
+        F.col("event_id").alias("note_id"), F.lit(0).alias("ord"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), pick([F.lit(t) for t, _, _ in _KINDS]).alias("entity_type"), pick([F.lit(n) for _, n, _ in _KINDS]).alias("canonical_name"),
+        F.lit("Name").alias("display_name"), F.when(F.col("event_id") % 5 == 0, "absent").otherwise("present").alias("assertion"), attributes.alias("attributes"), F.array(coding("a", status), coding("b", F.lit("candidate"))).alias("codings"),
+        F.array(F.struct(F.lit(0).alias("start_char"), F.lit(4).alias("end_char"), F.lit("name").alias("text"))).alias("mentions"),
+    )
+
+
+def _fhir_sql() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    code = """'{"coding":[' || CASE WHEN s = 0 THEN '{"system":"http://loinc.org","code":"b","display":"d"}' WHEN s = 1 THEN '{"system":"http://loinc.org","code":"a","display":"d"}' ELSE '{"system":"http://loinc.org","code":"a","display":"d"},{"system":"http://loinc.org","code":"b","display":"d"}' END || '],"text":"Name"}'"""
+    status = lambda system, yes, no: f"""'{{"coding":[{{"system":"http://terminology.hl7.org/CodeSystem/{system}","code":"' || CASE WHEN absent THEN '{no}","display":"{no.capitalize()}' ELSE '{yes}","display":"{yes.capitalize()}' END || '"}}]}}'"""
+    note = q(',"note":[{"text":"Source span 0-4: name"}]}')
+    subject = q(',"subject":{"display":"Prototype patient"}')
+    head = lambda kind: f"""'{{"resourceType":"{kind}","id":"e' || CAST(event_id AS STRING) || '"'"""
+    clinical = lambda a, b: f"""',"clinicalStatus":' || {status(a, 'active', 'inactive')} || ',"verificationStatus":' || {status(b, 'unconfirmed', 'refuted')}"""
+    vital = q(',"category":[{"coding":[{"system":"http://terminology.hl7.org/CodeSystem/observation-category","code":"vital-signs","display":"Vital Signs"}],"text":"Vital Signs"}]')
+    part = lambda c, d, v: f'{{"code":{{"coding":[{{"system":"http://loinc.org","code":"{c}","display":"{d}"}}],"text":"{d}"}},"valueQuantity":{{"value":{v}.0,"unit":"mmHg","system":"http://unitsofmeasure.org","code":"mm[Hg]"}}}}'
+    pressure = q(f',"component":[{part("8480-6", "Systolic blood pressure", 120)},{part("8462-4", "Diastolic blood pressure", 80)}]')
+    rate = q(',"valueQuantity":{"value":72.0,"unit":"beats/min","system":"http://unitsofmeasure.org","code":"{beats}/min"}')
+    final, coded = q(',"status":"final"'), f"""',"code":' || {code}"""
+    cases = [
+        f"{head('Condition')} || {clinical('condition-clinical', 'condition-ver-status')} || {coded} || {subject} || {note}",
+        f"{head('Observation')} || {final} || {coded} || {vital} || {subject} || {pressure} || {note}",
+        f"{head('Observation')} || {final} || {coded} || {vital} || {subject} || {rate} || {note}",
+        f"""{head('MedicationStatement')} || ',"status":"' || CASE WHEN absent THEN 'not-taken' ELSE 'active' END || '","medicationCodeableConcept":' || {code} || {subject} || {q(',"dosage":[{"text":"10 mg"}]')} || {note}""",
+        f"{head('AllergyIntolerance')} || {clinical('allergyintolerance-clinical', 'allergyintolerance-verification')} || {q(',\"criticality\":\"high\"')} || {coded} || {q(',\"patient\":{\"display\":\"Prototype patient\"},\"reaction\":[{\"manifestation\":[{\"text\":\"rash\"}]}]')} || {note}",
+        f"{head('ServiceRequest')} || {q(',\"status\":\"active\",\"intent\":\"plan\"')} || {coded} || {subject} || {note}",
+        f"{head('Procedure')} || {q(',\"status\":\"completed\"')} || {coded} || {subject} || {note}",
+        f"{head('Observation')} || {final} || {coded} || {subject} || {q(',\"valueString\":\"steady\"')} || {note}",
+    ]
+    return "WITH x AS (SELECT event_id, event_id % 8 AS k, event_id % 3 AS s, event_id % 5 = 0 AS absent FROM events) SELECT event_id AS note_id, CASE k " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cases)) + " END AS body FROM x"
+
+
+@query("fhir_full_resources", _fhir_sql(), "")
+def _(spark, sf):
+    return X.resources(_exchange(spark, sf)).select("note_id", "body")
+
+
+_FAULTS = (
+    "not json", '{"resourceType":"Bundle","type":"document"}', '{"resourceType":"Bundle","type":"collection","entry":[1,{"fullUrl":"x"},{"fullUrl":"urn:uuid:1","resource":{}}]}',
+    '{"resourceType":"Bundle","type":"collection","entry":[{"fullUrl":"urn:uuid:1","resource":{"resourceType":"Observation","subject":{},"code":{"coding":[{"system":"loinc"},2]}}}]}',
+    '{"resourceType":"Other","type":"collection","entry":[{"fullUrl":"urn:uuid:1","resource":{"resourceType":"ServiceRequest","id":"r"}}]}',
+)
+_SAID = (
+    (False, "FHIR payload must be an object.", "", 0),
+    (False, "FHIR Bundle must include an entry array.", "Prototype FHIR Bundle should use type=collection.", 0),
+    (False, "FHIR entry 1 must be an object. | FHIR entry 2 is missing a resource object. | FHIR entry 3 resource is missing resourceType.", "FHIR entry 2 should use a urn:uuid fullUrl.", 0),
+    (False, "FHIR Observation entry 1 is missing id. | FHIR Observation entry 1 is missing status.", "FHIR Observation entry 1 coding 1 has no absolute terminology system URI. | FHIR Observation entry 1 coding 1 is missing code. | FHIR Observation entry 1 coding 2 is not an object. | FHIR Observation entry 1 has no value or component.", 1),
+    (False, "FHIR payload resourceType must be Bundle. | FHIR ServiceRequest entry 1 is missing intent.", "FHIR ServiceRequest entry 1 has no prototype subject/patient. | FHIR ServiceRequest entry 1 has no code text or coding.", 1),
+    (True, "", "", 1),
+)
+
+
+def _bundles(spark, sf):
+    good = X.bundles(X.resources(_exchange(spark, sf)))
+    k = (F.col("note_id") % 6).cast("int")
+    return good.select("note_id", F.coalesce(F.try_element_at(F.array(*[F.lit(b) for b in _FAULTS]), k + 1), "body").alias("body"))
+
+
+def _quality_case(i: int) -> str:
+    return " ".join(f"WHEN {k} THEN {('TRUE' if s[i] else 'FALSE') if isinstance(s[i], bool) else literal(s[i]) if isinstance(s[i], str) else s[i]}" for k, s in enumerate(_SAID))
+
+
+@query("fhir_quality", f"SELECT event_id AS note_id, CASE event_id % 6 {_quality_case(0)} END AS ok, CASE event_id % 6 {_quality_case(1)} END AS errors, CASE event_id % 6 {_quality_case(2)} END AS warnings, CAST(CASE event_id % 6 {_quality_case(3)} END AS INT) AS resource_count FROM events", "")
+def _(spark, sf):
+    rows = X.bundle_quality(_bundles(spark, sf))
+    return rows.select("note_id", "ok", F.array_join("errors", " | ").alias("errors"), F.array_join("warnings", " | ").alias("warnings"), "resource_count")
+
+
+@query("fhir_preview_check", f"SELECT event_id AS note_id, CASE event_id % 6 {_quality_case(0)} END AS ok, CASE event_id % 6 WHEN 0 THEN 'FHIR preview must be a JSON object.' WHEN 4 THEN 'FHIR preview resourceType must be Bundle.' ELSE CASE event_id % 6 {_quality_case(1)} END END AS errors FROM events", "")
+def _(spark, sf):
+    return X.bundle_check(_bundles(spark, sf)).select("note_id", "ok", F.array_join("errors", " | ").alias("errors"))
+
+
+@query("fhir_units", "WITH x AS (SELECT event_id, event_id % 10 AS k FROM events) SELECT event_id, CASE k " + " ".join(f"WHEN {i} THEN {literal(c)}" for i, c in enumerate(X.UCUM.values())) + " WHEN 8 THEN 'points' END AS code FROM x", "")
+def _(spark, sf):
+    unit = F.try_element_at(F.array(*[F.lit(u) for u in (*X.UCUM, "points", "")]), (F.col("event_id") % 10 + 1).cast("int"))
+    return _events(spark, sf).select("event_id", X.ucum(unit).alias("code"))
+
+
+@query(
+    "src_reviewer_report",
+    """SELECT event_id AS session_id, '# Clinical Entity Extraction Review' || chr(10) || chr(10) || 'Specialty: Mixed' || chr(10) || 'Entity count: 1' || chr(10) || 'Reviewed: ' || CASE WHEN event_id % 2 = 0 THEN '1' ELSE '0' END || chr(10) || 'Selected codes: ' || CASE WHEN event_id % 3 = 1 THEN '1' ELSE '0' END
+      || chr(10) || 'High priority review: ' || CASE WHEN event_id % 7 = 0 THEN '1' ELSE '0' END || chr(10) || chr(10) || '## Entities' || chr(10) || '### Name' || chr(10) || 'Type: ' || CASE event_id % 8 """
+    + " ".join(f"WHEN {i} THEN {literal(t)}" for i, (t, _, _) in enumerate(_KINDS))
+    + """ END || chr(10) || 'Assertion: ' || CASE WHEN event_id % 5 = 0 THEN 'absent' ELSE 'present' END || chr(10) || 'Confidence: high' || chr(10) || 'Review: ' || CASE WHEN event_id % 2 = 0 THEN 'reviewed' ELSE 'unreviewed' END || chr(10) || 'Selected codes: ' || CASE WHEN event_id % 3 = 1 THEN 'LOINC a' ELSE 'none' END
+      || chr(10) || 'Source: "name"' || CASE WHEN event_id % 4 = 0 THEN chr(10) || 'Reviewer note: seen' ELSE '' END || chr(10) || chr(10) || '## Source Text' || chr(10) || '(blank)' AS report FROM events""",
+    "",
+)
+def _(spark, sf):
+    e = _exchange(spark, sf).withColumnRenamed("note_id", "session_id")
+    own = F.col("session_id")
+    rows = e.select("session_id", "ord", "display_name", "entity_type", "assertion", F.lit("high").alias("confidence"), F.when(own % 2 == 0, "reviewed").alias("review_status"), F.when(own % 4 == 0, "seen").otherwise("").alias("review_note"), F.when(own % 7 == 0, "high").otherwise("routine").alias("priority"), "codings", F.transform("mentions", lambda m: m["text"]).alias("texts"))
+    return X.reviewer_report(e.select("session_id", F.lit("Mixed").alias("specialty_label"), F.lit("  ").alias("text")), rows)
