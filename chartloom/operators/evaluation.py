@@ -196,18 +196,8 @@ def hotspots(results: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, falling: Sequence[Column], rising: Sequence[Column]) -> DataFrame:
-    """rows gain place, from 1, by falling then rising keys, without gathering all rows in one task.
-
-    Rows are range-partitioned by the keys, ordered and numbered within each partition, and shifted by the sizes of the
-    partitions before.
-    """
-    keys = [*[c.desc() for c in falling], *[c.asc() for c in rising]]
-    placed = cut_lineage(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn("place", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+    """rows gain place, from 1, by falling then rising keys, without gathering all rows in one task."""
+    return running(rows, [], [*[c.desc() for c in falling], *[c.asc() for c in rising]], {"place": F.lit(1)})
 
 
 def by_specialty(results: DataFrame, specialties: Sequence[str]) -> DataFrame:
@@ -241,16 +231,35 @@ def pair_auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return roc_auc(scores, by).withColumn("roc_auc", F.coalesce("roc_auc", F.lit(0.0)))
 
 
+def running(rows: DataFrame, by: Sequence[str], keys: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows gain the sums over the rows of their group (by) up to and with themselves, in the order of the keys.
+
+    No group is gathered in one task: rows are range-partitioned by group and keys, summed within each partition, and moved on by
+    what the partitions before hold of the group.
+    """
+    by = list(by)
+    placed = cut_lineage(rows.repartitionByRange(*by, *keys).withColumn("_part", F.spark_partition_id()))
+    order = Window.partitionBy("_part", *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumns({n: F.sum(c).over(order) for n, c in sums.items()})
+    parts = placed.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    parts = parts.withColumns({f"_{n}": F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)) for n in sums})
+    same = own["_part"] == parts["_part"]
+    for c in by:
+        same = same & own[c].eqNullSafe(parts[c])
+    joined = own.join(parts, same)
+    return joined.select(*[own[c] for c in rows.columns], *[(own[n] + parts[f"_{n}"]).alias(n) for n in sums])
+
+
 def roc_auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve from average ranks; scores(y_true, y_score).  Null where one class is missing.
 
-    Counts are first taken by distinct score, so the window runs over distinct scores and not over rows.
+    Counts are first taken by distinct score; the ranks are running sums over these.
     """
     by = list(by)
     at = scores.groupBy(*by, "y_score").agg(F.sum("y_true").alias("pos"), F.count("*").alias("n"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("y_score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = at.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
-    sums = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    ranked_ = running(at, by, [F.col("y_score").asc()], {"upto": F.col("n")}).withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
+    sums = ranked_.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     auc = ratio(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q"))
     return sums.select(*by, auc.alias("roc_auc"))
 
@@ -258,8 +267,7 @@ def roc_auc(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def average_precision(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean precision at the positives, by score descending, ties in the order of `ord`; scores(ord, y_true, y_score)."""
     by = list(by)
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("y_score"), "ord")
-    rows = scores.withColumn("k", F.row_number().over(w)).withColumn("hits", F.sum("y_true").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running(scores.select(*by, "ord", "y_true", "y_score"), by, [F.col("y_score").desc(), F.col("ord").asc()], {"k": F.lit(1), "hits": F.col("y_true")})
     out = rows.groupBy(*by).agg(F.sum(F.when(F.col("y_true") == 1, F.col("hits") / F.col("k")).otherwise(0.0)).alias("s"), F.sum("y_true").alias("p"))
     return out.select(*by, ratio(F.col("s"), F.col("p")).alias("average_precision"))
 

@@ -36,7 +36,9 @@ def feature_matrix(records: DataFrame, index: DataFrame, specs: Sequence[Feature
 
     records: mentions with patient_id, observed_at and ord (input order); index: patient_id, visit_id, prediction_time.  A
     mention counts in [prediction_time - lookback, prediction_time): nothing of the visit itself or after it.  One range
-    join on the patient over the longest lookback serves all specs; each spec then is conditional aggregation.
+    join over the longest lookback serves all specs; each spec then is conditional aggregation.  The join is by patient and
+    span of that lookback: a prediction looks into its own span and the one before, so a patient's long history is dealt
+    over many keys.
     """
     longest = max(s.lookback_days for s in specs)
     wanted = None
@@ -45,7 +47,10 @@ def feature_matrix(records: DataFrame, index: DataFrame, specs: Sequence[Feature
         one = one & (canonical() == s.normalized_text.lower()) if s.normalized_text else one
         wanted = one if wanted is None else wanted | one
     r = records.where(wanted).select(F.col("patient_id").alias("r_patient"), "observed_at", "ord", "entity_type", canonical().alias("canonical_text"), "assertion", "attributes")
-    near = (F.col("patient_id") == F.col("r_patient")) & (F.col("observed_at") < F.col("prediction_time")) & (F.col("observed_at") >= F.expr(f"prediction_time - INTERVAL {longest} DAYS"))
+    span_of = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(longest * 86_400_000_000))
+    r = r.withColumn("r_span", span_of(F.col("observed_at")))
+    index = index.withColumn("_span", span_of(F.col("prediction_time"))).withColumn("_span", F.explode(F.array(F.col("_span") - 1, F.col("_span"))))
+    near = (F.col("patient_id") == F.col("r_patient")) & (F.col("_span") == F.col("r_span")) & (F.col("observed_at") < F.col("prediction_time")) & (F.col("observed_at") >= F.expr(f"prediction_time - INTERVAL {longest} DAYS"))
     joined = index.join(r, near, "left")
     columns: dict[str, Column] = {}
     for s in specs:
