@@ -26,6 +26,15 @@ def from_token_spans(spans: DataFrame) -> DataFrame:
     return spans.select(*rest, checked.alias("text"), F.col("start").cast("int").alias("start_char"), F.col("end").cast("int").alias("end_char"), F.col("entity_group").alias("entity_type"), F.coalesce(F.col("score").cast("double"), F.lit(1.0)).alias("confidence_score"))
 
 
+def from_labelled_spans(spans: DataFrame, assertion: str = "present", confidence: float = 1.0) -> DataFrame:
+    """Spans of a pipeline (text, start_char, end_char, label, ...) as mentions; a label that is no entity type is an error."""
+    from chartloom.operators.sessions import ENTITY_TYPES
+
+    kind = F.when(F.col("label").isin(*ENTITY_TYPES), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("no entity type: "), F.coalesce("label", F.lit("null")))))
+    rest = [c for c in spans.columns if c != "label"]
+    return spans.select(*rest, kind.alias("entity_type"), F.lit(assertion).alias("assertion"), F.lit(confidence).alias("confidence_score"))
+
+
 def mention_ok(m: Column) -> Column:
     """The base record's rules: span of positive length, text that is not blank, confidence from 0 to 1."""
     span = (m["start_char"] >= 0) & (m["end_char"] > m["start_char"])

@@ -12,7 +12,6 @@ from chartloom.operators.validation import confidence_label
 MAX_NOTE_CHARS = 100_000
 # Error codes of the request check, in the order in which they are tried.
 REQUEST_OPS = ("extract", "ping")
-SYSTEM_LABELS = {"http://loinc.org": "LOINC", "http://snomed.info/sct": "SNOMED CT", "http://hl7.org/fhir/sid/icd-10-cm": "ICD-10-CM", "http://www.nlm.nih.gov/research/umls/rxnorm": "RxNorm"}
 OBSERVATIONS = ("lab", "vital", "score", "finding", "severity", "special-test")
 REQUESTS = ("plan", "referral", "imaging")
 

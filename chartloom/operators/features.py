@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -118,15 +119,40 @@ def _contribution(name: str, weight: float, center: float, scale: float) -> Colu
     return F.when(finite, (value - center) / scale * weight).otherwise(0.0)
 
 
-def risk_score(features: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class RiskModel:
+    """features: (name, weight, center, scale) in order."""
+
+    intercept: float = L.RISK_INTERCEPT
+    features: tuple[tuple[str, float, float, float], ...] = L.RISK_FEATURES
+    decision: float = L.RISK_DECISION
+    low: float = L.RISK_LOW
+    high: float = L.RISK_HIGH
+
+
+def read_risk_model(path: str) -> RiskModel:
+    """A model file: JSON with featureNames, intercept, weights, normalization (center, scale) and thresholds; a scale of 0 is an error."""
+    with open(path, encoding="utf-8") as source:
+        raw = json.load(source)
+    features = []
+    for name in raw["featureNames"]:
+        norm = raw["normalization"].get(name, {"center": 0.0, "scale": 1.0})
+        if not norm["scale"]:
+            raise ValueError(f"scale of {name} is 0")
+        features.append((name, float(raw["weights"].get(name, 0.0)), float(norm["center"]), float(norm["scale"])))
+    cut = raw["thresholds"]
+    return RiskModel(float(raw["intercept"]), tuple(features), float(cut["decision"]), float(cut["low"]), float(cut["high"]))
+
+
+def risk_score(features: DataFrame, model: RiskModel = RiskModel()) -> DataFrame:
     """features gain raw_probability, probability (3 digits), band, decision and the strongest drivers."""
-    parts = [(n, _contribution(n, w, c, s)) for n, w, c, s in L.RISK_FEATURES]
-    logit = F.lit(L.RISK_INTERCEPT)
+    parts = [(n, _contribution(n, w, c, s)) for n, w, c, s in model.features]
+    logit = F.lit(model.intercept)
     for _, c in parts:
         logit = logit + c
     out = features.withColumn("raw_probability", 1 / (1 + F.exp(-logit))).withColumn("probability", F.round("raw_probability", 3))
-    out = out.withColumn("band", F.when(F.col("probability") >= L.RISK_HIGH, "high").when(F.col("probability") >= L.RISK_LOW, "moderate").otherwise("low"))
-    out = out.withColumn("decision", F.when(F.col("probability") >= L.RISK_DECISION, "above-threshold").otherwise("below-threshold"))
+    out = out.withColumn("band", F.when(F.col("probability") >= model.high, "high").when(F.col("probability") >= model.low, "moderate").otherwise("low"))
+    out = out.withColumn("decision", F.when(F.col("probability") >= model.decision, "above-threshold").otherwise("below-threshold"))
     drivers = F.array(*[F.struct((-F.abs(c)).alias("rank"), F.lit(k).alias("ord"), F.lit(n).alias("feature"), c.alias("value")) for k, (n, c) in enumerate(parts)])
     top = F.slice(F.array_sort(F.filter(drivers, lambda d: d["rank"] <= -0.08)), 1, 5)
     text = F.array_join(F.transform(top, lambda d: F.concat(d["feature"], F.lit(" "), F.format_string("%+.2f", d["value"]))), "; ")

@@ -679,3 +679,45 @@ def _(spark, sf):
     own = F.col("session_id")
     rows = e.select("session_id", "ord", "display_name", "entity_type", "assertion", F.lit("high").alias("confidence"), F.when(own % 2 == 0, "reviewed").alias("review_status"), F.when(own % 4 == 0, "seen").otherwise("").alias("review_note"), F.when(own % 7 == 0, "high").otherwise("routine").alias("priority"), "codings", F.transform("mentions", lambda m: m["text"]).alias("texts"))
     return X.reviewer_report(e.select("session_id", F.lit("Mixed").alias("specialty_label"), F.lit("  ").alias("text")), rows)
+
+
+# -- the wide extraction composed --------------------------------------------------------------------------------------
+_WHOLE = """, rows0 AS (SELECT note_id, entity_type, lower(canonical_name) AS canonical_name, start_char, length(text) AS n FROM dic UNION SELECT note_id, entity_type, lower(canonical_name), start_char, length(text) FROM fam),
+  ent0 AS (SELECT note_id, entity_type, canonical_name, min(start_char) AS first_start FROM rows0 GROUP BY ALL),
+  nested AS (SELECT DISTINCT s.note_id, s.canonical_name FROM rows0 s JOIN rows0 p USING (note_id) WHERE s.entity_type = 'symptom' AND p.entity_type = 'problem' AND p.start_char <= s.start_char AND s.start_char + s.n <= p.start_char + p.n AND p.n > s.n)"""
+
+
+@query("ext_documents", "SELECT note_id, entity_type, canonical_name, first_start, count(code) AS n_codes FROM ent0 LEFT JOIN seed ON n = canonical_name WHERE NOT (entity_type = 'symptom' AND (note_id, canonical_name) IN (SELECT (note_id, canonical_name) FROM nested)) GROUP BY ALL", WIDE + _WHOLE + _SEED)
+def _(spark, sf):
+    from chartloom.operators.composed import documents
+
+    found = documents(wide_notes(spark, sf).select("note_id", "text")).where("entity_type <> 'other' OR NOT canonical_name LIKE 'ambiguous%'")
+    return found.select("note_id", "entity_type", "canonical_name", "first_start", F.size("codings").cast("bigint").alias("n_codes"))
+
+
+@query("ext_merged_attributes", "SELECT event_id AS note_id, CASE WHEN event_id % 2 = 0 THEN 'v3' ELSE 'v1' END AS value, 'u1' AS unit, CASE WHEN event_id % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN event_id % 2 = 0 THEN 'one two' ELSE 'one' END AS explanation FROM events", "")
+def _(spark, sf):
+    from chartloom.operators.composed import merged_attributes
+
+    row = lambda o, a, c, x: F.struct(F.lit(o).alias("ord"), F.create_map(*[F.lit(y) for kv in a.items() for y in kv]).alias("attributes"), F.lit(c).alias("confidence"), F.lit(x).alias("explanation"))
+    each = F.array(row(0, {"value": "v1", "unit": "u1"}, "medium", "one"), row(1, {"value": "v3"}, "high", "two"), row(2, {"value": "v3"}, "low", "one"))
+    rows = _events(spark, sf).select(F.col("event_id").alias("note_id"), F.explode(each).alias("x")).select("note_id", "x.*").where("ord = 0 OR note_id % 2 = 0")
+    out = merged_attributes(rows, ["note_id"])
+    return out.select("note_id", F.col("attributes")["value"].alias("value"), F.col("attributes")["unit"].alias("unit"), "confidence", "explanation")
+
+
+@query("ctx_extraction_specialties", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'primary-care,mental-health,physical-therapy,mixed' WHEN event_id % 4 = 1 THEN 'mental-health' ELSE 'active' END AS specialties FROM events", "")
+def _(spark, sf):
+    from chartloom.operators.composed import extraction_specialties
+
+    k = F.col("event_id") % 4
+    chosen = extraction_specialties(F.when(k == 0, "mixed").when(k < 3, "mental-health"), F.when(k == 2, "auto").otherwise("override"), F.array(F.lit("active")))
+    return _events(spark, sf).select("event_id", F.array_join(chosen, ",").alias("specialties"))
+
+
+@query("ext_display_case", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Lumbar Spine MRI' WHEN 1 THEN 'Follow-Up' ELSE 'A1C  Value' END AS shown FROM events", "")
+def _(spark, sf):
+    from chartloom.operators.composed import display_case
+
+    name = F.when(F.col("event_id") % 3 == 0, "lumbar SPINE mri").when(F.col("event_id") % 3 == 1, "follow-up").otherwise("a1c  value")
+    return _events(spark, sf).select("event_id", display_case(name).alias("shown"))
