@@ -206,3 +206,23 @@ def test_long_words_are_read_whole():
     model = X.train([t.encode() for _, t, _ in rows], np.array([y for *_, y in rows], np.float32), 0.2, epochs=1)
     plain, other = X.Scorer(model).scores([word + b"abcabc" * 5, word + b"idioticscumlikewretched"])
     assert plain != other
+
+
+def test_stages_take_nulls_repeats_clashing_names_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = corpus(60, random.Random(16))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows] + [(None, None, None, None, None), (None, rows[1][1], "en", "s", 1), (200, "", "en", None, 0), (201, None, "en", "s", None), (1, rows[1][1], "en", "s", 1)], DOCS)
+    for c in ("score", "rejected", "row", "removed_chars", "first_docs", "k", "gone_id", "value", "rep", "component_id", "ids"):
+        docs = docs.withColumn(c, F.lit("own"))
+    spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, None), (None, "x")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept = out.select("doc_id", "score", "removed_chars").collect()
+        assert len(kept) and all(r["score"] == r["removed_chars"] == "own" for r in kept), name
+        assert sum(r["doc_id"] is None for r in kept) >= 1, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, str(tmp_path)).count() == docs.count() and last(spark, docs.limit(0), str(tmp_path)).count() == 0
