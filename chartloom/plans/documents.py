@@ -10,7 +10,7 @@ from chartloom.operators import rollup as R
 from chartloom.operators.context import LEXICAL, note_context
 from chartloom.plans.catalog import _ENTITIES, BASE, _mentions, query
 from chartloom.sources.notes import clinical_notes, literal
-from chartloom.streaming.mentions import refused, session_table
+from chartloom.streaming.mentions import answers, refused, session_table
 
 _SCORES = ", ".join(
     f"CAST({' + '.join(f'CASE WHEN regexp_matches(text, {literal(p)}) THEN {w} ELSE 0 END' for p, s, w in LEXICAL if s == own)} + {extra} AS INT) AS {name}"
@@ -144,3 +144,15 @@ def _(spark, sf):
 @query("str_sessions", "SELECT CAST(user_id AS STRING) AS session_id, max(event_id) AS seq, count(*) AS n_requests FROM events WHERE event_id % 7 <> 0 GROUP BY 1", "")
 def _(spark, sf):
     return session_table(_requests(spark, sf)).select("session_id", "seq", "n_requests")
+
+
+@query(
+    "svc_answers",
+    """WITH x AS (SELECT event_id, event_id % 5 AS o FROM events), y AS (SELECT *, CASE WHEN o = 1 THEN 'unknown-op' WHEN o > 1 AND event_id % 7 = 0 THEN 'invalid-text' WHEN o > 1 AND event_id % 11 = 0 THEN 'note-too-large' END AS code FROM x)
+    SELECT CAST(event_id AS STRING) AS id, code IS NULL AS ok, code, CASE WHEN code IS NULL AND o > 1 THEN 1 END AS n_mentions FROM y""",
+    "",
+)
+def _(spark, sf):
+    rows = answers(_requests(spark, sf))
+    b = F.from_json("body", "error struct<code:string>, result struct<mentions:array<struct<text:string>>>")
+    return rows.select("id", "ok", b["error"]["code"].alias("code"), F.when(b["result"].isNotNull(), F.size(b["result"]["mentions"])).alias("n_mentions"))

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chartloom.operators.documents import request_error
+from chartloom.operators.documents import envelope, request_error
 from chartloom.operators.extraction import extract_mentions
 
 REQUEST = "id string, session_id string, seq bigint, op string, text string"
@@ -53,3 +54,28 @@ def session_table(requests: DataFrame) -> DataFrame:
     """What session_state comes to, over a table."""
     rows = requests.where("session_id IS NOT NULL AND text IS NOT NULL")
     return rows.groupBy("session_id").agg(F.max("seq").alias("seq"), F.max_by("text", "seq").alias("text"), F.count("*").alias("n_requests"))
+
+
+def answers(requests: DataFrame) -> DataFrame:
+    """requests (a table, or a micro-batch) -> (id, ok, body): one JSON answer a request.
+
+    Body: id, ok, and result (mentions and entities of the note) for extract, error (code) where the request is refused, and
+    neither for ping.  Requests of one id must be one request.
+    """
+    code = request_error(F.col("op"), F.col("text"))
+    rows = requests.select("id", "op", "text", code.alias("code"))
+    bodies = envelope(extract_mentions(rows.where("code IS NULL AND op = 'extract'").withColumnRenamed("id", "note_id")), requests.sparkSession)
+    told = rows.join(bodies.withColumnRenamed("note_id", "id"), "id", "left")
+    result = F.when((F.col("op") == "extract") & F.col("code").isNull(), F.coalesce("body", F.lit('{"mentions":[],"entities":[]}')))
+    head = F.to_json(F.struct("id", F.col("code").isNull().alias("ok"), F.when(F.col("code").isNotNull(), F.struct("code")).alias("error")))
+    tail = F.coalesce(F.concat(F.lit(',"result":'), result), F.lit(""))
+    return told.select("id", F.col("code").isNull().alias("ok"), F.concat(F.substr(head, F.lit(1), F.length(head) - 1), tail, F.lit("}")).alias("body"))
+
+
+def write_answers(requests: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Answer a stream of requests into JSON Lines files, a folder a micro-batch; a batch that is run again replaces its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        answers(batch).select("body").write.mode("overwrite").text(f"{folder}/batch={number}")
+
+    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -59,3 +59,13 @@ def test_gold_notes_from_json_lines(spark, tmp_path):
         raise AssertionError("a wrong span went through")
     except Exception as e:  # noqa: BLE001
         assert "does not reproduce" in str(e)
+
+
+def test_answers_are_written_once_a_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = ['{"id":"a","session_id":"s","seq":1,"op":"extract","text":"HR 72. Denies SI."}', '{"id":"b","op":"delete"}', '{"id":"c","op":"ping"}', '{"id":"d","op":"extract","text":"nothing"}']
+    (tmp_path / "in" / "1.json").write_text("\n".join(lines))
+    S.write_answers(S.request_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {x["id"]: x for x in map(json.loads, (r["value"] for r in spark.read.text(str(tmp_path / "out")).select("value").collect()))}
+    assert set(got) == {"a", "b", "c", "d"} and [m["text"] for m in got["a"]["result"]["mentions"]] == ["HR 72", "SI"]
+    assert got["b"] == {"id": "b", "ok": False, "error": {"code": "unknown-op"}} and got["c"] == {"id": "c", "ok": True} and got["d"]["result"] == {"mentions": [], "entities": []}
