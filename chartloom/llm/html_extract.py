@@ -156,10 +156,11 @@ def parse(page: str) -> _Element:
     return root
 
 
-def blocks_of(root: _Element) -> list[tuple[str, tuple[int, ...]]]:
+def blocks_of(root: _Element) -> tuple[list[tuple[str, tuple[int, ...]]], bool]:
     """The text blocks of the content elements, or else of all that markup does not remove, each with the hashes of the
-    block elements around it (content elements, and what is around one, left out)."""
-    kept = list(_outermost(root)) or [root]
+    block elements around it (content elements, and what is around one, left out); and whether there are content elements."""
+    content = list(_outermost(root))
+    kept = content or [root]
     blocks: list[tuple[str, tuple[int, ...]]] = []
     held: list[str] = []
 
@@ -196,13 +197,13 @@ def blocks_of(root: _Element) -> list[tuple[str, tuple[int, ...]]]:
                 if e.block:
                     flush(chain)
         flush(())
-    return blocks
+    return blocks, bool(content)
 
 
-def main_text(blocks: list[tuple[str, tuple[int, ...]]], templates: set[int] | frozenset[int] = frozenset()) -> str:
-    """The blocks outside all templates; all blocks, where none would be left."""
+def main_text(blocks: list[tuple[str, tuple[int, ...]]], article: bool, templates: set[int] | frozenset[int] = frozenset()) -> str:
+    """The blocks outside all templates; all blocks of an article of which none would be left."""
     left = [text for text, chain in blocks if templates.isdisjoint(chain)]
-    return "\n\n".join(left or [text for text, _ in blocks])
+    return "\n\n".join([text for text, _ in blocks] if article and not left else left)
 
 
 def _outermost(root: _Element) -> Iterator[_Element]:
@@ -224,18 +225,19 @@ def host_of(url: Column) -> Column:
 
 
 _HELD_TEMPLATES = 1_000_000  # template hashes sent to every task at most; with more, they come by a join
-_PARSED = "row_id bigint, page_id bigint, url string, host string, version bigint, texts array<string>, chains array<array<bigint>>"
+_PARSED = "row_id bigint, page_id bigint, url string, host string, version bigint, article boolean, texts array<string>, chains array<array<bigint>>"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     for b in batches:
-        pages = [blocks_of(parse(t or "")) for t in b.column("html").to_pylist()]
+        found = [blocks_of(parse(t or "")) for t in b.column("html").to_pylist()]
+        pages, article = [blocks for blocks, _ in found], [a for _, a in found]
         texts = [[t for t, _ in blocks] for blocks in pages]
         version = [signed(xxhash.xxh64_intdigest("\x1f".join(t))) for t in texts]
         chains = [[list(map(signed, c)) for _, c in blocks] for blocks in pages]
         names = ("row_id", "page_id", "url", "host")
-        yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(version, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(chains, pa.list_(pa.list_(pa.int64())))], [*names, "version", "texts", "chains"])
+        yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(version, pa.int64()), pa.array(article, pa.bool_()), pa.array(texts, pa.list_(pa.string())), pa.array(chains, pa.list_(pa.list_(pa.int64())))], [*names, "version", "article", "texts", "chains"])
 
 
 def _templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
@@ -248,8 +250,8 @@ def _templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFr
 
 def _texts(pages: Iterator[pa.RecordBatch], own_of) -> Iterator[pa.RecordBatch]:
     for b in pages:
-        every = zip(b.column("texts").to_pylist(), b.column("chains").to_pylist(), own_of(b), strict=True)
-        texts = [main_text(list(zip(t, c, strict=True)), own) for t, c, own in every]
+        every = zip(*(b.column(c).to_pylist() for c in ("texts", "chains", "article")), own_of(b), strict=True)
+        texts = [main_text(list(zip(t, c, strict=True)), article, own) for t, c, article, own in every]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -285,5 +287,5 @@ def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.3, he
         def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _texts(batches, lambda b: [frozenset(h or ()) for h in b.column("hashes").to_pylist()])
 
-        out = parsed.join(own, parsed["row_id"] == own["hit_id"], "left").select("page_id", "url", "texts", "chains", "hashes").mapInArrow(run_joined, kind)
+        out = parsed.join(own, parsed["row_id"] == own["hit_id"], "left").select("page_id", "url", "texts", "chains", "article", "hashes").mapInArrow(run_joined, kind)
     return out.withColumn("n_chars", F.length("text").cast("bigint"))

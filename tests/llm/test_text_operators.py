@@ -241,7 +241,7 @@ PAGES = [
 
 @pytest.mark.parametrize(("page", "want"), PAGES)
 def test_main_text(page, want):
-    assert H.main_text(H.blocks_of(H.parse(page or ""))) == want
+    assert H.main_text(*H.blocks_of(H.parse(page or ""))) == want
 
 
 def test_templates_of_a_host_go_without_telling_markup(spark):
@@ -277,16 +277,23 @@ def test_an_article_that_a_site_repeats_stays(spark):
     assert got.pop(9) == "Other" and set(got.values()) == {"Terms\n\nOne\n\nTwo"}
 
 
+def test_a_page_of_templates_alone_is_empty(spark):
+    menu = "<div><p>Menu of the site</p></div>"
+    rows = [(i, "https://f.example.org/", f"<body>{menu}<p>Story {i}</p></body>") for i in range(8)] + [(9, "https://f.example.org/", f"<body>{menu}</body>")]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {**{i: f"Story {i}" for i in range(8)}, 9: ""}
+
+
 def brute_extract(rows, least_pages, least_share):
     """Template removal of a small table by plain counting, with the parser of the operator."""
-    parsed = {i: H.blocks_of(H.parse(page or "")) for i, (_, _, page) in enumerate(rows)}
+    parsed = {i: H.blocks_of(H.parse(page or ""))[0] for i, (_, _, page) in enumerate(rows)}
     host = [re.sub(r"^\w+://([^/:?#]*).*", r"\1", url or "", flags=re.DOTALL).lower() if "://" in (url or "") else "" for _, url, _ in rows]
     out = []
     for i, (page_id, _, _) in enumerate(rows):
         same = {tuple(t for t, _ in parsed[j]): {h for _, c in parsed[j] for h in c} for j in parsed if host[j] == host[i]}
         on = lambda h: sum(h in hashes for hashes in same.values())  # noqa: E731, B023
         many = {h for _, c in parsed[i] for h in c if on(h) >= least_pages and on(h) >= least_share * len(same)}
-        left = [t for t, c in parsed[i] if not many & set(c)] or [t for t, _ in parsed[i]]
+        left = [t for t, c in parsed[i] if not many & set(c)] or ([t for t, _ in parsed[i]] if "<article" in (rows[i][2] or "") else [])
         out.append((page_id, "\n\n".join(left)))
     return sorted(out)
 
