@@ -11,6 +11,7 @@ from chartloom.operators import terminology as T
 from chartloom.operators import vocabulary as W
 from chartloom.operators.context import MX, PC, note_context
 from chartloom.operators.documents import uncertainty
+from chartloom.operators.lineage import cut_lineage
 from chartloom.operators.relations import CONFIDENCE_RANK
 
 # Words that are written in capitals.
@@ -61,8 +62,9 @@ def documents(notes: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
     family = W.family_mentions(notes).select("note_id", "entity_type", "canonical_name", "assertion", F.lit("high").alias("confidence"), "text", "start_char", "end_char", none.alias("section"), none.alias("sentence"))
     context = note_context(notes).select("note_id", F.posexplode("abbreviations").alias("place", "a")).select("note_id", "place", "a.abbreviation", "a.meaning", "a.canonical_name", F.col("a.meaning").isNull().alias("low"))
+    context = cut_lineage(context)
     open_ = N.open_abbreviations(notes, context).select("note_id", "entity_type", "canonical_name", "assertion", "confidence", F.substring("canonical_name", 11, 20).alias("text"), "start_char", "end_char", none.alias("section"), none.alias("sentence"))
-    mentions = scanned.unionByName(family).unionByName(open_).withColumn("canonical_name", F.lower("canonical_name"))
+    mentions = cut_lineage(scanned.unionByName(family).unionByName(open_).withColumn("canonical_name", F.lower("canonical_name")))  # read three times
     own = ("note_id", "entity_type", "canonical_name")
     rank = F.coalesce(*[F.when(F.col("confidence") == word, n) for word, n in CONFIDENCE_RANK.items()])
     sides = mentions.groupBy(*own).agg(
@@ -73,6 +75,7 @@ def documents(notes: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     entities = entities.withColumn("ord", F.row_number().over(Window.partitionBy("note_id").orderBy("first_start", "entity_type", "canonical_name")))
     entities = N.without_nested_symptoms(entities.withColumn("mentions", F.col("spans")))
     entities = T.with_codings(entities, codes, F.col("canonical_name"))
+    entities = cut_lineage(entities)  # read by each kind of link
     entities = N.with_disambiguation(entities, context.withColumn("canonical_name", F.lower("canonical_name")))
     links = entities.select("note_id", "ord", "entity_type", "canonical_name", "assertion", F.lit(None).cast("string").alias("body_site"), F.col("first_start").alias("start_char"), F.transform("spans", lambda s: s["start_char"]).alias("starts"), "sentences")
     counts = N.relations(links).groupBy("note_id", F.col("source").alias("ord")).agg(F.count("*").alias("n"))
