@@ -3,16 +3,17 @@
 Words and hashes are those of simhash.py; a text's set is its distinct shingle hashes, and texts of equal sets are one class
 from the start.  What links two classes is always the similarity of their whole sets; the steps below only find the pairs:
 
-1. SimHash fingerprints of the classes meet in the segment-popcount grid (simhash.range_join).  That gathers large groups of
-   near copies at the cost of a few tests for each document.
+1. SimHash fingerprints of the classes meet in the segment-popcount grid (simhash.range_join): near copies of few changes.
 2. Fingerprints of two texts of similarity 0.8 differ in 10 of 64 bits on average, which no grid finds for certain.  The
    exact way for the rest is a prefix filter: two sets of similarity 0.8 share a value among the first n - ceil(0.8 n) + 1
-   of each, in any order that both keep, so documents that are not yet in one component meet at the values of their
-   prefixes.  Values that many documents of a sample hold come last; that decides how many pairs meet, never which link.
+   of each, in any order that both keep, so documents meet at the values of their prefixes.  Values that many documents of
+   a sample hold come last; that decides how many pairs meet, never which link.
    At the first value that two similar sets share, at places i and j of their orders, what follows must be able to make up
    the overlap: min(n - i, m - j) >= 4 / 9 (n + m).  Pairs for which no shared value satisfies that are not formed, which
-   spares those of large groups of copies that each have many changes of their own.  First each document is tested with
-   the smallest one at a value, then all pairs that are still in different components.
+   spares those of large groups of copies that each have many changes of their own.
+3. First the grid's pairs, and each document with the smallest one at each of its values, are tested and components found; then
+   all pairs that meet at a value and are still in different components.  So a large group of near copies costs few tests
+   for each document.  Each of the two rounds moves the texts once.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from chartloom.llm.simhash import HOT_CELL, fingerprint_of, range_join, shingle_
 _SHINGLE = 5
 _OVER, _UNDER = 4, 5  # a similarity of 4 / 5
 _BITS = 4  # that fingerprints of the first step differ by
-_SAMPLE, _OFTEN, _HOT = 8, 4, 200_000  # a document in 8; documents of it that hold a value taken last; such values at most
+_SAMPLE, _OFTEN, _HOT = 16, 3, 200_000  # a document in 16; documents of it that hold a value taken last; such values at most
 _SALTS = 16  # tasks over which the tests with one document are dealt
 
 
@@ -88,11 +89,12 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar.  A text of a is sent once for all the b of a salt."""
+    """The pairs (a, b) whose whole sets are similar.  A text of a is sent once for all the b of a salt, each text of b to its a."""
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
-    hubs = pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "salt", F.lit(None).cast("bigint").alias("b"), "text")
-    members = pairs.join(texts, F.col("b") == F.col("doc_id")).select("a", "salt", "b", "text")
-    rows = hubs.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
+    hubs = pairs.select(F.col("a").alias("wanted"), "a", "salt", F.lit(None).cast("bigint").alias("b")).distinct()
+    asked = materialize(hubs.unionByName(pairs.select(F.col("b").alias("wanted"), "a", "salt", "b")), "similar-asked")
+    rows = texts.join(asked, F.col("doc_id") == F.col("wanted")).select("a", "salt", "b", "text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
     return materialize(rows.mapInArrow(_similar, "a bigint, b bigint").distinct(), "similar-links")
 
 
@@ -102,16 +104,6 @@ def _may_overlap(n: str, i: str, m: str, j: str) -> Column:
     return (F.least(n, m) * _UNDER >= F.greatest(n, m) * _OVER) & (F.least(n - i, m - j) * (_OVER + _UNDER) >= (n + m) * _OVER)
 
 
-def _placed(met: DataFrame, labels: DataFrame) -> DataFrame:
-    return met.join(labels, met["rep"] == labels["node"], "left").select("value", "rep", "n", "i", F.coalesce("component", "rep").alias("c"))
-
-
-def _mixed(placed: DataFrame) -> DataFrame:
-    """(value, first): the values where different components meet, with the smallest document there."""
-    found = placed.groupBy("value").agg(F.min("rep").alias("first"), F.min("c").alias("low"), F.max("c").alias("high"))
-    return found.where("low < high").select("value", "first")
-
-
 def similar_components(docs: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, component_id), one row per input row: the smallest doc_id reachable over links.
 
@@ -129,24 +121,27 @@ def similar_components(docs: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
 
     prints = classes.groupBy("f0").agg(F.min("rep").alias("rep"))
     alike = classes.select("f0", F.col("rep").alias("b")).join(prints, "f0").where("rep < b").select(F.col("rep").alias("a"), "b")
-    near = materialize(range_join(prints, _BITS, hot_cell).unionByName(alike).distinct(), "similar-prints")
-    links = _verified(near, texts)
-    labels = connected_components(links)
+    near = range_join(prints, _BITS, hot_cell).unionByName(alike)
 
     named = classes.select(F.col("s0").alias("t0"), F.col("s1").alias("t1"), "rep")
     first_rows = rows.join(named, (F.col("doc_id") == F.col("rep")) & (F.col("s0") == F.col("t0")) & (F.col("s1") == F.col("t1")))
-    met = _placed(first_rows.select("rep", "n", F.posexplode("firsts").alias("i", "value")), labels)
-    met = materialize(met.join(_mixed(met), "value"), "shingle-prefixes")
-    hubs = met.where("rep = first").select("value", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
-    stars = met.where("rep > first").join(hubs, "value").where(_may_overlap("n", "i", "m", "j") & (F.col("c") != F.col("d")))
-    stars = materialize(stars.select("a", F.col("rep").alias("b")).distinct(), "similar-stars")
-    links = links.unionByName(_verified(stars, texts))
-    placed = _placed(met.select("value", "rep", "n", "i"), connected_components(links))
-    placed = materialize(placed.join(_mixed(placed).select("value"), "value"), "similar-placed")
+    met = first_rows.select("rep", "n", F.posexplode("firsts").alias("i", "value"))
+    shared = met.groupBy("value").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("value", "first")
+    met = materialize(met.join(shared, "value"), "shingle-prefixes")
+    hubs = met.where("rep = first").select("value", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"))
+    stars = met.where("rep > first").join(hubs, "value").where(_may_overlap("n", "i", "m", "j")).select("a", F.col("rep").alias("b"))
+    tested = materialize(near.unionByName(stars).where("a < b").distinct(), "similar-pairs")
+    links = _verified(tested, texts)
+    labels = connected_components(links)
+
+    placed = met.join(labels, met["rep"] == labels["node"], "left").select("value", "rep", "n", "i", F.coalesce("component", "rep").alias("c"))
+    mixed = placed.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("value")
+    placed = materialize(placed.join(mixed, "value"), "similar-placed")
     other = placed.select("value", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
     rest = placed.withColumnRenamed("rep", "a").join(other, "value").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _may_overlap("n", "i", "m", "j"))
-    rest = materialize(rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "similar-pairs")
+    rest = materialize(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "similar-rest")
+    if not rest.isEmpty():
+        labels = connected_components(links.unionByName(_verified(rest, texts)))
 
-    labels = connected_components(links.unionByName(_verified(rest, texts)))
     found = classes.join(labels, classes["rep"] == labels["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "s0", "s1").join(found, ["s0", "s1"], "left").select("doc_id", "component_id")
