@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_BASE: dict[str, str] = {}
-_BATCH_ROWS, _BATCH_BYTES = 4096, 8 << 20
+_BATCH_ROWS, _BATCH_BYTES = 1024, 4 << 20
 _SHIPPED: set[str] = set()
 
 

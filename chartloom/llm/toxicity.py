@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from chartloom.llm.runtime import materialize, pick, python_stage
 WIDTHS = (1, 2, 3)
 RUNS = (3, 4, 5, 6)  # bytes of a word's parts
 PIECE = 64  # bytes of a word at most
-_WORDS_KEPT = 150_000
+_WORDS_KEPT = 100_000
 _POSITIONS = 1 << 15  # positions of a text scored at once, a multiple of GROUP
 _BINS = 64  # histogram bins for one unit of a logit
 GROUP, TOP = 8, 3  # positions of a local maximum, and how many of the highest count
@@ -386,13 +387,16 @@ def _with_logits(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> D
     python_stage(spark)
     shared = spark.sparkContext.broadcast(model)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    within = "text" in columns  # then the text travels once, inside the row
+    text = [] if within else [F.col("text").cast("string").alias("text")]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), *text)
     row = held.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            logits = pa.array(scorer.logits(b.column("text").cast(pa.binary()).to_pylist()))
+            own = pc.struct_field(b.column("row"), "text") if within else b.column("text")
+            logits = pa.array(scorer.logits(own.cast(pa.string()).cast(pa.binary()).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("lang"), logits], ["row", "doc_id", "lang", "logit"])
 
     return held.mapInArrow(run, f"row {row}, doc_id bigint, lang string, logit double")
