@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm.components import connected_components
-from chartloom.llm.runtime import materialize, pick, python_stage
+from chartloom.llm.runtime import discard, materialize, pick, python_stage
 from chartloom.llm.simhash import HOT_CELL, fingerprint_of, range_join, shingle_hashes
 
 _SHINGLE = 5
 _OVER, _UNDER = 4, 5  # a similarity of 4 / 5
 _BITS = 4  # that fingerprints of the first step differ by
-_SAMPLE, _OFTEN, _HOT = 16, 3, 200_000  # a document in 16; documents of it that hold a value taken last; such values at most
+_SAMPLE, _OFTEN, _HOT = 8, 3, 200_000  # a document in 8; documents of it that hold a value taken last; such values at most
 _SALTS = 16  # tasks over which the tests with one document are dealt
 
 
@@ -95,7 +95,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     asked = materialize(hubs.unionByName(pairs.select(F.col("b").alias("wanted"), "a", "salt", "b")), "similar-asked")
     rows = texts.join(asked, F.col("doc_id") == F.col("wanted")).select("a", "salt", "b", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
-    return materialize(rows.mapInArrow(_similar, "a bigint, b bigint").distinct(), "similar-links")
+    links = materialize(rows.mapInArrow(_similar, "a bigint, b bigint").distinct(), "similar-links")
+    discard(asked)
+    return links
 
 
 def _may_overlap(n: str, i: str, m: str, j: str) -> Column:
@@ -142,6 +144,7 @@ def similar_components(docs: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
     rest = materialize(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "similar-rest")
     if not rest.isEmpty():
         labels = connected_components(links.unionByName(_verified(rest, texts)))
+    discard(met, tested, placed, rest)
 
     found = classes.join(labels, classes["rep"] == labels["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "s0", "s1").join(found, ["s0", "s1"], "left").select("doc_id", "component_id")

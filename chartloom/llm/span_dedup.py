@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.runtime import materialize, pick, python_stage
+from chartloom.llm.runtime import discard, materialize, pick, python_stage
 
 RUN = 3  # sentences of a span
 REACH = 4
@@ -104,8 +104,8 @@ def _span_rows(run: int):
     return rows
 
 
-def repeated_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, k, s, e, first): the spans that are not first occurrences, with the first's doc_id.
+def repeated_spans(docs: DataFrame, run: int = RUN) -> tuple[DataFrame, list[DataFrame]]:
+    """(found, scratch): the spans found, and the tables to discard when they have been read.  docs(doc_id, text, ...) -> (doc_id, k, s, e, first): the spans that are not first occurrences, with the first's doc_id.
 
     k is the xxhash64 of the row's text: rows are told apart by (doc_id, k), since offsets hold for one text only.  Rows that
     share a doc_id never repeat one another; each is held against smaller doc_ids.
@@ -119,7 +119,7 @@ def repeated_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
     shared = once.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "g", "first")
     shared = materialize(shared, "spans-shared")
     later = once.join(shared, ["h", "g"]).where("doc_id > first").select("doc_id", "k", "s", "e", "first")
-    return later.unionByName(inside)
+    return later.unionByName(inside), [rows, shared]
 
 
 def _without(text: str, starts: list[int], ends: list[int]) -> tuple[str, int]:
@@ -154,9 +154,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rows_without(docs: DataFrame, run: int) -> DataFrame:
     """(row struct of all other columns, text, removed_chars, first_docs), one row per input row."""
-    found = repeated_spans(docs, run)
+    found, scratch = repeated_spans(docs, run)
     cuts = found.groupBy(F.col("doc_id").alias("cut_id"), F.col("k").alias("cut_k")).agg(F.collect_set(F.struct("s", "e")).alias("cuts"), F.sort_array(F.collect_set("first")).alias("first_docs"))
     cuts = materialize(cuts.select("cut_id", "cut_k", F.col("cuts.s").alias("cut_s"), F.col("cuts.e").alias("cut_e"), "first_docs"), "span-cuts")
+    discard(*scratch)
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(rest.alias("row"), F.col("doc_id").cast("bigint").alias("key_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(cuts, (F.col("key_id") == F.col("cut_id")) & (F.xxhash64("text") == F.col("cut_k")), "left")
