@@ -105,7 +105,8 @@ def _span_rows(run: int):
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN) -> tuple[DataFrame, list[DataFrame]]:
-    """(found, scratch): the spans found, and the tables to discard when they have been read.  docs(doc_id, text, ...) -> (doc_id, k, s, e, first): the spans that are not first occurrences, with the first's doc_id.
+    """docs(doc_id, text, ...) -> the spans that are not first occurrences, (doc_id, k, s, e, first) with the first's doc_id; and
+    the tables to discard when these have been read.
 
     k is the xxhash64 of the row's text: rows are told apart by (doc_id, k), since offsets hold for one text only.  Rows that
     share a doc_id never repeat one another; each is held against smaller doc_ids.
