@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chartloom.operators import rollup as R
 from chartloom.operators.adapters import LLM_MENTION
 from chartloom.operators.extraction import MENTION_COLUMNS, extract_mentions, merge_mentions, remap_to_source, triage
+from chartloom.operators.lineage import ship
 
 Client = Callable[[list[dict[str, str]]], str]
 MODES = ("nlp", "llm", "hybrid")
@@ -103,6 +104,7 @@ def model_answers(notes: DataFrame, make_client: Callable[[], Client], retries:
                 rows.append((note_id, None if mentions is None else json.dumps(mentions), tries, error))
             yield pd.DataFrame(rows, columns=["note_id", "raw", "attempts", "error"])
 
+    ship(notes.sparkSession)
     found = notes.select("note_id", "text").mapInPandas(run, "note_id bigint, raw string, attempts int, error string")
     return found.select("note_id", F.from_json("raw", f"array<{LLM_MENTION}>").alias("mentions"), "attempts", "error")
 

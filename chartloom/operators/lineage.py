@@ -1,10 +1,14 @@
-"""Cutting the lineage of loops."""
+"""Cutting the lineage of loops, and giving the package to Python workers."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_SHIPPED: set[str] = set()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -21,3 +25,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="chartloom-"))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package's modules to the executors' Python workers, once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="chartloom-")) / f"{package.name}-operators.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
