@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chartloom.operators.documents import envelope, request_error
 from chartloom.operators.extraction import extract_mentions
+from chartloom.operators.lineage import ship
 
 REQUEST = "id string, session_id string, seq bigint, op string, text string"
 
@@ -45,6 +46,7 @@ def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def session_state(requests: DataFrame) -> DataFrame:
     """A stream of each session's newest request and how many it has sent; updates as batches arrive."""
+    ship(requests.sparkSession)
     kind = "session_id string, seq bigint, text string, n_requests bigint"
     grouped = requests.where("session_id IS NOT NULL AND text IS NOT NULL").groupBy("session_id")
     return grouped.applyInPandasWithState(_newest, kind, "seq bigint, text string, n bigint", "update", GroupStateTimeout.NoTimeout)
