@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,40 +49,27 @@ def parse_batches(raw: DataFrame) -> DataFrame:
     return rows.select("note_id", F.col("p.mentions").alias("mentions"), error.alias("error"))
 
 
-def plausible(m: Column) -> Column:
-    """A mention's structured values are within clinical ranges; values it does not carry are not judged."""
+def implausible(m: Column) -> Column:
+    """What is wrong with a mention's structured values, null where nothing is; values it does not carry are not judged."""
     get = lambda k: F.try_element_at(m["attributes"], F.lit(k))
-    number = lambda k: F.try_to_number(get(k), F.lit("999999999")).cast("double")
-    measurement = F.lower(F.coalesce(get("measurement"), m["normalized_text"], F.lit("")))
-    bp = V.blood_pressure_ok(number("systolic"), number("diastolic"))
-    hr = V.vital_ok(F.lit("heart-rate"), number("value"), F.lit(None).cast("string"))
-    vital = F.when(measurement == "blood-pressure", bp).when(F.contains(measurement, F.lit("heart")), hr).otherwise(True)
-    score = F.when(get("value").isNotNull() & get("scale").isNotNull(), V.score_ok(get("scale"), number("value"))).otherwise(True)
-    pain = F.when(get("value").isNotNull(), V.pain_ok(number("value"))).otherwise(True)
-    name = F.coalesce(m["normalized_text"], F.lit(""))
-    return F.coalesce(F.when(m["entity_type"] == "vital", vital).when(m["entity_type"] == "score", score).when(name == "pain rating", pain).otherwise(True), F.lit(False))
-
-
-def model_mentions(notes: DataFrame, client: Callable[[str], Callable[[str, str | None], str]], retries: int = 2, max_chars: int = 8000) -> DataFrame:
-    """(note_id, raw): what a model answers for each note.  The client is made once a worker; it gets the note, cut to the
-    model's budget, and the error of the last try, and gives JSON.  A note whose tries all raise has null."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = client("worker")
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                answer, error = None, None
-                for _ in range(retries + 1):
-                    try:
-                        answer = ask((text or "")[:max_chars], error)
-                        break
-                    except ValueError as e:
-                        error = str(e)
-                out.append(answer)
-            yield pd.DataFrame({"note_id": pdf["note_id"], "raw": out})
-
-    return notes.select("note_id", "text").mapInPandas(run, "note_id bigint, raw string")
+    whole = lambda k: F.trim(get(k)).try_cast("bigint").cast("double")
+    name, value = F.coalesce(m["normalized_text"], F.lit("")), get("value").isNotNull()
+    measurement = F.lower(F.coalesce(get("measurement"), name))
+    vital = m["entity_type"] == "vital"
+    pressure, heart = vital & (measurement == "blood-pressure"), vital & F.contains(measurement, F.lit("heart"))
+    say = lambda when, ok, what: F.when(when & ~F.coalesce(ok, F.lit(False)), what)
+    rate = V.vital_ok(F.lit("heart-rate"), F.trim(get("value")).try_cast("double"), F.lit(None).cast("string"))
+    others = F.coalesce(
+        say((m["entity_type"] == "score") & value & get("scale").isNotNull(), V.score_ok(get("scale"), whole("value")), "the score is outside its scale"),
+        say((name == "pain rating") & value, V.pain_ok(whole("value")), "the pain rating is not from 0 to 10"),
+        say((name == "manual muscle test") & value, V.strength_grade(get("value")).isNotNull(), "the strength grade is not from 0 to 5"),
+    )
+    return F.when(pressure, say(F.lit(True), V.blood_pressure_ok(whole("systolic"), whole("diastolic")), "the blood pressure is not plausible")).when(heart, say(F.lit(True), rate, "the heart rate is not plausible")).otherwise(others)
+
+
+def plausible(m: Column) -> Column:
+    """A mention's structured values are within clinical ranges."""
+    return implausible(m).isNull()
 
 
 # Problems that a medication treats or a measurement measures.
@@ -108,7 +93,7 @@ def relation_rules(spark: SparkSession) -> DataFrame:
 
 def named_relations(entities: DataFrame, key: str = "session_id") -> DataFrame:
     """entities(key, ord, entity_type, canonical_name) -> (key, source, relation, target): the first entity of each name a rule asks for."""
-    rules = F.broadcast(relation_rules(entities.sparkSession))
+    rules = relation_rules(entities.sparkSession)
     s = entities.select(key, F.col("ord").alias("source"), "entity_type", F.col("canonical_name").alias("source_name")).join(rules, "source_name").where(F.array_contains("source_types", F.col("entity_type")))
     t = entities.groupBy(key, F.col("canonical_name").alias("target_name")).agg(F.min("ord").alias("target"))
     return s.join(t, [key, "target_name"]).where("source <> target").select(key, "source", "relation", "target").distinct()
@@ -154,24 +139,3 @@ def resolved_risk_input(raw: DataFrame, names: Sequence[str] = tuple(n for n, *_
         missing.append(F.when(value.isNull() & ~covered, F.lit(n)))
     out = raw.withColumn("coerced", F.array_compact(F.array(*coerced))).withColumn("missing_required", F.array_compact(F.array(*missing)))
     return out.withColumns(values)
-
-
-def train_risk(cases: DataFrame, epochs: int = 2400, rate: float = 0.15, ridge: float = 0.015) -> tuple[float, dict[str, float]]:
-    """(intercept, weights) of the logistic risk model by full-batch descent; the intercept is not shrunk.
-
-    cases: the feature columns and label.  Training runs on the driver over at most MAX_CASES rows; more rows raise.
-    """
-    names = [n for n, *_ in L.RISK_FEATURES]
-    rows = cases.select(*names, "label").limit(MAX_CASES + 1).collect()
-    if len(rows) > MAX_CASES:
-        raise ValueError(f"more than {MAX_CASES} training cases")
-    x = np.array([[(float(r[n]) - c) / s for n, _, c, s in L.RISK_FEATURES] for r in rows]).reshape(len(rows), len(names))
-    y, w, b = np.array([float(r["label"]) for r in rows]), np.zeros(len(names)), 0.0
-    for _ in range(epochs if len(rows) else 0):
-        error = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= rate * (x.T @ error / len(y) + ridge * w)
-        b -= rate * float(error.mean())
-    return b, dict(zip(names, w.tolist(), strict=True))
-
-
-MAX_CASES = 100_000

@@ -109,6 +109,11 @@ def risk_features(mentions: DataFrame) -> DataFrame:
     return out.select("note_id", *[n for n, *_ in L.RISK_FEATURES])
 
 
+def normalised(name: str, center: float, scale: float) -> Column:
+    """A feature's value in units of its scale from its center; 0 where it is missing or not finite."""
+    return _contribution(name, 1.0, center, scale)
+
+
 def _contribution(name: str, weight: float, center: float, scale: float) -> Column:
     value = F.col(name)
     if name == "heart_rate__mean":

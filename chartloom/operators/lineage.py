@@ -3,27 +3,44 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir, which all executors share, and read from there.
+def shared_base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or the context's checkpoint folder, which all executors share.
 
-    Where neither that setting nor the context names a folder, a temporary one is taken on a local master; on any other this
-    is an error.
+    Where neither is set, a temporary one is taken on a local master; on any other this is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given.rstrip("/")
+    if (own := context._jsc.sc().getCheckpointDir()).isDefined():
+        return str(own.get()).rstrip("/")
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="chartloom-")
+    return _LOCAL[context.applicationId]
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder below shared_base, as a URI; it stays until its owner deletes it."""
+    base = shared_base(spark)
+    return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written below shared_base and read from there."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        if not given and not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="chartloom-"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 

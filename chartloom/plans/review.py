@@ -416,14 +416,24 @@ def _(spark, sf):
 
 # -- the cascade -------------------------------------------------------------------------------------------------------
 def _fake_client():
-    """Finds low mood in the excerpt; answers badly at first, and always where the excerpt says later."""
+    """Finds low mood in the excerpt.  The first answer is bad, each sixth of the excerpts (by length) in a way of its own;
+    of one sixth, and where the excerpt says later, every answer is."""
+    first = {
+        0: "no json",
+        1: '{"mentions": null}',
+        2: '[{"text": "x", "entity_type": "score", "start_char": 0, "end_char": 1, "attributes": {"scale": "phq-9", "value": "many"}}]',
+        3: '[{"text": "x", "entity_type": "nonsense", "start_char": 0, "end_char": 1, "assertion": "maybe"}]',
+        4: '[{"text": "x", "entity_type": "score", "start_char": 0, "end_char": 1, "attributes": {"scale": "foo", "value": 99999}}]',
+        5: '[{"text": "x", "entity_type": "symptom", "start_char": 0, "end_char": 1, "attributes": [1]}]',
+    }
 
     def ask(messages):
-        note = messages[-1]["content"].removeprefix("Clinical note:\n")
+        note = messages[-1]["content"].split("\n", 1)[1]
         if "later" in note.lower():
-            return json.dumps([{"text": "x", "entity_type": "severity", "start_char": 0, "end_char": 1, "normalized_text": "pain rating", "attributes": {"value": "99"}}])
-        if "Validation error" not in messages[0]["content"]:
-            return "no json"
+            return '[{"text": "x", "entity_type": "finding", "start_char": 0, "end_char": 1, "normalized_text": "manual muscle test", "attributes": {"value": "9/5"}}]'
+        kind = len(note) % 6
+        if kind == 5 or "refused" not in messages[0]["content"]:
+            return first[kind]
         at = note.find("low mood")
         found = [{"text": "low", "entity_type": "symptom", "start_char": at, "end_char": at + 3, "assertion": "present", "confidence_score": 0.7, "normalized_text": "low mood", "attributes": {}}] if at >= 0 else []
         return json.dumps({"mentions": found})
@@ -431,10 +441,11 @@ def _fake_client():
     return ask
 
 
+_STUCK = "(contains(lower(excerpt), 'later') OR length(excerpt) % 6 = 5)"
 _CASCADE = f""", picked AS (SELECT s.note_id, s.ord, s.text FROM sent s WHERE regexp_matches(s.text, {literal(_AMBIGUOUS_RE2)}) OR EXISTS (SELECT 1 FROM gold g WHERE g.note_id = s.note_id AND contains(s.text, g.text))),
   shown AS (SELECT note_id, string_agg(text, chr(10) ORDER BY ord) AS excerpt FROM picked GROUP BY note_id),
   asked AS (SELECT t.note_id, t.text, coalesce(excerpt, t.text) AS excerpt FROM tri t LEFT JOIN shown USING (note_id) WHERE t.reasons <> ''),
-  line AS (SELECT a.note_id, a.text, p.text AS said, row_number() OVER (PARTITION BY a.note_id ORDER BY p.ord) AS k FROM asked a JOIN picked p USING (note_id) WHERE contains(p.text, 'low mood') AND NOT contains(lower(excerpt), 'later'))"""
+  line AS (SELECT a.note_id, a.text, p.text AS said, row_number() OVER (PARTITION BY a.note_id ORDER BY p.ord) AS k FROM asked a JOIN picked p USING (note_id) WHERE contains(p.text, 'low mood') AND NOT {_STUCK})"""
 
 
 @query("ext_hybrid", "SELECT note_id, entity_type, text, start_char, end_char, assertion FROM gold UNION ALL SELECT note_id, 'symptom', 'low', CAST(strpos(text, said) + strpos(said, 'low mood') - 2 AS INT), CAST(strpos(text, said) + strpos(said, 'low mood') + 1 AS INT), 'present' FROM line WHERE k = 1", BASE + SENTENCES + _TRIAGE + _CASCADE)
@@ -443,12 +454,25 @@ def _(spark, sf):
     return mentions.select("note_id", "entity_type", "text", "start_char", "end_char", "assertion")
 
 
-@query("ext_hybrid_outcomes", "SELECT note_id, t.reasons <> '' AS escalated, t.reasons <> '' AND contains(lower(coalesce(excerpt, t.text)), 'later') AS escalation_failed FROM tri t LEFT JOIN shown USING (note_id)", BASE + SENTENCES + _TRIAGE + _CASCADE)
+@query("ext_hybrid_outcomes", f"SELECT note_id, a.note_id IS NOT NULL AS escalated, a.note_id IS NOT NULL AND {_STUCK} AS escalation_failed FROM tri LEFT JOIN asked a USING (note_id)", BASE + SENTENCES + _TRIAGE + _CASCADE)
 def _(spark, sf):
     return H.hybrid(clinical_notes(spark, sf).select("note_id", "text"), _fake_client)[1]
 
 
-@query("ext_prompts", f"SELECT note_id, 3 AS n_messages, {literal(H.SYSTEM_PROMPT)} || chr(10) || 'fix it' AS first, 'Clinical note:' || chr(10) || text AS last FROM notes")
+@query(
+    "ext_model_errors",
+    f"""SELECT note_id, CAST(3 AS INT) AS attempts, CASE WHEN contains(lower(excerpt), 'later') THEN 'mention[0] type=finding span=(0, 1): the strength grade is not from 0 to 5'
+    ELSE 'mention[0] type=symptom span=(0, 1): attributes are no object of plain values' END AS error FROM asked WHERE {_STUCK}""",
+    BASE + SENTENCES + _TRIAGE + _CASCADE,
+)
+def _(spark, sf):
+    """What is told about the notes whose answers were all refused."""
+    notes = clinical_notes(spark, sf).select("note_id", "text")
+    routed = triage(notes, extract_mentions(notes), 2400).where("requires_llm").select("note_id", F.col("compressed_text").alias("text"))
+    return H.model_answers(routed, _fake_client).where("mentions IS NULL").select("note_id", "attempts", "error")
+
+
+@query("ext_prompts", f"SELECT note_id, 3 AS n_messages, {literal(H.SYSTEM_PROMPT)} || chr(10) || 'Your last answer was refused: fix it' AS first, 'Note:' || chr(10) || text AS last FROM notes")
 def _(spark, sf):
     rows = clinical_notes(spark, sf).select("note_id", H.messages(F.col("text"), F.lit("fix it")).alias("m"))
     return rows.select("note_id", F.size("m").alias("n_messages"), F.col("m")[0]["content"].alias("first"), F.col("m")[2]["content"].alias("last"))

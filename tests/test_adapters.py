@@ -1,33 +1,12 @@
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
-from chartloom.functions import lexicon as L
 from chartloom.operators import adapters as A
 from chartloom.operators.context import note_context
 from chartloom.operators.extraction import merge_mentions, remap_to_source
 from chartloom.operators.vocabulary import laterality
 
 
-def client(worker):
-    def ask(text, error):
-        if "fails" in text:
-            raise ValueError("never")
-        if "twice" in text and error is None:
-            raise ValueError("once")
-        return json.dumps([{"text": "HR", "entity_type": "vital", "start_char": 0, "end_char": 2, "assertion": "present", "confidence_score": 0.9, "normalized_text": "x", "attributes": {}}])
-
-    return ask
-
-
-def test_model_answers_are_tried_again_and_parsed(spark):
-    notes = spark.createDataFrame([(1, "HR ok"), (2, "HR twice"), (3, "HR fails"), (4, None)], "note_id bigint, text string")
-    raw = A.model_mentions(notes, client, retries=1)
-    got = {r["note_id"]: (r["error"], r["mentions"] and len(r["mentions"])) for r in A.parse_batches(raw).collect()}
-    assert got == {1: (None, 1), 2: (None, 1), 3: ("invalid-json", None), 4: (None, 1)}
-
-
 def test_plausible_values(spark):
     rows = [("severity", "pain rating", {"value": "99"}, False), ("severity", "pain rating", {"value": "6"}, True), ("vital", "blood pressure", {"measurement": "blood-pressure", "systolic": "80", "diastolic": "120"}, False), ("vital", "heart rate", {"value": "72"}, True), ("score", "PHQ-9", {"value": "30", "scale": "PHQ-9"}, False), ("problem", "x", {}, True)]
     df = spark.createDataFrame([(*r,) for r in rows], "entity_type string, normalized_text string, attributes map<string,string>, want boolean")
@@ -55,14 +34,6 @@ def test_remap_moves_forward_through_repeated_lines(spark):
     assert sorted((r["m_text"], r["start_char"]) for r in remap_to_source(df).collect()) == [("A", 10), ("b", 2)]
 
 
-def test_risk_training_separates(spark):
-    base = {n: 0.0 for n, *_ in L.RISK_FEATURES}
-    rows = [(*{**base, "phq9__max": float(k)}.values(), int(k > 13)) for k in range(28)]
-    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in base) + ", label int")
-    b, w = A.train_risk(df, epochs=800)
-    assert w["phq9__max"] > 1 > abs(w["gad7__max"]) and b < 0
-
-
 def test_laterality_needs_a_body_site(spark):
     df = spark.createDataFrame([("pain", "Right knee pain"), ("pain", "He left the clinic"), ("pain", "bilat hip and left arm")], "m string, s string")
     assert [r[0] for r in df.select(laterality(F.col("m"), F.col("s"))).collect()] == ["right", None, "bilateral"]

@@ -26,18 +26,6 @@ def test_seed_files_and_unknown_systems(spark, tmp_path):
         T.seed(bad).collect()
 
 
-def test_answers_are_checked_without_quoting_the_note():
-    good = {"text": "HR", "entity_type": "vital", "start_char": 0, "end_char": 2, "normalized_text": "heart rate", "attributes": {"value": "72"}}
-    assert H.checked(json.dumps([good])) == [good] and H.checked(json.dumps({"mentions": []})) == []
-    for change, said in (({"end_char": 0}, "half-open"), ({"text": " "}, "required"), ({"confidence_score": 2}, "confidence"), ({"attributes": {"value": "999"}}, "heart rate"), ({"attributes": {}}, "missing")):
-        with pytest.raises(ValueError, match=said) as e:
-            H.checked(json.dumps([{**good, "text": "secret", **change}]))
-        assert "secret" not in str(e.value)
-    for raw in ("nope", "3", '{"mentions": 1}', "[1]"):
-        with pytest.raises(ValueError):
-            H.checked(raw)
-
-
 def test_modes_and_settings(tmp_path):
     with pytest.raises(ValueError, match="needs a client"):
         H.extractor("hybrid")
