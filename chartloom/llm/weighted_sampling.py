@@ -113,7 +113,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     order = following(ids, ["known", "id"], ["hash"]).drop("hash")
     pairs = materialize(keys.join(order, ["known", "id"]), "document-pairs")
 
-    texts = rows.groupBy(*_KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    # the filter, which all rows pass, keeps copies on both sides of what follows, so that both read one exchange
+    texts = rows.groupBy(*_KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies")).where("copies > 0")
     nexts = [F.col(f"next_{k}").alias(k) for k in _KEY]
     asked = pairs.select(*nexts, *[F.col(k).alias(f"of_{k}") for k in _KEY], F.expr("n div 4").cast("int").alias("most"))
     heads = texts.join(asked, _KEY).select(*[F.col(f"of_{k}").alias(k) for k in _KEY], F.substr("text", F.lit(1), F.col("most")).alias("head"))
