@@ -26,8 +26,8 @@ from chartloom.llm.runtime import pick, python_stage
 
 WORD, OTHER = re.compile(rb"[0-9a-z\x80-\xff]+"), re.compile(rb"[^0-9a-z\x80-\xff]")
 _WINDOW = 1 << 18
-#: Nodes of a trie before it starts anew.
-TRIE_NODES = 1 << 18
+#: Words that a trie reads before it starts anew; it holds at most a node for each run that ends in one of them.
+TRIE_WORDS = 1 << 16
 
 
 def words_of(text: bytes) -> Iterator[list[bytes]]:
@@ -44,83 +44,125 @@ def words_of(text: bytes) -> Iterator[list[bytes]]:
 
 
 class WordTrie:
-    """Runs of 1 to longest words.  A node is [CRC state, value, children]; value_of gives a new node's value from its state.
-    A trie of over most nodes is given to full and starts anew."""
+    """Runs of 1 to longest words.
+
+    A run that can be continued is a node [CRC state, value, children, CRC state after a space]; the longest runs are leaves,
+    a value in their parent's children, hashed from the parent's state.  value_of gives a new run's value from its CRC.  A trie
+    that has read over most words is given to full and starts anew.
+    """
 
     def __init__(self, longest: int, value_of: Callable[[int], int], most: int, full: Callable[[WordTrie], None] = lambda trie: None) -> None:
         self.longest, self.value_of, self.most, self.full = longest, value_of, most, full
-        self.root: list = [0, 0, {}]
-        self.nodes = 0
+        self.root: list = [0, 0, {}, 0]
+        self.read = 0
 
     def child(self, node: list, word: bytes) -> list:
-        state = zlib.crc32(word if node is self.root else b" " + word, node[0])
-        child = node[2][word] = [state, self.value_of(state), {}]
-        self.nodes += 1
+        state = zlib.crc32(word, node[3])
+        child = node[2][word] = [state, self.value_of(state), {}, zlib.crc32(b" ", state)]
         return child
 
-    def restarted(self, last: list[bytes]) -> list:
+    def _split(self, open_: list) -> tuple[list | None, list]:
+        """Of the nodes that the next word continues, the one whose children are leaves, and the others."""
+        return (open_[0], open_[1:]) if len(open_) == self.longest else (None, open_)
+
+    def _restarted(self, last: list[bytes]) -> list:
         """The nodes that the next word continues, in a new trie that holds no other run; last: the words just read."""
         self.full(self)
-        self.root, self.nodes = [0, 0, {}], 0
+        self.root, self.read = [0, 0, {}, 0], 0
         open_: list = [self.root]
         for word in last:
-            open_ = [*(node[2].get(word) or self.child(node, word) for node in open_), self.root][-self.longest :]
+            open_ = [*(node[2].get(word) or self.child(node, word) for node in open_), self.root]
         return open_
 
     def count(self, text: bytes) -> None:
-        """Adds one at each node that the text's runs end in."""
+        """Adds one to each run of a text; value_of must give 0."""
         child, keep, last = self.child, self.longest - 1, []
         open_: list = [self.root]
         for words in words_of(text):
             root = self.root
+            deep, rest = self._split(open_)
             for w in words:
+                if deep:
+                    leaves = deep[2]
+                    leaves[w] = leaves.get(w, 0) + 1
                 ended = []
-                for node in open_:
+                for node in rest:
                     after = node[2].get(w) or child(node, w)
                     after[1] += 1
                     ended.append(after)
-                open_ = [*ended[-keep:], root] if keep else [root]
-            last = [*last, *words][-keep:] if keep else []
-            if self.nodes > self.most:
-                open_ = self.restarted(last)
+                if keep:
+                    ended.append(root)
+                    if len(ended) > keep:
+                        deep, rest = ended[0], ended[1:]
+                    else:
+                        rest = ended
+            open_ = [deep, *rest] if deep else rest
+            last = [*last, *words[-keep:]][-keep:] if keep else []
+            self.read += len(words)
+            if self.read > self.most:
+                open_ = self._restarted(last)
 
     def gather(self, text: bytes) -> tuple[int, int, int]:
         """(words, runs, sum of values) of a text."""
-        child, keep, last = self.child, self.longest - 1, []
+        child, keep, last, value_of, crc32 = self.child, self.longest - 1, [], self.value_of, zlib.crc32
         open_: list = [self.root]
         n = runs = total = 0
         for words in words_of(text):
             root = self.root
             n += len(words)
+            deep, rest = self._split(open_)
             for w in words:
+                if deep:
+                    leaves = deep[2]
+                    value = leaves.get(w)
+                    if value is None:
+                        value = leaves[w] = value_of(crc32(w, deep[3]))
+                    total += value
+                    runs += 1
                 ended = []
-                for node in open_:
+                for node in rest:
                     after = node[2].get(w) or child(node, w)
                     total += after[1]
                     ended.append(after)
                 runs += len(ended)
-                open_ = [*ended[-keep:], root] if keep else [root]
-            last = [*last, *words][-keep:] if keep else []
-            if self.nodes > self.most:
-                open_ = self.restarted(last)
+                if keep:
+                    ended.append(root)
+                    if len(ended) > keep:
+                        deep, rest = ended[0], ended[1:]
+                    else:
+                        rest = ended
+            open_ = [deep, *rest] if deep else rest
+            last = [*last, *words[-keep:]][-keep:] if keep else []
+            self.read += len(words)
+            if self.read > self.most:
+                open_ = self._restarted(last)
         return n, runs, total
 
     def fold(self, totals: np.ndarray) -> None:
         """Adds all counts to their buckets."""
-        stack = list(self.root[2].values())
+        states: list[int] = []
+        counts: list[int] = []
+        stack = [(self.root, self.longest)]
         while stack:
-            state, count, children = stack.pop()
-            totals[state % len(totals)] += count
-            stack.extend(children.values())
-
-
-def bucket_counts(docs: DataFrame, longest: int = 2, buckets: int = 10_000, trie_nodes: int = TRIE_NODES) -> DataFrame:
+            (_, _, children, after), depth = stack.pop()
+            if depth == 1:
+                states += [zlib.crc32(w, after) for w in children]
+                counts += children.values()
+                continue
+            for node in children.values():
+                states.append(node[0])
+                counts.append(node[1])
+                stack.append((node, depth - 1))
+        totals += np.bincount(np.array(states, np.int64) % len(totals), counts, len(totals)).astype(np.int64)
+
+
+def bucket_counts(docs: DataFrame, longest: int = 2, buckets: int = 10_000, trie_words: int = TRIE_WORDS) -> DataFrame:
     """(bucket, n) of all runs of 1 to longest words in docs.text, for buckets that have any.  Null texts have no words."""
     python_stage(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(buckets, np.int64)
-        trie = WordTrie(longest, lambda state: 0, trie_nodes, lambda full: full.fold(totals))
+        trie = WordTrie(longest, lambda state: 0, trie_words, lambda full: full.fold(totals))
         for b in batches:
             for text in b.column("text").to_pylist():
                 if text:
@@ -144,13 +186,13 @@ def gains(source: DataFrame, target: DataFrame, buckets: int = 10_000) -> list[i
     return [math.floor(1000 * math.log((int(y) + 1.0) * whole_s / ((int(x) + 1.0) * whole_t))) for x, y in zip(s, t, strict=True)]
 
 
-def scored(docs: DataFrame, table: list[int], longest: int = 2, trie_nodes: int = TRIE_NODES) -> DataFrame:
+def scored(docs: DataFrame, table: list[int], longest: int = 2, trie_words: int = TRIE_WORDS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_words, n_features, weight), weight the floored mean of the gains of a text's runs."""
     python_stage(docs.sparkSession)
     buckets = len(table)
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = WordTrie(longest, lambda state: table[state % buckets], trie_nodes)
+        trie = WordTrie(longest, lambda state: table[state % buckets], trie_words)
         for b in batches:
             rows = []
             for text in b.column("text").to_pylist():

@@ -61,9 +61,9 @@ def test_resampling_is_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == resampled([tuple(r) for r in docs], target)
 
 
-@pytest.mark.parametrize("nodes", [I.TRIE_NODES, 3])
+@pytest.mark.parametrize("nodes", [I.TRIE_WORDS, 3])
 def test_resampling_edges(spark, monkeypatch, nodes):
-    monkeypatch.setattr(I, "TRIE_NODES", nodes)
+    monkeypatch.setattr(I, "TRIE_WORDS", nodes)
     texts = [*EDGES, *["word again and again " * 10] * 3, "Ünï É ß Ⅷ " * 30]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id " * 20)] * 2 + [(3, "word again " * 15)]
     docs = clashing(spark.createDataFrame(rows, "doc_id bigint, text string"))
