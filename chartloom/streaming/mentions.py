@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,10 @@ def refused(requests: DataFrame) -> DataFrame:
     return requests.select("id", request_error(F.col("op"), F.col("text")).alias("error")).where("error IS NOT NULL")
 
 
-def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _newest(idle_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     seq, text, n = state.get if state.exists else (-1, "", 0)
     for pdf in batches:
         n += len(pdf)
@@ -41,15 +45,22 @@ def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         if last["seq"] >= seq:
             seq, text = int(last["seq"]), last["text"]
     state.update((seq, text, n))
+    if idle_ms is not None:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame({"session_id": [key[0]], "seq": [seq], "text": [text], "n_requests": [n]})
 
 
-def session_state(requests: DataFrame) -> DataFrame:
-    """A stream of each session's newest request and how many it has sent; updates as batches arrive."""
+def session_state(requests: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """A stream of each session's newest request and how many it has sent; updates as batches arrive.
+
+    With idle_ms, a session that has sent nothing for so long by the clock leaves the store, and counts anew when it sends
+    again; the query then needs a trigger with an interval, as each trigger looks for such sessions, new requests or not.
+    Without it, and with the availableNow trigger, the store keeps all sessions; session_periods is bounded by event time.
+    """
     ship(requests.sparkSession)
     kind = "session_id string, seq bigint, text string, n_requests bigint"
     grouped = requests.where("session_id IS NOT NULL AND text IS NOT NULL").groupBy("session_id")
-    return grouped.applyInPandasWithState(_newest, kind, "seq bigint, text string, n bigint", "update", GroupStateTimeout.NoTimeout)
+    return grouped.applyInPandasWithState(partial(_newest, idle_ms), kind, "seq bigint, text string, n bigint", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def session_table(requests: DataFrame) -> DataFrame:
@@ -58,6 +69,34 @@ def session_table(requests: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.max("seq").alias("seq"), F.max_by("text", "seq").alias("text"), F.count("*").alias("n_requests"))
 
 
+def session_periods(requests: DataFrame, idle: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """requests(session_id, seq, text, at) -> (session_id, began, ended, seq, text, n_requests): a row for each time that a
+    session was at work, told when it has been idle; text is that of the highest seq (of the highest text, in a tie).
+
+    On a stream, a period is told and leaves the store once the watermark, `late` behind the newest row, is past its end
+    (the last request and `idle`).  A row that came more than `idle` before the watermark is dropped; on a table no row is
+    late.  Rows without session_id, at or text are left out.
+    """
+    rows = requests.where("session_id IS NOT NULL AND at IS NOT NULL AND text IS NOT NULL").withWatermark("at", late)
+    newest = F.max(F.struct(F.col("seq"), F.col("text")))
+    held = rows.groupBy("session_id", F.session_window("at", idle).alias("w")).agg(newest.alias("newest"), F.count("*").alias("n_requests"))
+    return held.select("session_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "newest.seq", "newest.text", "n_requests")
+
+
+def requests_once(requests: DataFrame, late: str = "1 hour") -> DataFrame:
+    """requests(id, at, ...) with each id once: a request that a client sends again is answered once.
+
+    On a stream, ids are held until the watermark, `late` behind the newest row, has passed their first row's time by `late`,
+    so that the store holds the ids of that time only; a row older than the watermark is dropped.  On a table, the earliest
+    row of each id stays.  Rows without id or at are left out.
+    """
+    rows = requests.where("id IS NOT NULL AND at IS NOT NULL")
+    if rows.isStreaming:
+        return rows.withWatermark("at", late).dropDuplicatesWithinWatermark(["id"])
+    rest = [F.col(c) for c in rows.columns if c not in ("id", "at")]
+    return rows.groupBy("id").agg(F.min(F.struct("at", *rest)).alias("_first")).select("id", "_first.*").select(*rows.columns)
+
+
 def answers(requests: DataFrame) -> DataFrame:
     """requests (a table, or a micro-batch) -> (id, ok, body): one JSON answer a request.
 

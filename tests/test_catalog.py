@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from chartloom.plans import adapters, catalog, documents, review, wide  # noqa: F401
+from chartloom.plans import adapters, catalog, documents, durable, review, wide  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents embeddings pages benchmark labels conversations".split()
+TABLES = "part events documents embeddings pages benchmark labels conversations".split()
 
 
 def plain(v):
