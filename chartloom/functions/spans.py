@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chartloom.functions.literals import may_match
+
 SENTENCE_END = r"[.!?](?=\s|$)|\n+"
 
 
@@ -29,28 +31,50 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(steps: Column) -> Column:
+    """The running sums of an array of ints.
+
+    Sums are gathered within runs of 128 and then moved by the sums of the runs before, so that a long array is not copied
+    anew at every element.
+    """
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))
+    gathered = lambda own: F.aggregate(own, F.array().cast("array<int>"), lambda a, x: F.array_append(a, last(a) + x))
+
+    def of_runs(runs: Column) -> Column:
+        before = gathered(F.transform(runs, last))
+        return F.flatten(F.transform(runs, lambda r, k: let(F.when(k > 0, F.get(before, k - 1)).otherwise(0), lambda b: F.transform(r, lambda x: x + b))))
+
+    def of(own: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(own), F.lit(128)), lambda at: gathered(F.slice(own, at, F.lit(128))))
+        return F.when(F.size(own) <= 128, gathered(own)).otherwise(let(runs, of_runs))
+
+    return let(steps, of)
+
+
 def match_spans(text: Column, pattern: str, groups: int = 0) -> Column:
     """array<struct<start, end, text, g1..gn>> of all matches of a pattern, in order; unmatched groups are null.
 
-    One pass over pieces and matches carries the place.  A text without a match costs one search.
+    A match ends at the running sum of the lengths of pieces and matches.  A text without a literal that every match holds costs no
+    search by the pattern, and one without a match costs one.
     """
     names = [f"c{k}" for k in range(1, groups + 1)]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
     between = F.split(text, pattern, -1).alias("between")
     columns = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(n) for k, n in enumerate(names, 1)]
     span = "start int, end int, text string" + "".join(f", g{k} string" for k in range(1, groups + 1))
-    kind = f"struct<at: int, spans: array<struct<{span.replace(' int', ': int').replace(' string', ': string')}>>>"
     none = F.array().cast(f"array<struct<{span.replace(' int', ': int').replace(' string', ': string')}>>")
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["between"])
-        own = [F.nullif(x[n], F.lit("")).alias(f"g{k}") for k, n in enumerate(names, 1)]
-        one = F.struct(start.alias("start"), (start + F.length(x["found"])).alias("end"), x["found"].alias("text"), *own)
-        return F.when(x["found"].isNull(), a).otherwise(F.struct((start + F.length(x["found"])).alias("at"), F.array_append(a["spans"], one).alias("spans")).cast(kind))
+    def placed(both: Column) -> Column:
+        ends = running(F.transform(both["found"], lambda x, i: F.length(F.get(both["between"], i)) + F.length(x))).alias("ends")
+
+        def one(x: Column) -> Column:
+            own = [F.nullif(x[n], F.lit("")).alias(f"g{k}") for k, n in enumerate(names, 1)]
+            return F.struct((x["ends"] - F.length(x["found"])).alias("start"), x["ends"].alias("end"), x["found"].alias("text"), *own)
 
-    first = F.struct(F.lit(0).alias("at"), none.alias("spans")).cast(kind)
-    spans = F.aggregate(F.arrays_zip(between, found, *columns), first, step)["spans"]
-    return F.when(text.isNull(), F.lit(None)).when(text.rlike(pattern), spans).otherwise(none)
+        return F.transform(F.arrays_zip(ends, both["found"].alias("found"), *[both[n].alias(n) for n in names]), one)
+
+    spans = let(F.struct(found, between, *columns), placed)
+    return F.when(text.isNull(), F.lit(None)).when(may_match(text, pattern) & text.rlike(pattern), spans).otherwise(none)
 
 
 def _trimmed(start: Column, raw: Column) -> Column:
@@ -66,16 +90,12 @@ def sentence_spans(text: Column, boundary: str = SENTENCE_END) -> Column:
     ends = F.regexp_extract_all(text, F.lit(boundary), F.lit(0)).alias("ends")
     pieces = F.split(text, boundary, -1).alias("pieces")
 
-    kind = "struct<at: int, spans: array<struct<start: int, end: int, text: string>>>"
-
-    def step(a: Column, r: Column) -> Column:
-        kept = let(_trimmed(a["at"], r), lambda s: F.when(s["end"] > s["start"], F.array_append(a["spans"], s)).otherwise(a["spans"]))
-        return F.struct((a["at"] + F.length(r)).alias("at"), kept.alias("spans")).cast(kind)
-
     def placed(raw: Column) -> Column:
-        return F.aggregate(raw, F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(kind), step)["spans"]
+        behind = running(F.transform(raw, lambda r: F.length(r)))
+        cut = let(behind, lambda b: F.transform(raw, lambda r, i: _trimmed(F.get(b, i) - F.length(r), r)))
+        return F.filter(cut, lambda s: s["end"] > s["start"])
 
-    raw = let(F.struct(pieces, ends), lambda v: F.transform(v["pieces"], lambda p, i: F.concat(p, F.coalesce(F.try_element_at(v["ends"], i + 1), F.lit("")))))
+    raw = let(F.struct(pieces, ends), lambda v: F.transform(v["pieces"], lambda p, i: F.concat(p, F.coalesce(F.get(v["ends"], i), F.lit("")))))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("text")))
     return let(let(raw, placed), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
 

@@ -40,16 +40,14 @@ def _family_matches(text: Column, f: Family, order: int) -> Column:
 def family_mentions(notes: DataFrame, active: Sequence[str] = ALL, keep: Sequence[str] = ("note_id",)) -> DataFrame:
     """notes(note_id, text) -> one row a match of any family that fits the active specialties.
 
-    Families run in groups, each behind a test of all its patterns together, so a note that holds nothing of a group costs
-    one scan for it, and no single expression grows past what the JVM compiles.
+    A family's pattern runs only on notes that hold one of the literals it needs; families are columns in groups, so that no
+    single expression grows past what the JVM compiles.
     """
     chosen = [(k, f) for k, f in enumerate(FAMILIES) if fits(f.specialties, active)]
     rows, columns = notes.select(*keep, "text"), []
     for at in range(0, len(chosen), 6):
         group = chosen[at : at + 6]
-        anything = F.col("text").rlike("(?i)" + "|".join(f"(?:{f.pattern})" for _, f in group))
-        found = F.concat(*[_family_matches(F.col("text"), f, k) for k, f in group])
-        columns.append(F.when(anything, found).otherwise(F.array().cast(FOUND)))
+        columns.append(F.concat(*[_family_matches(F.col("text"), f, k) for k, f in group]))
     return rows.select(*keep, F.explode_outer(F.concat(*columns)).alias("m")).where("m IS NOT NULL").select(*keep, "m.*")
 
 
@@ -106,14 +104,16 @@ def ascii_lower(text: Column) -> Column:
 def dictionary_mentions(notes: DataFrame, concepts: Sequence[tuple] = DICTIONARY, active: Sequence[str] = ALL, keep: Sequence[str] = ("note_id",)) -> DataFrame:
     """notes(note_id, text) -> one row a term found: canonical_name, entity_type, text, span, assertion, temporality, side.
 
-    A note's words are found once and joined to the terms by their first word; where the whole term stands there, not inside
-    a word, it is a mention.  So terms inside longer terms are found too, and the cost does not grow with the dictionary.
+    A note's words are found once; those that begin a term, and only those, become rows and are joined to the terms; where the
+    whole term stands there, not inside a word, it is a mention.  So terms inside longer terms are found too, and the cost does
+    not grow with the dictionary.
     Scoping is this scan's own: a negation in the 36 characters before the mention in its segment, an order verb in the 28,
     then what the section says.
     """
     chosen = [(c, t) for c in concepts if fits([SHORT[s] for s in c[3]], active) for t in c[2]]
-    words = notes.select(*keep, "text", F.explode(match_spans(F.col("text"), WORD)).alias("w"))
-    words = words.select(*keep, "text", F.col("w.start").alias("start_char"), ascii_lower(F.col("w.text")).alias("word"))
+    first = sorted({re.match(WORD, t)[0].lower() for _, t in chosen})
+    begins = F.filter(F.transform(match_spans(F.col("text"), WORD), lambda w: F.struct(w["start"].alias("start"), ascii_lower(w["text"]).alias("word"))), lambda w: w["word"].isin(*first))
+    words = notes.select(*keep, "text", F.explode(begins).alias("w")).select(*keep, "text", F.col("w.start").alias("start_char"), "w.word")
     found = words.join(_terms(notes, chosen), "word").withColumn("end_char", F.col("start_char") + F.length("term"))
     here = F.substr("text", F.col("start_char") + 1, F.length("term"))
     after = F.substr("text", F.col("end_char") + 1, F.lit(1))
