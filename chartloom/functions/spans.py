@@ -31,24 +31,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_LAST = "coalesce(try_element_at({0}, -1), 0)"
+_GATHERED = "aggregate({0}, cast(array() AS array<int>), (a, x) -> array_append(a, " + _LAST.format("a") + " + x))"
+_BEFORE = _GATHERED.format("transform(runs, r -> " + _LAST.format("r") + ")")
+_MOVED = f"transform(runs, (r, k) -> element_at(transform(array(CASE WHEN k > 0 THEN get({_BEFORE}, k - 1) ELSE 0 END), b -> transform(r, x -> x + b)), 1))"
+_RUNS = "transform(sequence(1, size(own), 128), at -> " + _GATHERED.format("slice(own, at, 128)") + ")"
+#: Running sums of the lambda variable own.
+_RUNNING = f"CASE WHEN size(own) <= 128 THEN {_GATHERED.format('own')} ELSE element_at(transform(array({_RUNS}), runs -> flatten({_MOVED})), 1) END"
+
+
+def _bound(value: Column, function: str) -> Column:
+    """let() with the body as SQL, a lambda of one variable: a long body costs one call to the JVM instead of one a node."""
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(function)), 1)
+
+
 def running(steps: Column) -> Column:
     """The running sums of an array of ints.
 
     Sums are gathered within runs of 128 and then moved by the sums of the runs before, so that a long array is not copied
     anew at every element.
     """
-    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))
-    gathered = lambda own: F.aggregate(own, F.array().cast("array<int>"), lambda a, x: F.array_append(a, last(a) + x))
-
-    def of_runs(runs: Column) -> Column:
-        before = gathered(F.transform(runs, last))
-        return F.flatten(F.transform(runs, lambda r, k: let(F.when(k > 0, F.get(before, k - 1)).otherwise(0), lambda b: F.transform(r, lambda x: x + b))))
-
-    def of(own: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(own), F.lit(128)), lambda at: gathered(F.slice(own, at, F.lit(128))))
-        return F.when(F.size(own) <= 128, gathered(own)).otherwise(let(runs, of_runs))
-
-    return let(steps, of)
+    return F.when(steps.isNotNull(), _bound(steps, f"own -> {_RUNNING}"))
 
 
 def match_spans(text: Column, pattern: str, groups: int = 0) -> Column:
@@ -61,19 +64,13 @@ def match_spans(text: Column, pattern: str, groups: int = 0) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
     between = F.split(text, pattern, -1).alias("between")
     columns = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(n) for k, n in enumerate(names, 1)]
-    span = "start int, end int, text string" + "".join(f", g{k} string" for k in range(1, groups + 1))
-    none = F.array().cast(f"array<struct<{span.replace(' int', ': int').replace(' string', ': string')}>>")
-
-    def placed(both: Column) -> Column:
-        ends = running(F.transform(both["found"], lambda x, i: F.length(F.get(both["between"], i)) + F.length(x))).alias("ends")
-
-        def one(x: Column) -> Column:
-            own = [F.nullif(x[n], F.lit("")).alias(f"g{k}") for k, n in enumerate(names, 1)]
-            return F.struct((x["ends"] - F.length(x["found"])).alias("start"), x["ends"].alias("end"), x["found"].alias("text"), *own)
-
-        return F.transform(F.arrays_zip(ends, both["found"].alias("found"), *[both[n].alias(n) for n in names]), one)
-
-    spans = let(F.struct(found, between, *columns), placed)
+    own = "".join(f", g{k}: string" for k in range(1, groups + 1))
+    none = F.array().cast(f"array<struct<start: int, end: int, text: string{own}>>")
+    steps = "transform(v.found, (x, i) -> length(get(v.between, i)) + length(x))"
+    ends = f"element_at(transform(array({steps}), own -> {_RUNNING}), 1)"
+    captured = "".join(f", 'g{k}', nullif(get(v.{n}, i), '')" for k, n in enumerate(names, 1))
+    one = f"named_struct('start', get(e, i) - length(x), 'end', get(e, i), 'text', x{captured})"
+    spans = _bound(F.struct(found, between, *columns), f"v -> element_at(transform(array({ends}), e -> transform(v.found, (x, i) -> {one})), 1)")
     return F.when(text.isNull(), F.lit(None)).when(may_match(text, pattern) & text.rlike(pattern), spans).otherwise(none)
 
 
