@@ -6,8 +6,9 @@ pages of equal content being one version, and every block inside a subtree that
 menus, banners and notices, and within the article adverts, share lines and author boxes, with or without telling markup.
 Where that would leave nothing of a page's article, all of the article stays: it is one that the site repeats.
 
-What markup tells goes by markup as well: elements such as nav, footer, aside, form, script, and elements whose class, id or
-role names one of ROLES.  The text is that of the page's article or main elements where it has any, else of what is left of
+What markup tells goes by markup as well: elements such as nav, footer, aside, form, script, and elements that name one of
+ROLES: outside articles as a part of their class, id or role, inside as a whole class or the role (or as the id of a list of
+reader comments), since ids and parts of names there are those of headings and topics (search-algorithms, related-work).  The text is that of the page's article or main elements where it has any, else of what is left of
 its body.  Character references are decoded, white space inside a block becomes one space, and blocks are joined by an
 empty line.
 """
@@ -27,7 +28,7 @@ from chartloom.llm.runtime import materialize, pick, python_stage
 
 _NAME = r"[a-zA-Z][^\s/>]*"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|math|object|select|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|object|select|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<(?P<close>/?)(?P<name>{_NAME})(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?{_NAME}[^>]*>|<[!?][^>]*>|</[^>]*>",
     re.IGNORECASE | re.DOTALL,
 )
@@ -48,6 +49,7 @@ ROLES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion newsletter subscribe signup login search share sharing social related recommended comment comments commentlist disqus respond replies reactions pagination pager toolbar skip".split()
 )
 _ROLES_INSIDE = ROLES - {"header", "masthead"}  # an article's own header holds its title
+_COMMENT_IDS = frozenset("comment comments commentlist disqus respond replies".split())
 _ROLE_TAGS = frozenset("div section ul ol dl p span aside header table article li figure blockquote details center h2 h3 h4 h5 h6 address".split())
 
 
@@ -68,9 +70,12 @@ def _telling(attrs: str, tag: str, inside: bool) -> tuple[str, bool]:
         key.append(f"{name}={value}")
         if name == "hidden" or name == "aria-hidden" and value == "true":
             gone = True
-        elif name != "hidden" and tag in _ROLE_TAGS:
-            words = re.split(r"[^a-z0-9]+", value)
-            gone = gone or not (_ROLES_INSIDE if inside else ROLES).isdisjoint(words)
+        elif inside and name in ("class", "role") and tag in _ROLE_TAGS:
+            gone = gone or not _ROLES_INSIDE.isdisjoint(value.split())
+        elif inside and name == "id" and tag in ("div", "section", "ul", "ol"):
+            gone = gone or value.strip() in _COMMENT_IDS
+        elif not inside and name != "hidden" and tag in _ROLE_TAGS:
+            gone = gone or not ROLES.isdisjoint(re.split(r"[^a-z0-9]+", value))
     return " ".join(key), gone
 
 

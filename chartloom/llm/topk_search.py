@@ -68,18 +68,18 @@ def accumulated(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def _best(k: int):
-    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    kind = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], []]
         if queries.num_rows and candidates.num_rows:
             ids = candidates.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")  # a tie goes to the smaller id, that is to the earlier row
             ids, weights = ids[order], _matrix(candidates.column("weights"))[order]
-            asked, wanted = queries.column("vec_id").to_numpy(), _matrix(queries.column("weights"))
+            asked, keys, wanted = queries.column("vec_id").to_numpy(), queries.column("query").to_numpy(), _matrix(queries.column("weights"))
             for at in range(0, len(asked), 256):
                 scores = accumulated(wanted[at : at + 256], weights)
-                for q, row in zip(asked[at : at + 256], scores, strict=True):
+                for q, key, row in zip(asked[at : at + 256], keys[at : at + 256], scores, strict=True):
                     a, b = np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right")
                     rest = np.concatenate((row[:a], row[b:])) if b > a else row
                     if not len(rest):
@@ -88,16 +88,18 @@ def _best(k: int):
                     found = np.flatnonzero(rest >= least)
                     found = found[np.argsort(-rest[found].astype(np.float64) if rest.dtype != np.int64 else -rest[found], kind="stable")[:k]]
                     out[0].append(np.full(len(found), q, np.int64))
-                    out[1].append(ids[found + (b - a) * (found >= a)])
-                    out[2].append(rest[found].astype(np.int64))
+                    out[1].append(np.full(len(found), key, np.int64))
+                    out[2].append(ids[found + (b - a) * (found >= a)])
+                    out[3].append(rest[found].astype(np.int64))
         return pa.table([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in out], schema=kind)
 
     return run
 
 
-def _repeated(rows: DataFrame, k: int) -> DataFrame:
-    """(vec_id, weights, copy): the rows, numbered where they repeat wholly; copies beyond the k-th can be in no result."""
-    counted = rows.groupBy("vec_id", "weights").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+def _repeated(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """(vec_id, weights, copy): the rows, numbered where they repeat wholly; copies beyond `most` are left out."""
+    n = F.count("*") if most is None else F.least(F.count("*"), F.lit(most))
+    counted = rows.groupBy("vec_id", "weights").agg(n.alias("n"))
     return counted.select("vec_id", "weights", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
 
 
@@ -114,7 +116,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: i
     """
     spark = queries.sparkSession
     ship(spark)
-    queries, candidates = _repeated(queries, k), _repeated(candidates, k)
+    queries, candidates = _repeated(queries), _repeated(candidates, k)  # a candidate's copies beyond the k-th are in no result
     n = candidates.count()
     candidate_block = candidate_block or min(65_536, max(8_192, n // (2 * spark.sparkContext.defaultParallelism)))
     q_blocks = max(1, -(-queries.count() // query_block))
@@ -123,8 +125,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: i
     def blocks(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64("vec_id", "weights", "copy"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
-    asked = blocks(queries, "qb", q_blocks, "cb", c_blocks).groupBy("qb", "cb")
+    asked = blocks(queries, "qb", q_blocks, "cb", c_blocks).withColumn("query", F.xxhash64("vec_id", "weights", "copy")).groupBy("qb", "cb")
     known = blocks(candidates, "cb", c_blocks, "qb", q_blocks).groupBy("qb", "cb")
-    found = asked.cogroup(known).applyInArrow(_best(k), "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = asked.cogroup(known).applyInArrow(_best(k), "query_id bigint, query bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -406,7 +406,7 @@ def _decided(scored: DataFrame, model: ToxicityModel) -> DataFrame:
     """(row, score, rejected) of rows with logits."""
     cut = F.lit(0.5)
     for code, value in model.thresholds.items():
-        cut = F.when(F.col("lang") == code, F.lit(value)).otherwise(cut)
+        cut = F.when(F.coalesce("lang", F.lit("")) == code, F.lit(value)).otherwise(cut)  # calibrate() counts null as ''
     return scored.select("row", (1 / (1 + F.exp(-F.col("logit")))).alias("score"), cut.alias("cut")).select("row", "score", (F.col("score") >= F.col("cut")).alias("rejected"))
 
 

@@ -151,6 +151,19 @@ def test_top_k_of_large_weights_ties_repeats_and_nothing(spark):
     assert K.top_k(df.limit(0), df).count() == 0 and K.top_k(df, df.limit(0)).count() == 0
 
 
+def test_each_query_row_has_a_ranking_of_its_own(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-9, 9, 6).tolist()) for i in range(1, 60)]
+    queries = [(0, [1, 2, 3, 4, 5, 6]), (0, [1, 2, 3, 4, 5, 6]), (0, [-6, 5, -4, 3, -2, 1]), (7, rows[6][1])]
+    kind = "vec_id bigint, weights array<bigint>"
+    got = K.top_k(spark.createDataFrame(queries, kind), spark.createDataFrame(rows, kind), 20, query_block=2, candidate_block=16).collect()
+    want = []
+    for q, w in queries:
+        best = sorted((-int(np.dot(w, v)), i) for i, v in rows if i != q)[:20]
+        want += [(q, r, i, -score) for r, (score, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == 80
+
+
 def test_top_k_keeps_rows_of_one_id_that_tie(spark):
     rows = [(0, [1, 0])] + [(1, [5, i]) for i in range(30)] + [(2, [4, 0])] * 40 + [(3, [4, 1])]
     df = spark.createDataFrame(rows, "vec_id bigint, weights array<bigint>")
@@ -255,6 +268,16 @@ def test_templates_of_a_host_go_without_telling_markup(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "inner",
+    ['<section id="search-algorithms">', '<h2 id="social-history">', '<section class="related-work">', '<p class="ad-hoc">', '<section id="notice-of-appeal">', '<div class="figure share-price-table">', '<p id="comments">', "<math>"],
+)
+def test_headings_and_topics_within_articles_stay(inner):
+    tag = inner.strip("<>").split()[0]
+    page = f"<body><div id='search-box'>find</div><article><p>before</p>{inner}kept words</{tag}><p>after</p><p class='x share'>share this</p><div class='comments'>reader</div></article></body>"
+    assert " ".join(H.main_text(*H.blocks_of(H.parse(page))).split()) == "before kept words after"
+
+
 def test_recurring_parts_of_articles_go_by_the_counts_alone(spark, monkeypatch):
     rng = random.Random(4)
     stories = [[passage(rng, 2) for _ in range(3)] for _ in range(12)]

@@ -226,3 +226,13 @@ def test_stages_take_nulls_repeats_clashing_names_and_empty_tables(spark, tmp_pa
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, docs, str(tmp_path)).count() == docs.count() and last(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_a_null_language_has_the_threshold_of_the_empty_one(spark):
+    from pyspark.sql import functions as F
+
+    model = X.ToxicityModel.__new__(X.ToxicityModel)
+    model.thresholds = {"": 0.9, "en": 0.2}
+    rows = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "en", -1.0), (4, "de", 1.0), (5, None, 3.0)], "i int, lang string, logit double")
+    got = X._decided(rows.select(F.struct("i").alias("row"), "lang", "logit"), model).select("row.i", "rejected").collect()
+    assert dict(map(tuple, got)) == {1: False, 2: False, 3: True, 4: True, 5: True}
