@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chartloom.functions.spans import char_jaccard, overlap_tokens, token_jaccard
-from chartloom.operators.lineage import cut_lineage
+from chartloom.operators.matching import folded, with_component
 
 
 def candidate_pairs(predicted: DataFrame, gold: DataFrame, threshold: float = 0.5, exact_only: bool = False, strategy: str = "char-jaccard") -> DataFrame:
@@ -62,41 +62,21 @@ def any_source_pairs(predicted: DataFrame, gold: DataFrame, threshold: float = 0
 def any_source_matches(pairs: DataFrame) -> DataFrame:
     """One-to-one assignment of any_source_pairs: the best pair first, by score, then predicted and gold row.
 
-    Rows without a source tie all sources together, so there is no group to fold.  Each pass takes every pair that is the best
-    of both its ends and drops what it touches, which gives what one scan in order gives; passes end when no pair is left.
+    Rows without a source tie sources together; what hangs together by shared rows is found first, and each such component
+    is folded alone.
     """
-    order = [F.desc("score"), F.asc_nulls_first("p_source"), "p_idx", F.asc_nulls_first("g_source"), "g_idx"]
-    ends = {side: (f"{side}_source", f"{side}_idx") for side in ("p", "g")}
-    left, taken = cut_lineage(pairs), None
-    while not left.isEmpty():
-        ranked = left
-        for side, keys in ends.items():
-            ranked = ranked.withColumn(f"_{side}", F.row_number().over(Window.partitionBy("entity_type", *keys).orderBy(*order)))
-        best = cut_lineage(ranked.where("_p = 1 AND _g = 1").drop("_p", "_g"))
-        taken = best if taken is None else taken.unionByName(best)
-        for side, (source, idx) in ends.items():
-            used = best.select(F.col("entity_type").alias("_t"), F.col(source).alias("_s"), F.col(idx).alias("_i"))
-            left = left.join(used, (F.col("entity_type") == F.col("_t")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col(idx) == F.col("_i")), "left_anti")
-        left = cut_lineage(left)
-    return pairs if taken is None else taken
+    left, right = ["entity_type", "p_source", "p_idx"], ["entity_type", "g_source", "g_idx"]
+    order = [F.desc("score"), F.asc_nulls_first("p_source"), F.asc("p_idx"), F.asc_nulls_first("g_source"), F.asc("g_idx")]
+    return folded(with_component(pairs, left, right), ["component"], left, right, order).drop("component")
 
 
 def greedy_matches(pairs: DataFrame) -> DataFrame:
     """One-to-one assignment: the best pair first, by score, then predicted and gold index.
 
-    Pairs of different (source, type) never touch, so a group's pairs are folded in order within the group; a group is one
-    note's candidates of one type.
+    Pairs of different (source, type) never touch, so each such group is folded in one sorted scan.
     """
-    one = F.struct((-F.col("score")).alias("rank"), "p_idx", "g_idx", "exact")
-    grouped = pairs.groupBy("source_id", "entity_type").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    state = "array<struct<rank:double,p_idx:bigint,g_idx:bigint,exact:boolean>>"
-
-    def step(kept: Column, x: Column) -> Column:
-        used = F.exists(kept, lambda k: (k["p_idx"] == x["p_idx"]) | (k["g_idx"] == x["g_idx"]))
-        return F.when(used, kept).otherwise(F.concat(kept, F.array(x)))
-
-    kept = F.aggregate(F.col("all").cast(state), F.array().cast(state), step)
-    return grouped.select("source_id", "entity_type", F.explode(kept).alias("k")).select("source_id", "entity_type", "k.p_idx", "k.g_idx", (-F.col("k.rank")).alias("score"), "k.exact")
+    kept = folded(pairs, ["source_id", "entity_type"], ["p_idx"], ["g_idx"], [F.desc("score"), F.asc("p_idx"), F.asc("g_idx")])
+    return kept.select("source_id", "entity_type", "p_idx", "g_idx", "score", "exact")
 
 
 def ratio(a: Column, b: Column) -> Column:
