@@ -14,6 +14,7 @@ from chartloom.operators.training import train_risk, training_report
 from chartloom.plans.catalog import _RISK, BASE, _events, _mentions, _term, query
 from chartloom.sources.expansions import read_expansions, record_expansions
 from chartloom.sources.notes import clinical_notes
+from chartloom.sources.quarantine import read_records, sorted_out
 from chartloom.streaming.mentions import requests_once, session_periods
 
 _EPOCHS, _RATE, _RIDGE = 12, 0.15, 0.015
@@ -133,3 +134,23 @@ def _(spark, sf):
     queries = _events(spark, sf).where("event_id % 3 <> 1").select(F.col("event_id").alias("query_id"), asked.alias("filter"))
     found = search_codes(codes, queries.select("filter").distinct().withColumn("query_id", F.col("filter")), 3)
     return queries.join(found.withColumnRenamed("query_id", "filter"), "filter").select("query_id", "rank", "code", "display")
+
+
+@query(
+    "src_quarantine",
+    """, r AS (SELECT note_id, CASE note_id % 9 WHEN 0 THEN 'the line is not JSON' WHEN 1 THEN 'the record is no object' WHEN 2 THEN 'text is missing' WHEN 3 THEN 'mention 0 has a span that does not reproduce its text' END AS reason FROM notes)
+    SELECT r.note_id % 22 AS template_id, reason, count(*) AS n, CAST(sum(CASE WHEN reason IS NULL THEN length(n.text) ELSE 0 END) AS BIGINT) AS chars FROM r JOIN notes n USING (note_id) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """All notes written as JSON Lines with their first sign as a mention, four in nine with a fault; what is read back, of both outputs."""
+    kind = F.col("note_id") % 9
+    mention = F.struct(F.substring("text", 1, 1).alias("text"), F.lit("other").alias("entity_type"), F.when(kind == 3, 1).otherwise(0).alias("start_char"), F.when(kind == 3, 3).otherwise(1).alias("end_char"), F.lit("present").alias("assertion"))
+    whole = F.to_json(F.struct(F.col("note_id").cast("string").alias("source_id"), F.when(kind != 2, F.col("text")).alias("text"), F.array(mention).alias("mentions")))
+    raw = F.when(kind == 0, F.concat(F.lit("{ no json "), "note_id")).when(kind == 1, F.concat(F.lit("["), "note_id", F.lit("]"))).otherwise(whole)
+    folder = shared_folder(spark, "records")
+    clinical_notes(spark, sf).select(raw.alias("value")).write.text(folder)
+    notes, bad = sorted_out(read_records(spark, folder))
+    number = F.regexp_extract("raw", r"(\d+)", 1).cast("bigint")
+    both = notes.select(F.col("source_id").cast("bigint").alias("note_id"), F.lit(None).cast("string").alias("reason"), F.length("text").alias("chars"))
+    both = both.unionByName(bad.select(number.alias("note_id"), "reason", F.lit(0).alias("chars")))
+    return both.groupBy((F.col("note_id") % 22).alias("template_id"), "reason").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from chartloom.sources import quarantine as Q
 from chartloom.sources.expansions import RecordedExpansions, read_expansions, record_expansions
 
 
@@ -46,3 +47,27 @@ def test_recorded_entries_come_back(spark, tmp_path):
     got = read_expansions(spark, folder).collect()
     assert sorted(int(r["code"]) for r in got) == list(range(250)) and all(int(r["code"]) % 100 == r["ord"] for r in got)
     assert RecordedExpansions.name() == "recorded-expansions"
+
+
+def test_each_line_is_a_note_or_in_quarantine(spark, tmp_path):
+    good = {"source_id": "n1", "text": "HR 72", "mentions": [{"text": "HR 72", "entity_type": "vital", "start_char": 0, "end_char": 5, "assertion": "present"}]}
+    change = lambda **k: json.dumps({**good, **k})
+    mention = lambda **k: change(mentions=[good["mentions"][0], {**good["mentions"][0], **k}])
+    bad = {
+        "{": "not JSON", "[1]": "no object", "3": "no object", change(source_id=None): "source_id", change(text=5): "text is missing", change(mentions={}): "no list", change(mentions=[1]): "mention 0 is no object", mention(text=None): "mention 1 lacks",
+        mention(end_char=None): "mention 1 has no span", mention(end_char=0): "mention 1 has no span", mention(end_char=4): "mention 1 has a span that does not", mention(start_char="0"): "mention 1 has no span",
+    }
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join([json.dumps(good), "", *bad, "  "]))
+    (tmp_path / "in" / "sub" / "b.jsonl").write_bytes(change(mentions=[]).encode() + b"\r\n\xff\xfe\n" + json.dumps({"source_id": "n2", "text": ""}).encode())
+    (tmp_path / "in" / "_SUCCESS").touch()
+    records = Q.read_records(spark, f"file://{tmp_path}/in")
+    notes, out = Q.sorted_out(records)
+    assert records.count() == 1 + len(bad) + 3 == notes.count() + out.count()
+    got = {(r["file"], r["line"]): r for r in out.collect()}
+    for line, (raw, said) in enumerate(bad.items(), 3):
+        r = got.pop(("a.jsonl", line))
+        assert r["raw"] == raw and said in r["reason"], (raw, r["reason"])
+    assert [(k, r["reason"]) for k, r in got.items()] == [(("sub/b.jsonl", 2), "the line is not JSON")]
+    kept = {(r["file"], r["line"]): r for r in notes.collect()}
+    assert set(kept) == {("a.jsonl", 1), ("sub/b.jsonl", 1), ("sub/b.jsonl", 3)} and kept["a.jsonl", 1]["mentions"][0]["end_char"] == 5
