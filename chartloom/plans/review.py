@@ -41,9 +41,11 @@ def _dictionary_entities(spark, sf):
 
 
 # -- terminology -------------------------------------------------------------------------------------------------------
-@query("trm_seed", "SELECT n AS canonical_name, system, code, display, release_version, CAST(confidence AS DOUBLE) AS confidence FROM seed", f"WITH {_SEED[2:]}")
+@query("trm_seed", "SELECT n AS canonical_name, system, code, display, release_version, CAST(confidence AS DOUBLE) AS confidence, coalesce(n_entities, 0) AS n_entities FROM seed LEFT JOIN (SELECT canonical_name, count(*) AS n_entities FROM e GROUP BY 1) ON n = canonical_name", WIDE + _DIC + _SEED)
 def _(spark, sf):
-    return T.built_in_seed(spark)
+    """The seed's codes, and how many entities of the notes have their name."""
+    counts = _dictionary_entities(spark, sf).groupBy("canonical_name").agg(F.count("*").alias("n_entities"))
+    return T.built_in_seed(spark).join(counts, "canonical_name", "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0).cast("bigint")))
 
 
 @query("trm_coded_entities", "SELECT e.note_id, e.entity_type, e.canonical_name, count(code) AS n_codes, coalesce(bool_or(release_version IS NOT NULL AND code IS NOT NULL), FALSE) AS is_coded, min(code) AS least_code FROM e LEFT JOIN seed ON n = canonical_name GROUP BY ALL", WIDE + _DIC + _SEED)
