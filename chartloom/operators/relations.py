@@ -13,66 +13,66 @@ CONFIDENCE_RANK = {"low": 1, "medium": 2, "high": 3}
 NEAR_TARGETS = ("problem", "symptom", "risk", "functional-limitation")
 PLANNED = ("referral", "plan", "exercise")
 
-# Abbreviation | reading | name of the entity | its type; those of one reading only.
-PLAIN_ABBREVIATIONS = """
-AAROM | active assistive range of motion | active assistive range of motion | finding
-BP | blood pressure | blood pressure | vital
-VS | vital signs | vital signs | vital
-TPR | temperature, pulse, respiration | vital signs | vital
-HR | heart rate | heart rate | vital
-RR | respiratory rate | respiratory rate | vital
-CBC | complete blood count | complete blood count | lab
-ABG | arterial blood gas | arterial blood gas | lab
-UA | urinalysis | urinalysis | lab
-CXR | chest X-ray | chest x-ray | imaging
-CT | computerized tomography | computed tomography | imaging
-MRI | magnetic resonance imaging | magnetic resonance imaging | imaging
-u/s | ultrasound | ultrasound | imaging
-HEP | home exercise program | home exercise program | exercise
-ADL | activities of daily living | activities of daily living | functional-limitation
-FWB | full weight bearing | full weight bearing | functional-limitation
-NWB | non-weight bearing | non-weight bearing | functional-limitation
-WBAT | weight bearing as tolerated | weight bearing as tolerated | functional-limitation
-RLE | right lower extremity | right lower extremity | body-site
-LLE | left lower extremity | left lower extremity | body-site
-RUE | right upper extremity | right upper extremity | body-site
-LUE | left upper extremity | left upper extremity | body-site
-MBSS | modified barium swallow study | modified barium swallow study | imaging
-VFSS | videofluoroscopic swallowing study | videofluoroscopic swallowing study | imaging
-SLP | speech-language pathologist | speech-language pathology | referral
-ST | speech therapy | speech therapy | referral
-AAC | augmentative and alternative communication | augmentative and alternative communication | functional-limitation
-ASL | American Sign Language | American Sign Language | functional-limitation
-PMH | past medical history | past medical history | other
-FH | family history | family history | other
-SH | social history | social history | other
-NKA | no known allergies | no known allergies | allergy
-NPO | nothing by mouth | nothing by mouth | plan
-SOB | shortness of breath | shortness of breath | symptom
-DOE | dyspnea on exertion | dyspnea on exertion | symptom
-CAD | coronary artery disease | coronary artery disease | problem
-CHF | congestive heart failure | congestive heart failure | problem
-COPD | chronic obstructive pulmonary disease | chronic obstructive pulmonary disease | problem
-CVA | cerebrovascular accident | cerebrovascular accident | problem
-TBI | traumatic brain injury | traumatic brain injury | problem
-SCI | spinal cord injury | spinal cord injury | problem
-GERD | gastroesophageal reflux disease | gastroesophageal reflux disease | problem
-URI | upper respiratory infection | upper respiratory infection | problem
-UTI | urinary tract infection | urinary tract infection | problem
-Dx | diagnosis | diagnosis | other
-Tx | treatment | treatment | plan
-Rx | prescription | prescription | medication
-s/p | status post | status post | other
-f/u | follow-up | follow up | plan
-c/o | complains of | complains of | other
-w/o | without | without | other
-WNL | within normal limits | within normal limits | finding
-WFL | within functional limits | within functional limits | finding
-"""
+# Abbreviation, reading, name of the entity, its type; those of one reading only.
+PLAIN_ABBREVIATIONS: tuple[tuple[str, str, str, str], ...] = (
+    ("AAROM", "active assistive range of motion", "active assistive range of motion", "finding"),
+    ("BP", "blood pressure", "blood pressure", "vital"),
+    ("VS", "vital signs", "vital signs", "vital"),
+    ("TPR", "temperature, pulse, respiration", "vital signs", "vital"),
+    ("HR", "heart rate", "heart rate", "vital"),
+    ("RR", "respiratory rate", "respiratory rate", "vital"),
+    ("CBC", "complete blood count", "complete blood count", "lab"),
+    ("ABG", "arterial blood gas", "arterial blood gas", "lab"),
+    ("UA", "urinalysis", "urinalysis", "lab"),
+    ("CXR", "chest X-ray", "chest x-ray", "imaging"),
+    ("CT", "computerized tomography", "computed tomography", "imaging"),
+    ("MRI", "magnetic resonance imaging", "magnetic resonance imaging", "imaging"),
+    ("u/s", "ultrasound", "ultrasound", "imaging"),
+    ("HEP", "home exercise program", "home exercise program", "exercise"),
+    ("ADL", "activities of daily living", "activities of daily living", "functional-limitation"),
+    ("FWB", "full weight bearing", "full weight bearing", "functional-limitation"),
+    ("NWB", "non-weight bearing", "non-weight bearing", "functional-limitation"),
+    ("WBAT", "weight bearing as tolerated", "weight bearing as tolerated", "functional-limitation"),
+    ("RLE", "right lower extremity", "right lower extremity", "body-site"),
+    ("LLE", "left lower extremity", "left lower extremity", "body-site"),
+    ("RUE", "right upper extremity", "right upper extremity", "body-site"),
+    ("LUE", "left upper extremity", "left upper extremity", "body-site"),
+    ("MBSS", "modified barium swallow study", "modified barium swallow study", "imaging"),
+    ("VFSS", "videofluoroscopic swallowing study", "videofluoroscopic swallowing study", "imaging"),
+    ("SLP", "speech-language pathologist", "speech-language pathology", "referral"),
+    ("ST", "speech therapy", "speech therapy", "referral"),
+    ("AAC", "augmentative and alternative communication", "augmentative and alternative communication", "functional-limitation"),
+    ("ASL", "American Sign Language", "American Sign Language", "functional-limitation"),
+    ("PMH", "past medical history", "past medical history", "other"),
+    ("FH", "family history", "family history", "other"),
+    ("SH", "social history", "social history", "other"),
+    ("NKA", "no known allergies", "no known allergies", "allergy"),
+    ("NPO", "nothing by mouth", "nothing by mouth", "plan"),
+    ("SOB", "shortness of breath", "shortness of breath", "symptom"),
+    ("DOE", "dyspnea on exertion", "dyspnea on exertion", "symptom"),
+    ("CAD", "coronary artery disease", "coronary artery disease", "problem"),
+    ("CHF", "congestive heart failure", "congestive heart failure", "problem"),
+    ("COPD", "chronic obstructive pulmonary disease", "chronic obstructive pulmonary disease", "problem"),
+    ("CVA", "cerebrovascular accident", "cerebrovascular accident", "problem"),
+    ("TBI", "traumatic brain injury", "traumatic brain injury", "problem"),
+    ("SCI", "spinal cord injury", "spinal cord injury", "problem"),
+    ("GERD", "gastroesophageal reflux disease", "gastroesophageal reflux disease", "problem"),
+    ("URI", "upper respiratory infection", "upper respiratory infection", "problem"),
+    ("UTI", "urinary tract infection", "urinary tract infection", "problem"),
+    ("Dx", "diagnosis", "diagnosis", "other"),
+    ("Tx", "treatment", "treatment", "plan"),
+    ("Rx", "prescription", "prescription", "medication"),
+    ("s/p", "status post", "status post", "other"),
+    ("f/u", "follow-up", "follow up", "plan"),
+    ("c/o", "complains of", "complains of", "other"),
+    ("w/o", "without", "without", "other"),
+    ("WNL", "within normal limits", "within normal limits", "finding"),
+    ("WFL", "within functional limits", "within functional limits", "finding"),
+)
 
 
 def plain_abbreviations() -> list[tuple[str, str, str, str]]:
-    return [tuple(line.split(" | ")) for line in PLAIN_ABBREVIATIONS.strip().splitlines()]
+    return list(PLAIN_ABBREVIATIONS)
 
 
 def abbreviations_found(notes: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from chartloom.functions.spans import containing, match_spans
 from chartloom.operators.sections import sections
 
 FOUND = "array<struct<ord:int,entity_type:string,canonical_name:string,start_char:int,end_char:int,text:string,value:string,unit:string,assertion:string,detail:string>>"
-SHORT = {"PC": ALL[0], "MH": ALL[1], "PT": ALL[2], "MX": ALL[3]}
 
 
 def fits(specialties: Sequence[str], active: Sequence[str]) -> bool:
@@ -110,7 +109,7 @@ def dictionary_mentions(notes: DataFrame, concepts: Sequence[tuple] = DICTIONARY
     Scoping is this scan's own: a negation in the 36 characters before the mention in its segment, an order verb in the 28,
     then what the section says.
     """
-    chosen = [(c, t) for c in concepts if fits([SHORT[s] for s in c[3]], active) for t in c[2]]
+    chosen = [(c, t) for c in concepts if fits(c[3], active) for t in c[2]]
     first = sorted({re.match(WORD, t)[0].lower() for _, t in chosen})
     begins = F.filter(F.transform(match_spans(F.col("text"), WORD), lambda w: F.struct(w["start"].alias("start"), ascii_lower(w["text"]).alias("word"))), lambda w: w["word"].isin(*first))
     words = notes.select(*keep, "text", F.explode(begins).alias("w")).select(*keep, "text", F.col("w.start").alias("start_char"), "w.word")
