@@ -199,6 +199,15 @@ def coverage(entities: DataFrame) -> DataFrame:
     return sums.select(dimension.alias("dimension"), key.alias("key"), "found_count", "coded_count")
 
 
+def in_order(rows: DataFrame, by: Sequence[str] = (), counts: Sequence[str] = ("found_count",)) -> DataFrame:
+    """Metric rows (by, key, counts) gain place, from 1 in each group of by: the highest count first, then by key.
+
+    The count of a row is the first of counts that is not null, 0 where none is.  Keys sort by their code points.
+    """
+    most = F.coalesce(*[F.col(c) for c in counts], F.lit(0))
+    return running(rows, by, [most.desc(), F.asc("key")], {"place": F.lit(1)})
+
+
 def ambiguity_results(expected: DataFrame, resolved: DataFrame) -> DataFrame:
     """Both (case_id, abbreviation, meaning): (case_id, expected_count, matched_count, missed), missed as abbreviation=meaning."""
     hit = resolved.select("case_id", "abbreviation", "meaning").distinct().withColumn("hit", F.lit(True))

@@ -583,6 +583,16 @@ def _(spark, sf):
     return E.coverage(R.rollup(_mentions(spark, sf)).withColumn("n_codings", 1 - F.col("note_id") % 2))
 
 
+@query(
+    "evl_coverage_order",
+    "SELECT dimension, row_number() OVER (PARTITION BY dimension ORDER BY found_count DESC, key) AS place, key, found_count FROM (SELECT 'type' AS dimension, entity_type AS key, count(*) AS found_count FROM ent GROUP BY 2 UNION ALL SELECT 'assertion', assertion, count(*) FROM ent GROUP BY 2)",
+    BASE + _ENTITIES,
+)
+def _(spark, sf):
+    rows = E.coverage(R.rollup(_mentions(spark, sf)).withColumn("n_codings", F.lit(0)))
+    return E.in_order(rows, ["dimension"]).select("dimension", F.col("place").cast("bigint").alias("place"), "key", "found_count")
+
+
 @query("evl_ambiguity", "SELECT event_id AS case_id, CAST(2 AS BIGINT) AS expected_count, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS matched_count, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'PT=physical therapy' END AS missed FROM events", "")
 def _(spark, sf):
     rows = lambda table: _events(spark, sf).select(F.col("event_id").alias("case_id"), F.explode(F.array(*[F.struct(F.lit(a).alias("abbreviation"), F.lit(m).alias("meaning")) for a, m in table])).alias("x")).select("case_id", "x.*")

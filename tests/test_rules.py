@@ -125,3 +125,9 @@ def test_span_scores(spark):
 def test_strength_grades(spark):
     df = spark.createDataFrame([("4-/5",), ("4+ /5",), ("3",), ("5+",), ("x",), (None,)], "g string")
     assert [None if r[0] is None else round(r[0], 1) for r in df.select(strength_grade(F.col("g"))).collect()] == [3.7, 4.3, 3.0, None, None, None]
+
+
+def test_metric_rows_by_the_first_count_then_key(spark):
+    rows = spark.createDataFrame([("b", 2, None), ("a", None, 2), ("c", 5, 1), ("d", None, None)], "key string, found_count int, candidate_count int")
+    got = E.in_order(rows, counts=("found_count", "candidate_count")).orderBy("place").collect()
+    assert [(r["place"], r["key"]) for r in got] == [(1, "c"), (2, "a"), (3, "b"), (4, "d")]
