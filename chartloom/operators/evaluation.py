@@ -262,6 +262,24 @@ def average_precision(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.select(*by, ratio(F.col("s"), F.col("p")).alias("average_precision"))
 
 
+def classifier_report(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, sample_count, positive_count, negative_count, roc_auc, average_precision) of scores(ord, y_true, y_score).
+
+    roc_auc is null where a class is missing, average_precision where there are no positives.  A row that lacks its label or
+    its score, and a label that is neither 0 nor 1, are errors: both lists of a report must be whole.
+    """
+    by = list(by)
+    whole = F.col("y_true").isNotNull() & F.col("y_score").isNotNull()
+    label = F.when(~whole, F.raise_error(F.lit("labels and scores must be as many: a row lacks one of them")).cast("int")).when(F.col("y_true").isin(0, 1), F.col("y_true").cast("int")).otherwise(F.raise_error(F.lit("labels must be 0 or 1")).cast("int"))
+    checked = cut_lineage(scores.select(*by, "ord", label.alias("y_true"), "y_score"))
+    if not by:
+        checked = checked.withColumn("_all", F.lit(0))
+    keys = by or ["_all"]
+    counts = checked.groupBy(*keys).agg(F.count("*").alias("sample_count"), F.count_if(F.col("y_true") == 1).alias("positive_count"), F.count_if(F.col("y_true") == 0).alias("negative_count"))
+    out = counts.join(roc_auc(checked, keys), keys, "left").join(average_precision(checked, keys), keys, "left")
+    return out.select(*by, "sample_count", "positive_count", "negative_count", "roc_auc", "average_precision")
+
+
 def binary_report(scores: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
     """Confusion counts, accuracy, precision, recall, f1 (0 on empty denominators) and Brier score."""
     hot, pos = F.col("y_score") >= threshold, F.col("y_true") == 1

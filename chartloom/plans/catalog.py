@@ -404,6 +404,23 @@ def _(spark, sf):
     return E.average_precision(_labelled(spark, sf), by=["mode"]).withColumn("average_precision", F.round("average_precision", 6))
 
 
+@query(
+    "agg_classifier_report",
+    """, own AS (SELECT mode, y, s, ord FROM lab UNION ALL SELECT 'negatives', y, s, ord FROM lab WHERE mode = 'nlp' AND y = 0 UNION ALL SELECT 'positives', y, s, ord FROM lab WHERE mode = 'nlp' AND y = 1),
+    h AS (SELECT mode, s, sum(y) AS p, count(*) - sum(y) AS q FROM own GROUP BY ALL),
+    auc AS (SELECT a.mode, sum(a.p * b.q * CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0 END) / nullif(sum(a.p * b.q), 0) AS roc_auc FROM h a JOIN h b ON a.mode = b.mode GROUP BY a.mode),
+    r AS (SELECT mode, y, sum(y) OVER w * 1.0 / row_number() OVER w AS pr FROM own WINDOW w AS (PARTITION BY mode ORDER BY s DESC, ord ROWS UNBOUNDED PRECEDING))
+    SELECT mode, count(*) AS sample_count, count(*) FILTER (y = 1) AS positive_count, count(*) FILTER (y = 0) AS negative_count, round(any_value(roc_auc), 6) AS roc_auc, round(avg(pr) FILTER (y = 1), 6) AS average_precision FROM r LEFT JOIN auc USING (mode) GROUP BY mode""",
+    BASE + _LABELLED,
+)
+def _(spark, sf):
+    """By mode, and over rows of one class only, where a figure is not defined."""
+    rows = _labelled(spark, sf)
+    for mode, y in (("negatives", 0), ("positives", 1)):
+        rows = rows.unionByName(_labelled(spark, sf).where((F.col("mode") == "nlp") & (F.col("y_true") == y)).withColumn("mode", F.lit(mode)))
+    return E.classifier_report(rows, ["mode"]).withColumns({c: F.round(c, 6) for c in ("roc_auc", "average_precision")})
+
+
 @query("agg_binary_report", """, c AS (SELECT mode, count(*) AS n, count(*) FILTER (y = 1) AS positives, count(*) FILTER (s >= 0.5 AND y = 1) AS tp, count(*) FILTER (s >= 0.5 AND y = 0) AS fp, count(*) FILTER (s < 0.5 AND y = 0) AS tn, count(*) FILTER (s < 0.5 AND y = 1) AS fn, round(avg((s - y) * (s - y)), 6) AS brier FROM lab GROUP BY mode)
   SELECT mode, n, positives, tp, fp, tn, fn, brier, round((tp + tn) * 1.0 / n, 6) AS accuracy, round(coalesce(tp * 1.0 / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c""", BASE + _LABELLED)
 def _(spark, sf):

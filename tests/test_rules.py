@@ -131,3 +131,13 @@ def test_metric_rows_by_the_first_count_then_key(spark):
     rows = spark.createDataFrame([("b", 2, None), ("a", None, 2), ("c", 5, 1), ("d", None, None)], "key string, found_count int, candidate_count int")
     got = E.in_order(rows, counts=("found_count", "candidate_count")).orderBy("place").collect()
     assert [(r["place"], r["key"]) for r in got] == [(1, "c"), (2, "a"), (3, "b"), (4, "d")]
+
+
+def test_a_classifier_report_needs_whole_lists_of_0_and_1(spark):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "ord int, y_true int, y_score double")
+    both = E.classifier_report(frame((1, 1, 0.9), (2, 0, 0.1), (3, 1, 0.8))).first().asDict()
+    assert both == {"sample_count": 3, "positive_count": 2, "negative_count": 1, "roc_auc": 1.0, "average_precision": 1.0}
+    assert E.classifier_report(frame((1, 0, 0.9))).first().asDict() == {"sample_count": 1, "positive_count": 0, "negative_count": 1, "roc_auc": None, "average_precision": None}
+    for bad, said in (((1, 2, 0.5), "0 or 1"), ((1, None, 0.5), "lacks"), ((1, 1, None), "lacks")):
+        with pytest.raises(Exception, match=said):
+            E.classifier_report(frame(bad)).collect()
