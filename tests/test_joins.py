@@ -25,3 +25,12 @@ def test_nested_symptoms_are_not_broadcast(exploded):
     found = N.without_nested_symptoms(exploded(kind, F.lit("high").alias("confidence"), spans))
     assert "BroadcastHashJoin" not in plan(found)
     assert found.groupBy(kind).count().collect()[0]["count"] == 2000 * 100
+
+
+def test_links_are_not_broadcast(exploded):
+    odd = F.col("ord") % 2 == 1
+    name, kind = F.when(odd, "type 2 diabetes mellitus").otherwise("metformin").alias("canonical_name"), F.when(odd, "problem").otherwise("plan").alias("entity_type")
+    start = F.col("ord") * 1000
+    rows = exploded(name, kind, F.lit("present").alias("assertion"), F.lit(None).cast("string").alias("body_site"), start.alias("start_char"), F.array(start).alias("starts"), F.array(F.lit("s")).alias("sentences"))
+    made = plan(N.relations(rows))
+    assert "BroadcastHashJoin [note_id" not in made and "BuildLeft" not in made
