@@ -34,3 +34,20 @@ def test_links_are_not_broadcast(exploded):
     rows = exploded(name, kind, F.lit("present").alias("assertion"), F.lit(None).cast("string").alias("body_site"), start.alias("start_char"), F.array(start).alias("starts"), F.array(F.lit("s")).alias("sentences"))
     made = plan(N.relations(rows))
     assert "BroadcastHashJoin [note_id" not in made and "BuildLeft" not in made
+
+
+def test_notes_are_dealt_by_their_number(spark, monkeypatch):
+    from chartloom.sources import notes
+
+    monkeypatch.setattr(notes, "NOTES_A_TASK", 100)
+    assert notes.spread(spark.range(1001).repartition(1)).rdd.getNumPartitions() == 11
+    assert notes.spread(spark.range(5).repartition(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_set_queries_have_no_join(spark):
+    from chartloom.plans.wide import W  # noqa: F401  (registers its queries)
+    from chartloom.plans.catalog import QUERIES
+
+    for name in ("set_found_by_both", "set_missed_by_families"):
+        made = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "(note_id" not in "".join(x for x in made.splitlines() if "Join" in x), name
