@@ -51,3 +51,18 @@ def test_set_queries_have_no_join(spark):
     for name in ("set_found_by_both", "set_missed_by_families"):
         made = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "(note_id" not in "".join(x for x in made.splitlines() if "Join" in x), name
+
+
+@pytest.mark.parametrize("common", [0, 2, 100])
+def test_a_common_filter_is_searched_once(spark, monkeypatch, common):
+    from chartloom.operators import adapters
+    from chartloom.operators.adapters import search_codes
+
+    monkeypatch.setattr(adapters, "COMMON", common)
+
+    codes = spark.createDataFrame([("heart rate", "L", "1", "a"), ("heart", "L", "2", "b"), ("pain", "L", "3", "c")], "name string, system string, code string, display string")
+    queries = spark.createDataFrame([(1, "HEART"), (2, "heart"), (3, "3"), (4, "none"), (5, None), (6, "pain"), (6, "heart"), (7, "heart"), (7, "heart")], "query_id int, filter string")
+    found = search_codes(codes, queries, 2)
+    hits = [(1, "2"), (1, "1"), (2, "2"), (2, "1"), (3, "3"), (6, "2"), (6, "1"), (7, "2"), (7, "1")]
+    assert [(r.query_id, r.code) for r in found.orderBy("query_id", "rank").collect()] == hits
+    assert "windowspecdefinition(query_id" not in found._jdf.queryExecution().optimizedPlan().toString()
