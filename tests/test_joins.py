@@ -66,3 +66,16 @@ def test_a_common_filter_is_searched_once(spark, monkeypatch, common):
     hits = [(1, "2"), (1, "1"), (2, "2"), (2, "1"), (3, "3"), (6, "2"), (6, "1"), (7, "2"), (7, "1")]
     assert [(r.query_id, r.code) for r in found.orderBy("query_id", "rank").collect()] == hits
     assert "windowspecdefinition(query_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_features_join_no_attributes(spark):
+    from chartloom.operators.features import feature_matrix
+
+    day = lambda n: F.to_timestamp(F.lit(f"2024-01-0{n}"))
+    note = spark.range(1)
+    records = note.select(F.lit(1).alias("patient_id"), day(1).alias("observed_at"), F.struct(F.lit(1)).alias("ord"), F.lit("vital").alias("entity_type"), F.lit("Heart rate").alias("normalized_text"), F.lit("x").alias("text"), F.lit("present").alias("assertion"), F.create_map(F.lit("value"), F.lit("72")).alias("attributes"))
+    out = feature_matrix(records, note.select(F.lit(1).alias("patient_id"), F.lit(9).alias("visit_id"), day(2).alias("prediction_time")))
+    row = out.collect()[0]
+    assert (row.heart_rate__last, row.heart_rate__present_count, row.phq9__missing) == (72.0, 1, True)
+    joined = out._jdf.queryExecution().analyzed().toString()
+    assert "attributes" not in joined[: joined.index("Join")]
