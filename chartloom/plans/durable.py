@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from chartloom.functions import lexicon as L
 from chartloom.operators.adapters import search_codes
 from chartloom.operators.features import risk_features
-from chartloom.operators.lineage import shared_folder
+from chartloom.operators.lineage import cut_lineage, shared_folder
 from chartloom.operators.session_log import SessionLog
 from chartloom.operators.training import train_risk, training_report
 from chartloom.plans.catalog import _RISK, BASE, _events, _mentions, _term, query
@@ -51,7 +51,7 @@ def _(spark, sf):
     _TRAINED,
 )
 def _(spark, sf):
-    cases = _cases(spark, sf)
+    cases = cut_lineage(_cases(spark, sf))  # read by the training and by the report
     return training_report(cases, train_risk(cases, _EPOCHS, _RATE, _RIDGE))
 
 
