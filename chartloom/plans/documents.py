@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chartloom.functions.lexicon import PSYCH_CONTEXT, STARTER_CODES
 from chartloom.operators import documents as D
 from chartloom.operators import rollup as R
-from chartloom.operators.context import LEXICAL, note_context
+from chartloom.operators.context import LEXICAL, note_abbreviations, note_context
 from chartloom.plans.catalog import _ENTITIES, BASE, _mentions, query
 from chartloom.sources.notes import clinical_notes, literal
 from chartloom.streaming.mentions import answers, refused, session_table
@@ -39,7 +39,7 @@ def _(spark, sf):
     BASE + _CONTEXT,
 )
 def _(spark, sf):
-    return note_context(clinical_notes(spark, sf)).select("note_id", F.explode("abbreviations").alias("a")).select("note_id", "a.*")
+    return note_abbreviations(clinical_notes(spark, sf)).drop("place")
 
 
 @query("ctx_active", "SELECT note_id, concat_ws(',', 'mixed', CASE WHEN pc > 0 THEN 'primary-care' END, CASE WHEN mh > 0 THEN 'mental-health' END, CASE WHEN pt > 0 THEN 'physical-therapy' END) AS active FROM ctx", BASE + _CONTEXT)
