@@ -26,10 +26,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from chartloom.llm.runtime import pick, python_stage
+from chartloom.llm.runtime import pick, python_stage, release
 
-_PIECES_KEPT = 400_000
-_FRAGMENTS_KEPT = 400_000
+_KEPT = 400_000  # pieces and fragments remembered at most, each
 _LONG = 48  # symbols from which merging goes through a heap
 
 #: The byte-to-letter alphabet of byte-level vocabularies maps printable bytes to themselves.
@@ -45,7 +44,8 @@ def byte_letters() -> list[str]:
 class ForcedBoundaryBPE:
     """Encoder and decoder for one vocabulary file.  encode(text bytes) gives ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = _KEPT):
+        self.kept = kept
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -142,7 +142,7 @@ class ForcedBoundaryBPE:
                     if ids is None:
                         ids = self._merged(*key)
                         if len(key[0]) <= 64:
-                            if len(self.fragments) >= _FRAGMENTS_KEPT:
+                            if len(self.fragments) >= self.kept:
                                 self.fragments.clear()
                             self.fragments[key] = ids
                     out += ids
@@ -155,7 +155,7 @@ class ForcedBoundaryBPE:
             if ids is None:
                 ids = self._piece(piece)
                 if len(piece) <= 64:
-                    if len(known) >= _PIECES_KEPT:
+                    if len(known) >= self.kept:
                         known.clear()
                     known[piece] = ids
             out.append(ids)
@@ -173,20 +173,21 @@ class ForcedBoundaryBPE:
 
 
 @lru_cache(maxsize=2)
-def bpe(path: str) -> ForcedBoundaryBPE:
-    return ForcedBoundaryBPE(path)
+def bpe(path: str, kept: int = _KEPT) -> ForcedBoundaryBPE:
+    release()
+    return ForcedBoundaryBPE(path, kept)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = True, kept: int = _KEPT) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_tokens, ids binary, decoded string, ids_sha256, decoded_sha256).
 
     One row per input row, in any order.  Null text is empty: no tokens, the digests of nothing.  ids are little-endian
-    unsigned 32-bit integers; with_ids=False leaves ids and decoded out.  vocabulary must be a path every executor has.
+    unsigned 32-bit integers; with_ids=False leaves ids and decoded out.  kept bounds what a worker remembers, not what it gives.  vocabulary must be a path every executor has.
     """
     python_stage(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe(vocabulary)
+        model = bpe(vocabulary, kept)
         for b in batches:
             ids = [model.encode(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
             decoded = [model.decode(x) for x in ids]

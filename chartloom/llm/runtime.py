@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +87,19 @@ def python_stage(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
 
 
+def release() -> None:
+    """In a Python worker, at the start of a stage: give the system back what earlier stages took and freed.
+
+    Workers live on from stage to stage, and their allocators keep freed memory.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # an allocator without it
+        pass
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast as given ("doc_id='bigint'"); anything else the table carries is pruned here."""
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])

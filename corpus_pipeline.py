@@ -50,10 +50,13 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of what is left, one row a document; null texts are empty."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of what is left, one row a document; null texts are empty.
+
+    The workers have run the stages before and still hold memory of theirs, so they remember fewer pieces than in a job of its own.
+    """
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), kept=80_000).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 STAGES = [
