@@ -153,3 +153,52 @@ def test_similarity_stage_is_exact_at_its_cut(spark):
     assert [got[i] for i in range(len(texts))] == label
     kept = {r["doc_id"] for r in S.drop_near_duplicates(documents(spark, texts)).collect()}
     assert kept == set(label)
+
+
+def test_sketches_rule_out_no_similar_pair_and_fold_to_the_smaller_one():
+    from chartloom.llm.similar_texts import may_be_similar, sketch
+
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for n in (0, 1, 5, 30, 33, 64, 500, 16_000, 30_000):
+        own = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        assert may_be_similar(sketch(own), sketch(own))
+        for share in (0.5, 0.7, 0.79, 0.8, 0.81, 0.9):
+            kept = own[: int(np.ceil(len(own) * share))]
+            for more in (0, len(own) // 20, len(own) // 3):
+                other = np.unique(np.concatenate((kept, rng.integers(0, 1 << 64, more, np.uint64, endpoint=False))))
+                both = len(np.intersect1d(own, other))
+                similar = 5 * both >= 4 * (len(own) + len(other) - both)
+                answers = {may_be_similar(sketch(own), sketch(other)), may_be_similar(sketch(other), sketch(own))}
+                assert len(answers) == 1 and (True in answers or not similar)
+                ruled_out += not similar and False in answers
+    assert ruled_out > 60
+
+
+def test_texts_that_share_rare_values_only_are_not_moved(spark, monkeypatch):
+    from chartloom.llm import similar_texts
+
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 7))
+    passage = [word() for _ in range(40)]
+    texts = [" ".join(passage + [word() for _ in range(60)]) for _ in range(30)]  # 36 of 160 shingles in common: far apart
+    texts += [t + " end" for t in texts[:3]]
+    asked, scanned = [], []
+    materialize, texts_of = similar_texts.materialize, similar_texts._texts_of
+
+    def counted(df, label):
+        out = materialize(df, label)
+        asked.extend([out.count()] if label == "similar-asked" else [])
+        return out
+
+    def seen(wanted, rows):
+        out = texts_of(wanted, rows)
+        scanned.append((wanted.count(), {r[0] for r in wanted.collect()} <= {r[0] for r in out.select("doc_id").collect()}, out.count()))
+        return out
+
+    monkeypatch.setattr(similar_texts, "materialize", counted)
+    monkeypatch.setattr(similar_texts, "_texts_of", seen)
+    got = {r["doc_id"]: r["component_id"] for r in similar_texts.similar_components(documents(spark, texts)).collect()}
+    assert sorted(k for k, c in got.items() if k != c) == sorted(got)[-3:]
+    assert sum(asked) == 6  # three pairs, both ends
+    assert all(whole and found <= n + 10 for n, whole, found in scanned)
