@@ -10,7 +10,7 @@ from chartloom.operators.adapters import search_codes
 from chartloom.operators.features import risk_features
 from chartloom.operators.lineage import cut_lineage, shared_folder
 from chartloom.operators.session_log import SessionLog
-from chartloom.operators.training import train_risk, training_report
+from chartloom.operators.training import EPOCHS, train_risk, training_report
 from chartloom.plans.catalog import _RISK, BASE, _events, _mentions, _term, query
 from chartloom.sources.expansions import read_expansions, record_expansions
 from chartloom.sources.notes import clinical_notes
@@ -20,11 +20,14 @@ from chartloom.streaming.mentions import requests_once, session_periods
 _EPOCHS, _RATE, _RIDGE = 12, 0.15, 0.015
 _X = "[" + ", ".join(_term(n, 1.0, c, s) for n, _, c, s in L.RISK_FEATURES) + "]"
 _STEP = ", ".join(f"any_value(w)[{k}] - {_RATE} * (avg(e * x[{k}]) + {_RIDGE} * any_value(w)[{k}])" for k in range(1, len(L.RISK_FEATURES) + 1))
-_TRAINED = f"""{BASE.replace("WITH", "WITH RECURSIVE", 1)}{_RISK}, cases AS MATERIALIZED (SELECT {_X} AS x, CASE WHEN (note_id * 7) % 11 < 4 THEN 1 ELSE 0 END AS y FROM rf),
+
+
+def _trained(epochs: int) -> str:
+    return f"""{BASE.replace("WITH", "WITH RECURSIVE", 1)}{_RISK}, cases AS MATERIALIZED (SELECT {_X} AS x, CASE WHEN (note_id * 7) % 11 < 4 THEN 1 ELSE 0 END AS y FROM rf),
 step AS (SELECT 0 AS epoch, CAST(0 AS DOUBLE) AS b, list_transform(range({len(L.RISK_FEATURES)}), lambda i: CAST(0 AS DOUBLE)) AS w
   UNION ALL SELECT epoch + 1, any_value(b) - {_RATE} * avg(e), [{_STEP}]
-  FROM (SELECT epoch, b, w, x, 1 / (1 + exp(-(b + list_dot_product(w, x)))) - y AS e FROM step, cases WHERE epoch < {_EPOCHS}) GROUP BY epoch),
-model AS (SELECT b, w FROM step WHERE epoch = {_EPOCHS})"""
+  FROM (SELECT epoch, b, w, x, 1 / (1 + exp(-(b + list_dot_product(w, x)))) - y AS e FROM step, cases WHERE epoch < {epochs}) GROUP BY epoch),
+model AS (SELECT b, w FROM step WHERE epoch = {epochs})"""
 
 
 def _cases(spark, sf):
@@ -35,7 +38,7 @@ def _cases(spark, sf):
 _NAMES = ", ".join(f"'{n}'" for n, *_ in L.RISK_FEATURES)
 
 
-@query("rsk_trained", f"SELECT unnest(['intercept', {_NAMES}]) AS feature, round(unnest(list_concat([b], w)), 6) AS weight FROM model", _TRAINED)
+@query("rsk_trained", f"SELECT unnest(['intercept', {_NAMES}]) AS feature, round(unnest(list_concat([b], w)), 6) AS weight FROM model", _trained(_EPOCHS))
 def _(spark, sf):
     """The risk model trained on all notes, for a few epochs."""
     model = train_risk(_cases(spark, sf), _EPOCHS, _RATE, _RIDGE)
@@ -48,11 +51,12 @@ def _(spark, sf):
   c AS (SELECT count(*) AS n, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT p AND NOT t) AS tn FROM said)
   SELECT n, CASE WHEN n = 0 THEN 0 ELSE (tp + tn) / n END AS accuracy, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall,
   CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM c""",
-    _TRAINED,
+    _trained(EPOCHS),
 )
 def _(spark, sf):
+    """The report of a whole training."""
     cases = cut_lineage(_cases(spark, sf))  # read by the training and by the report
-    return training_report(cases, train_risk(cases, _EPOCHS, _RATE, _RIDGE))
+    return training_report(cases, train_risk(cases, EPOCHS, _RATE, _RIDGE))
 
 
 _SAVED = """, ops AS (
